@@ -36,6 +36,28 @@ def java_pattern(pattern: str) -> str:
     return "".join(out)
 
 
+_SEPARATOR = chr(31)
+
+
+def string_array(values) -> Column:
+    """A constant array of texts, folded at planning time (one call instead of one per text)."""
+    values = list(values)
+    if not values:
+        return F.array().cast("array<string>")
+    return F.split(F.lit(_SEPARATOR.join(values)), _SEPARATOR, -1)
+
+
+def string_map(pairs) -> Column:
+    """A constant map of texts."""
+    pairs = dict(pairs)
+    return F.map_from_arrays(string_array(pairs.keys()), string_array(pairs.values()))
+
+
+def sql_quote(value: str) -> str:
+    """A text literal for expression strings."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind ``value`` once and use it many times in ``body``.
 

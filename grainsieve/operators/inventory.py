@@ -9,7 +9,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainsieve.functions.text import inventory_snippet
+from grainsieve.functions.text import inventory_snippet, string_map
 from grainsieve.operators.lexical import Pattern, find_matches
 from grainsieve.sources.corpus import to_lines
 from grainsieve.sources.detectors import LITERAL_GUARDS, Detector, builtin_detectors, expand_words
@@ -99,13 +99,13 @@ def raw_matches(lines: DataFrame, detectors: Sequence[Detector], kinds: Sequence
     if "identifier" in kinds:
         ids, words = identifier_patterns(detectors)
         patterns += [replace(p, key="identifier " + p.key) for p in ids]
-    known = lambda w: F.lower(w).isin(*words)
+    word_list = ", ".join(f"'{w}'" for w in words) or "''"
+    has_word = F.expr(f"exists(regexp_extract_all(line, '{_TOKEN}', 0), w -> lower(w) IN ({word_list}))")
     gates = {
         "digits": F.rlike(F.col("line"), F.lit(r"\d[\d.]")),
         "plain": ~folding,
         "folding": folding,
-        "word": ~folding & F.exists(F.regexp_extract_all("line", F.lit(_TOKEN), F.lit(0)), known)
-        if words else F.lit(False),
+        "word": ~folding & has_word if words else F.lit(False),
     }
     found = find_matches(lines, patterns, gates=gates).select(
         "path", "line_no", "line",
@@ -121,7 +121,7 @@ def raw_matches(lines: DataFrame, detectors: Sequence[Detector], kinds: Sequence
     )
     is_token = F.col("detector_id") == _TOKEN
     return (
-        found.filter(~is_token | known(F.col("match")))
+        found.filter(~is_token | F.expr(f"lower(match) IN ({word_list})"))
         .withColumn("_word", F.when(is_token, F.lower("match")))
         .join(dictionary, "_word", "left")
         .select("path", "line_no", "line", "match_kind",
@@ -142,8 +142,7 @@ def inventory_detections(
         found = found.dropDuplicates(["path", "line_no", "start", "detector_id", "match_kind", "match"])
 
     def label(attr: str):
-        pairs = [x for d in detectors for x in (F.lit(d.id), F.lit(getattr(d, attr)))]
-        return F.element_at(F.create_map(*pairs), F.col("detector_id"))
+        return F.element_at(string_map((d.id, getattr(d, attr)) for d in detectors), F.col("detector_id"))
 
     return found.select(
         "detector_id",

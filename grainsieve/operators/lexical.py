@@ -16,12 +16,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grainsieve.functions.text import java_pattern, let, prefix_max, prefix_sums
+from grainsieve.functions.text import java_pattern, let, prefix_max, prefix_sums, sql_quote, string_array
 
 
 @dataclass(frozen=True)
@@ -41,18 +40,15 @@ class Pattern:
     gate: str | None = None
 
 
-def _guard(text: Column, p: Pattern) -> Column:
-    out = F.lit(True)
+def _guard(text: str, p: Pattern) -> str:
+    """The guard as an expression string: a pack of rules then costs one parse, not many calls."""
+    parts = []
     if p.any_of:
-        subject = F.lower(text) if p.ignore_case_guard else text
-        out = _any(F.contains(subject, F.lit(word)) for word in p.any_of)
+        subject = f"lower({text})" if p.ignore_case_guard else text
+        parts.append(" OR ".join(f"contains({subject}, {sql_quote(w)})" for w in p.any_of))
     if p.guard:
-        out = out & F.rlike(text, F.lit(java_pattern(p.guard)))
-    return out
-
-
-def _any(conditions) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))
+        parts.append(f"rlike({text}, {sql_quote(java_pattern(p.guard))})")
+    return " AND ".join(f"({x})" for x in parts) or "true"
 
 
 def find_matches(
@@ -71,28 +67,23 @@ def find_matches(
     """
     patterns = list(patterns)
     src = F.col(text)
-    by_gate: dict[str | None, list[Column]] = {}
-    passes: dict[str | None, list[Column]] = {}
+    by_gate: dict[str | None, list[tuple[int, str]]] = {}
     for i, p in enumerate(patterns):
-        cond = _guard(src, p)
-        passes.setdefault(p.gate, []).append(cond)
-        by_gate.setdefault(p.gate, []).append(F.when(cond, F.lit(i)))
+        by_gate.setdefault(p.gate, []).append((i, _guard(f"`{text}`", p)))
     # drop the texts no pattern can match in generated code, before any array is built
-    possible = _any(
-        _any(conds) if gate is None else gates[gate] & _any(conds) for gate, conds in passes.items()
-    )
-    nothing = F.array().cast("array<int>")
-    lists = [
-        F.array_compact(F.array(*flags)) if gate is None
-        else F.when(gates[gate], F.array_compact(F.array(*flags))).otherwise(nothing)
-        for gate, flags in by_gate.items()
-    ]
+    possible = F.lit(False)
+    lists = []
+    for gate, guards in by_gate.items():
+        some = F.expr(" OR ".join(f"({g})" for _, g in guards))
+        ids = F.expr("array_compact(array(" + ", ".join(f"CASE WHEN {g} THEN {i} END" for i, g in guards) + "))")
+        possible = possible | (some if gate is None else gates[gate] & some)
+        lists.append(ids if gate is None else F.when(gates[gate], ids).otherwise(F.array().cast("array<int>")))
     candidates = units.filter(possible).withColumn("_pid", F.explode(F.concat(*lists)))
 
     at = F.col("_pid") + 1
-    regex = F.element_at(F.array(*[F.lit(java_pattern(p.pattern)) for p in patterns]), at)
-    n_caps = F.element_at(F.array(*[F.lit(p.captures) for p in patterns]), at)
-    key = F.element_at(F.array(*[F.lit(p.key) for p in patterns]), at)
+    regex = F.element_at(string_array(java_pattern(p.pattern) for p in patterns), at)
+    n_caps = F.element_at(string_array(str(p.captures) for p in patterns).cast("array<int>"), at)
+    key = F.element_at(string_array(p.key for p in patterns), at)
 
     matched = candidates.withColumn("_re", regex).filter(F.rlike(src, F.col("_re")))
     max_caps = max((p.captures for p in patterns), default=0)

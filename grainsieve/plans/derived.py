@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from grainsieve.functions.text import string_array
+
 
 def quote(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
@@ -44,7 +46,7 @@ def pick(items, index: str) -> Expr:
     """Element ``index`` (0-based) of a fixed list."""
     items = list(items)
     return Expr(
-        lambda: F.element_at(F.array(*[F.lit(i) for i in items]), (F.expr(index) + 1).cast("int")),
+        lambda: F.element_at(string_array(items), F.expr(f"CAST({index} + 1 AS INT)")),
         "[" + ", ".join(quote(i) for i in items) + f"][({index}) + 1]",
     )
 
@@ -70,7 +72,7 @@ def fill(template: Expr, **values: Expr) -> Expr:
 
 def split(e: Expr, sep: str) -> Expr:
     """A text as a list (the separator is one plain character)."""
-    return Expr(lambda: F.split(e.column(), sep, -1), f"string_split({e.sql}, {quote(sep)})")
+    return Expr(lambda: F.split(e.column(), f"[{sep}]", -1), f"string_split({e.sql}, {quote(sep)})")
 
 
 @dataclass
@@ -81,7 +83,10 @@ class Derived:
     columns: dict[str, Expr]
 
     def frame(self, spark: SparkSession, folder: str) -> DataFrame:
-        return table(spark, folder, self.base).select(*[e.column().alias(n) for n, e in self.columns.items()])
+        row = F.struct(*[e.column().alias(n) for n, e in self.columns.items()])
+        # one generated row per input row: later steps read the finished values, instead of
+        # having the optimizer paste these long expressions wherever a column is used
+        return table(spark, folder, self.base).select(F.inline(F.array(row)))
 
     @property
     def sql(self) -> str:

@@ -35,13 +35,16 @@ def npm_packages(files: DataFrame) -> DataFrame:
     own = files.filter(file_name(F.col("rel_path")) == "package.json")
     schema = ", ".join(f"{s} map<string,string>" for s in NPM_SCOPES)
     parsed = own.select("rel_path", F.from_json("content", schema).alias("_j"))
-    entries = F.concat(*[
-        F.transform(
-            F.coalesce(F.map_entries(F.col("_j")[s]), F.array().cast("array<struct<key:string,value:string>>")),
-            lambda e, s=s: F.struct(F.lit(s).alias("scope"), e["key"].alias("package"), e["value"].alias("version")),
+    none = F.array().cast("array<struct<key:string,value:string>>")
+
+    def scoped(scope: str) -> Column:
+        # a function per scope: a second lambda argument would be the element's index
+        return F.transform(
+            F.coalesce(F.map_entries(F.col("_j")[scope]), none),
+            lambda e: F.struct(F.lit(scope).alias("scope"), e["key"].alias("package"), e["value"].alias("version")),
         )
-        for s in NPM_SCOPES
-    ])
+
+    entries = F.concat(*[scoped(s) for s in NPM_SCOPES])
     rows = parsed.select("rel_path", F.explode(entries).alias("_e"))
     return _rows(rows, "npm", F.col("_e.scope"), F.col("_e.package"), F.col("_e.version"))
 
