@@ -96,7 +96,7 @@ def all_matches(source: str, key: str, pattern: str, caps: int, where: str = "tr
     """Every match of a pattern with its byte offset."""
     p = q(pattern)
     caps_sql = ", ".join(f"regexp_extract_all({text}, {p}, {k}) AS c{k}" for k in range(1, caps + 1))
-    cap_list = "[" + ", ".join(f"c{k}[i]" for k in range(1, caps + 1)) + "]" if caps else "CAST([] AS VARCHAR[])"
+    cap_list = "[" + ", ".join(f"coalesce(c{k}[i], '')" for k in range(1, caps + 1)) + "]" if caps else "CAST([] AS VARCHAR[])"
     return (
         f"SELECT path, language, {q(key)} AS rule_id, line_no, line, prev_line, next_line, m[i] AS match, "
         f"CAST({_bytes('g[1:i]')} + {_bytes('m[1:i - 1]')} AS BIGINT) AS start, {cap_list} AS captures, 0 AS breaks "
@@ -109,7 +109,7 @@ def all_matches(source: str, key: str, pattern: str, caps: int, where: str = "tr
 def file_matches(key: str, pattern: str, caps: int, where: str) -> str:
     p = q(pattern)
     caps_sql = ", ".join(f"regexp_extract_all(content, {p}, {k}) AS c{k}" for k in range(1, caps + 1))
-    cap_list = "[" + ", ".join(f"c{k}[i]" for k in range(1, caps + 1)) + "]" if caps else "CAST([] AS VARCHAR[])"
+    cap_list = "[" + ", ".join(f"coalesce(c{k}[i], '')" for k in range(1, caps + 1)) + "]" if caps else "CAST([] AS VARCHAR[])"
     at = f"len(string_split(prefix, {NL}))"
     return (
         f"SELECT path, language, {q(key)} AS rule_id, {at} AS line_no, string_split(content, {NL})[{at}] AS line, "
@@ -145,7 +145,6 @@ def sql_list(items) -> str:
 ORACLES["corpus_lines"] = f"{with_lines(DOCS)} SELECT path, line_no, line, prev_line, next_line FROM lines"
 ORACLES["size_cap"] = f"SELECT path, CAST(strlen(content) AS BIGINT) AS size FROM ({DOCS}) WHERE strlen(content) <= 4096"
 ORACLES["snippet"] = f"{with_lines(DOCS)} SELECT path, line_no, {cut('line', 120)} AS snippet, {cut('line', 200)} AS inventory_snippet FROM lines"
-_marked = "regexp_replace(line, '', '')"
 _HL = r"\b\d{2,}\b|\S+@\S+"
 
 
@@ -321,13 +320,13 @@ def rule_values(rules) -> str:
             q(next(iter(r.require_if_matches), "")), q(next(iter(r.require_if_matches.values()), "")),
         ])
     return (
-        f"({values(rows)}) AS rules(rid, severity, framework, confidence, names, at, tags, category, cwe, owasp, taxonomy, remediation, "
+        f"({values(rows)}) AS rules(rid, severity, framework, confidence, names, fin, tags, category, cwe, owasp, taxonomy, remediation, "
         "literal, ignore_name, ignore_re, require_name, require_re)"
     )
 
 
-_own = "(at > 0 AND coalesce(captures[at], '') <> '')"
-_raw = "captures[at]"
+_own = "(fin > 0 AND coalesce(captures[fin], '') <> '')"
+_raw = "captures[fin]"
 _col0 = f"CASE WHEN {_own} THEN start + strlen(match) - strlen({_raw}) ELSE start END"
 _end0 = f"CASE WHEN breaks > 0 THEN strlen(string_split(match, {NL})[-1]) WHEN {_own} THEN start + strlen(match) - strlen({_raw}) + strlen({trim(_raw)}) ELSE start + strlen(match) END"
 _code = trim(f"(CASE WHEN {_own} THEN {_raw} ELSE match END)")
@@ -366,7 +365,8 @@ def mask_cte(source: str, expr: str, out: str) -> str:
     sql = f"SELECT *, {plain(expr)} AS {out}_0 FROM ({source})"
     for i in range(TA.MASK_ROUNDS):
         sql = f"SELECT *, {_steps(f'{out}_{i}', TA.MASK_STEPS)} AS {out}_{i + 1} FROM ({sql})"
-    return f"SELECT *, {trim(f'replace({out}_{TA.MASK_ROUNDS}, {q(chr(63) + chr(46))}, {q(chr(46))})')} AS {out} FROM ({sql})"
+    chained = f"replace({out}_{TA.MASK_ROUNDS}, '?.', '.')"
+    return f"SELECT *, {trim(chained)} AS {out} FROM ({sql})"
 
 
 _NAME = f"^{TA.IDENT}$"
@@ -385,9 +385,10 @@ def facts(source: str, expr: str = "expr") -> str:
         sql = mask_cte(sql, f"u{i}", f"w{i}")
         sql = f"SELECT *, CASE WHEN w{i} = '@' THEN {trim(f'substr(u{i}, 2, length(u{i}) - 2)')} ELSE u{i} END AS u{i + 1} FROM ({sql})"
     sql = mask_cte(sql, "u2", "mk")
+    _unary = f"regexp_replace(p, {q(TA.UNARY)}, '')"
     sql = (
         f"SELECT *, CASE WHEN regexp_matches(u2, {q(TA.REGEX_LITERAL)}) THEN ['true'] WHEN regexp_matches(mk, {q(TA.NOT_SIMPLE)}) THEN ['x@@'] ELSE "
-        f"list_filter(list_transform(regexp_split_to_array(mk, {q(TA.BINARY)}), lambda p: {trim(f'regexp_replace(p, {q(TA.UNARY)}, {q(chr(0))[:1]}{chr(39)})')}), lambda p: p <> '') END AS parts FROM ({sql})"
+        f"list_filter(list_transform(regexp_split_to_array(mk, {q(TA.BINARY)}), lambda p: {trim(_unary)}), lambda p: p <> '') END AS parts FROM ({sql})"
     )
     core = f"regexp_replace(p, {q(TA.PASS_SUFFIX)}, '')"
     is_name = f"(regexp_matches(p, {q(_NAME)}) AND NOT list_contains({_KW}, p))"
@@ -409,12 +410,19 @@ ORACLES["taint_classify"] = (
     f"SELECT file, pos, CAST(base AS BIGINT) AS base, {_sorted('ids')} AS ids, {_sorted('pass_ids')} AS pass_ids, {_literal} AS is_literal FROM ({facts(D.STATEMENTS.sql)})"
 )
 ORACLES["taint_names"] = f"SELECT file, pos, {_sorted(names_sql('target'))} AS bound, {_sorted(names_sql('expr'))} AS referenced FROM ({D.STATEMENTS.sql})"
-_named = "list_transform(list_filter(range(1, len(names) + 1), lambda i: names[i] = {n} AND " + trim("captures[i]") + " <> ''), lambda i: " + trim("captures[i]") + ")[-1]"
-_lit_src = f"SELECT *, {_named.format(n='literal[1]')} AS lit_expr FROM matches JOIN {rule_values(_RULES)} ON rid = rule_id"
+
+
+def named(n: str) -> str:
+    """The last non-empty capture of a name, null without one."""
+    c = trim("captures[i]")
+    return f"list_transform(list_filter(range(1, len(names) + 1), lambda i: names[i] = {n} AND {c} <> ''), lambda i: {c})[-1]"
+
+
+_lit_src = f"SELECT *, {named('literal[1]')} AS lit_expr FROM matches JOIN {rule_values(_RULES)} ON rid = rule_id"
 ORACLES["capture_filters"] = (
     f"{_CODE_MATCHES} SELECT {_flat} FROM ({facts(_lit_src, 'lit_expr')}) WHERE (lit_expr IS NULL OR NOT {_literal}) "
-    f"AND (ignore_name = '' OR NOT coalesce(regexp_matches({_named.format(n='ignore_name')}, ignore_re), false)) "
-    f"AND (require_name = '' OR coalesce(regexp_matches({_named.format(n='require_name')}, require_re), false))"
+    f"AND (ignore_name = '' OR NOT coalesce(regexp_matches({named('ignore_name')}, ignore_re), false)) "
+    f"AND (require_name = '' OR coalesce(regexp_matches({named('require_name')}, require_re), false))"
 )
 _args = f"list_filter(list_transform(regexp_extract_all({trim('captures[2]')}, {q(TA.ARGUMENT)}), lambda a: {trim('a')}), lambda a: a <> '')"
 ORACLES["arg_count"] = (
@@ -428,9 +436,12 @@ _DIR = r"(?i)scanner-(disable-(line|next-line)|expected(?:-next-line)?)\b([^*\n\
 def covers(line: str, nxt: bool) -> str:
     before = f"string_split(lower({line}), 'scanner-')[1]"
     comment = f"(contains({before}, '//') OR contains({before}, '#') OR contains({before}, '/*') OR ends_with({trim(before)}, '*'))"
-    ids = lambda x: (
-        f"list_filter(list_transform(regexp_split_to_array({trim(f'regexp_replace({trim(x)}, {q(chr(91) + chr(42) + chr(47) + chr(93) + chr(43) + chr(36))}, {q(chr(32))[:1]}{chr(39)})')}, '[,; \\t]+'), lambda t: {trim('t')}), lambda t: t <> '')"
-    )
+
+
+    def ids(x: str) -> str:
+        body = trim(f"regexp_replace({trim(x)}, '[*/]+$', '')")
+        return f"list_filter(list_transform(regexp_split_to_array({body}, '[,; \\t]+'), lambda t: {trim('t')}), lambda t: t <> '')"
+
     bodies, kinds = f"regexp_extract_all({line}, {q(_DIR)}, 3)", f"regexp_extract_all({line}, {q(_DIR)}, 1)"
     hit = f"(len({ids(f'{bodies}[i]')}) = 0 OR list_contains({ids(f'{bodies}[i]')}, rule_id))"
     side = f"contains(lower({kinds}[i]), 'next-line')" if nxt else f"NOT contains(lower({kinds}[i]), 'next-line')"
@@ -551,7 +562,7 @@ ORACLES["sarif_results"] = (
 ORACLES["sarif_rules"] = (
     f"SELECT 'R' || (n % 700) AS id, max_by(d, n) AS name, max_by(d, n) AS help, max_by(t, n) AS tags, max_by(p, n) AS precision, '8.0' AS security_severity, 'JavaScript' AS framework, "
     "max_by(c, n) AS confidence, 'CWE-1' AS cwe, CAST(NULL AS VARCHAR) AS owasp, CAST(NULL AS VARCHAR) AS \"references\" FROM "
-    f"(SELECT CAST({trim('id')[:0]}substr({trim('id')}, 3) AS BIGINT) AS n, {_described} AS d, coalesce({_joined_clean('tags')}, chr(1)) AS t, {_native_conf} AS c, "
+    f"(SELECT CAST(substr({trim('id')}, 3) AS BIGINT) AS n, {_described} AS d, coalesce({_joined_clean('tags')}, chr(1)) AS t, {_native_conf} AS c, "
     f"CASE {_native_conf} WHEN 'HIGH' THEN 'high' WHEN 'LOW' THEN 'low' ELSE 'medium' END AS p FROM ({D.NATIVE_RULES.sql})) GROUP BY 1"
 )
 ORACLES["sarif_rules"] = f"SELECT * REPLACE (nullif(tags, chr(1)) AS tags) FROM ({ORACLES['sarif_rules']})"
