@@ -162,50 +162,30 @@ def highlight(line: Column, start: Column, end: Column, n_lines: Column, first_l
 _BLOCK = 128
 
 
-def prefix_scan(values: Column, zero: Column, op: Callable[[Column, Column], Column]) -> Column:
-    """Exclusive running fold of an array, in the row.
+def sql_let(value: str, name: str, body: str) -> str:
+    """``let`` for expression strings."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def prefix_scan(values: str, name: str, op: str = "sum") -> str:
+    """Exclusive running sum or maximum of an int array, in the row, as an expression string.
 
     Elements are folded inside blocks and the block totals are folded once more, so the work is
-    near-linear even for a line with very many matches.
+    near-linear even for a text with very many matches.  ``name`` keeps the variables of nested
+    uses apart.
     """
+    zero, step = ("0", "{a} + {b}") if op == "sum" else ("-1", "greatest({a}, {b})")
+    v, t, h = f"{name}_v", f"{name}_t", f"{name}_h"
 
-    def with_values(v: Column) -> Column:
-        n = F.size(v)
-        blocks = F.when(
-            n > 0,
-            F.transform(
-                F.sequence(F.lit(0), F.floor((n - 1) / _BLOCK).cast("int")),
-                lambda b: F.aggregate(F.slice(v, b * _BLOCK + 1, F.lit(_BLOCK)), zero, op),
-            ),
-        ).otherwise(F.array().cast("array<int>"))
-
-        def with_blocks(totals: Column) -> Column:
-            heads = F.transform(
-                totals, lambda _t, b: F.aggregate(F.slice(totals, F.lit(1), b), zero, op)
-            )
-            return let(
-                heads,
-                lambda h: F.transform(
-                    v,
-                    lambda _x, i: op(
-                        F.element_at(h, F.floor(i / _BLOCK).cast("int") + 1),
-                        F.aggregate(
-                            F.slice(v, F.floor(i / _BLOCK).cast("int") * _BLOCK + 1, i % _BLOCK),
-                            zero,
-                            op,
-                        ),
-                    ),
-                ),
-            )
-
-        return let(blocks, with_blocks)
-
-    return let(values.cast("array<int>"), with_values)
-
-
-def prefix_sums(values: Column) -> Column:
-    return prefix_scan(values, F.lit(0), lambda a, b: a + b)
-
-
-def prefix_max(values: Column) -> Column:
-    return prefix_scan(values, F.lit(-1), lambda a, b: F.greatest(a, b))
+    def fold(part: str) -> str:
+        return f"aggregate({part}, {zero}, ({name}_a, {name}_b) -> {step.format(a=name + '_a', b=name + '_b')})"
+
+    block = f"CAST({name}_i div {_BLOCK} AS INT)"
+    totals = (
+        f"transform(sequence(0, CAST(greatest(size({v}) - 1, 0) div {_BLOCK} AS INT)), "
+        f"{name}_k -> {fold(f'slice({v}, {name}_k * {_BLOCK} + 1, {_BLOCK})')})"
+    )
+    heads = f"transform({t}, ({name}_x, {name}_k) -> {fold(f'slice({t}, 1, {name}_k)')})"
+    inside = fold(f"slice({v}, {block} * {_BLOCK} + 1, {name}_i % {_BLOCK})")
+    body = f"transform({v}, ({name}_x, {name}_i) -> {step.format(a=f'{h}[{block}]', b=inside)})"
+    return sql_let(f"CAST({values} AS ARRAY<INT>)", v, sql_let(totals, t, sql_let(heads, h, body)))

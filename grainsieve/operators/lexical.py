@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grainsieve.functions.text import java_pattern, let, prefix_max, prefix_sums, sql_quote, string_array
+from grainsieve.functions.text import java_pattern, prefix_scan, sql_let, sql_quote, string_array
 
 
 @dataclass(frozen=True)
@@ -85,71 +85,48 @@ def find_matches(
     n_caps = F.element_at(string_array(str(p.captures) for p in patterns).cast("array<int>"), at)
     key = F.element_at(string_array(p.key for p in patterns), at)
 
-    matched = candidates.withColumn("_re", regex).filter(F.rlike(src, F.col("_re")))
+    matched = candidates.select(
+        *units.columns, regex.alias("_re"), n_caps.alias("_n"), key.alias("pattern_key")
+    ).filter(F.rlike(src, F.col("_re")))
     max_caps = max((p.captures for p in patterns), default=0)
-    caps = [
-        F.regexp_extract_all(src, F.col("_re"), F.when(n_caps >= k, F.lit(k)).otherwise(F.lit(0)))
-        for k in range(1, max_caps + 1)
-    ]
-    parts = F.struct(
-        F.regexp_extract_all(src, F.col("_re"), F.lit(0)).alias("m"),
-        F.split(src, F.col("_re"), -1).alias("g"),
-        *[c.alias(f"c{k}") for k, c in enumerate(caps, 1)],
-        n_caps.alias("n"),
+    rows = F.explode(F.expr(_match_rows(f"`{text}`", max_caps, multiline))).alias("_row")
+    extra = ["match", "start", "captures"] + (["line_offset", "line_start"] if multiline else [])
+    return matched.select(*units.columns, "pattern_key", rows).select(
+        *units.columns, "pattern_key", *[f"_row.{c}" for c in extra]
     )
 
-    def rows(p: Column) -> Column:
-        size = F.octet_length
-        sums = prefix_sums(F.transform(p["m"], lambda m, i: size(F.get(p["g"], i)) + size(m)))
-        captures = lambda i: F.slice(
-            F.array(*[F.get(p[f"c{k}"], i) for k in range(1, max_caps + 1)]) if max_caps
-            else F.array().cast("array<string>"),
-            F.lit(1), p["n"],
-        )
-        base = lambda s: F.transform(
-            p["m"],
-            lambda m, i: F.struct(
-                m.alias("match"),
-                (F.get(s, i) + size(F.get(p["g"], i))).alias("start"),
-                captures(i).alias("captures"),
-            ),
-        )
-        if not multiline:
-            return let(sums, base)
-
-        newlines = lambda t: size(t) - size(F.replace(t, F.lit("\n"), F.lit("")))
-        tail = lambda t: size(F.substring_index(t, "\n", -1))
-
-        def with_sums(s: Column) -> Column:
-            breaks = prefix_sums(
-                F.transform(p["m"], lambda m, i: newlines(F.get(p["g"], i)) + newlines(m))
-            )
-            # byte offset just after the last line break of each gap/match, -1 without one
-            gap_nl = lambda i: F.when(
-                newlines(F.get(p["g"], i)) > 0,
-                F.get(s, i) + size(F.get(p["g"], i)) - tail(F.get(p["g"], i)),
-            ).otherwise(F.lit(-1))
-            piece_nl = lambda m, i: F.when(
-                newlines(m) > 0, F.get(s, i) + size(F.get(p["g"], i)) + size(m) - tail(m)
-            ).otherwise(gap_nl(i))
-            last = prefix_max(F.transform(p["m"], piece_nl))
-            return let(
-                F.struct(breaks.alias("b"), last.alias("l")),
-                lambda x: F.transform(
-                    p["m"],
-                    lambda m, i: F.struct(
-                        m.alias("match"),
-                        (F.get(s, i) + size(F.get(p["g"], i))).alias("start"),
-                        captures(i).alias("captures"),
-                        (F.get(x["b"], i) + newlines(F.get(p["g"], i))).alias("line_offset"),
-                        F.greatest(F.get(x["l"], i), gap_nl(i), F.lit(0)).alias("line_start"),
-                    ),
-                ),
-            )
-
-        return let(sums, with_sums)
-
-    out = matched.withColumn("_key", key).withColumn("_row", F.explode(let(parts, rows)))
-    cols = [c for c in units.columns if c not in ("_pid", "_re")]
-    extra = ["match", "start", "captures"] + (["line_offset", "line_start"] if multiline else [])
-    return out.select(*cols, F.col("_key").alias("pattern_key"), *[F.col(f"_row.{c}") for c in extra])
+
+def _match_rows(text: str, max_caps: int, multiline: bool) -> str:
+    """Array of match structs of one (text, pattern) pair, as an expression string.
+
+    ``p`` binds the matches ``m``, the gaps ``g`` around them (one more than matches) and the
+    captures; the start of match i is the size of all gaps up to i and all matches before it.
+    """
+    fields = [f"'m', regexp_extract_all({text}, _re, 0)", f"'g', split({text}, _re, -1)"]
+    fields += [f"'c{k}', regexp_extract_all({text}, _re, IF(_n >= {k}, {k}, 0))" for k in range(1, max_caps + 1)]
+    parts = "named_struct(" + ", ".join(fields) + ")"
+    captures = (
+        "slice(array(" + ", ".join(f"p.c{k}[i]" for k in range(1, max_caps + 1)) + "), 1, _n)" if max_caps
+        else "CAST(array() AS ARRAY<STRING>)"
+    )
+    start = "s[i] + octet_length(p.g[i])"
+    sizes = "transform(p.m, (m, i) -> octet_length(p.g[i]) + octet_length(m))"
+    row = f"'match', m, 'start', {start}, 'captures', {captures}"
+    if not multiline:
+        body = f"transform(p.m, (m, i) -> named_struct({row}))"
+        return sql_let(parts, "p", sql_let(prefix_scan(sizes, "z"), "s", body))
+
+    def breaks(t: str) -> str:
+        return f"(octet_length({t}) - octet_length(replace({t}, '\\n', '')))"
+
+    def tail(t: str) -> str:
+        return f"octet_length(substring_index({t}, '\\n', -1))"
+
+    # byte just after the last line break inside a gap, or inside a gap and its match; else -1
+    in_gap = f"IF({breaks('p.g[i]')} > 0, {start} - {tail('p.g[i]')}, -1)"
+    in_piece = f"IF({breaks('m')} > 0, {start} + octet_length(m) - {tail('m')}, {in_gap})"
+    all_breaks = prefix_scan(f"transform(p.m, (m, i) -> {breaks('p.g[i]')} + {breaks('m')})", "y")
+    last_break = prefix_scan(f"transform(p.m, (m, i) -> {in_piece})", "w", "max")
+    row += f", 'line_offset', b[i] + {breaks('p.g[i]')}, 'line_start', greatest(l[i], {in_gap}, 0)"
+    body = f"transform(p.m, (m, i) -> named_struct({row}))"
+    return sql_let(parts, "p", sql_let(prefix_scan(sizes, "z"), "s", sql_let(all_breaks, "b", sql_let(last_break, "l", body))))

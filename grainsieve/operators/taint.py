@@ -234,16 +234,62 @@ def reaching_definitions(defs: DataFrame, uses: DataFrame, bucket_width: int = 4
     return found.filter("_use").select("file", "pos", "name", "def_pos")
 
 
-def propagate(assignments: DataFrame, max_rounds: int | None = None, bucket_width: int = 4096) -> DataFrame:
+def propagate(assignments: DataFrame, fold_limit: int = 1000, max_rounds: int | None = None,
+              bucket_width: int = 4096) -> DataFrame:
     """Rank of every assignment (file, pos, targets, rank), in document order semantics.
 
-    Each right-hand side sees the state at its own position.  Links point strictly backwards, so
-    rounds of joins settle every row after as many rounds as the longest alias chain; there is no
-    limit unless the caller sets one, and rows not settled then have a null rank.  Each round is
-    written to the checkpoint folder, so lost executors replay one round only.
+    Each right-hand side sees the state at its own position.  Files of up to ``fold_limit``
+    assignments are folded in order inside one row; larger ones, which must not be gathered,
+    are settled exactly by rounds of joins.
+    """
+    facts = cut_lineage(
+        assignments.select("file", "pos", "targets", classify_expression(F.col("expr")).alias("facts"))
+    )
+    large = facts.groupBy("file").count().filter(F.col("count") > fold_limit).select("file")
+    if large.isEmpty():
+        return _propagate_fold(facts)
+    large = cut_lineage(large)
+    small = facts.join(large, "file", "left_anti")
+    rest = facts.join(large, "file", "left_semi")
+    return _propagate_fold(small).unionByName(_propagate_rounds(rest, max_rounds, bucket_width))
+
+
+def _propagate_fold(facts: DataFrame) -> DataFrame:
+    """One ordered fold per file over (states, ranks); the groups are bounded by the caller."""
+    grouped = facts.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("pos", "targets", "facts"))).alias("_rows"))
+    start = F.struct(
+        F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>")).alias("states"),
+        F.array().cast("array<int>").alias("ranks"),
+    )
+
+    def step(acc: Column, row: Column) -> Column:
+        return let(
+            rank_from_states(row["facts"], acc["states"]),
+            lambda rank: F.struct(
+                F.map_concat(
+                    F.map_filter(acc["states"], lambda k, _v: ~F.array_contains(row["targets"], k)),
+                    F.map_from_arrays(row["targets"], F.array_repeat(rank, F.size(row["targets"]))),
+                ).alias("states"),
+                F.concat(acc["ranks"], F.array(rank)).alias("ranks"),
+            ),
+        )
+
+    folded = grouped.select("file", "_rows", F.aggregate("_rows", start, step, lambda a: a["ranks"]).alias("_ranks"))
+    return folded.select(
+        "file",
+        F.explode(F.transform("_rows", lambda r, i: F.struct(
+            r["pos"].alias("pos"), r["targets"].alias("targets"), F.get("_ranks", i).alias("rank")
+        ))).alias("_r"),
+    ).select("file", "_r.*")
+
+
+def _propagate_rounds(facts: DataFrame, max_rounds: int | None, bucket_width: int) -> DataFrame:
+    """Rounds of joins over definition links.
+
+    Links point strictly backwards, so every row is settled after as many rounds as the longest
+    alias chain; there is no limit unless the caller sets one, and rows not settled then have a
+    null rank.  Each round is written to the shared folder, so a lost executor replays one round.
     """
-    facts = assignments.select("file", "pos", "targets", classify_expression(F.col("expr")).alias("facts"))
-    facts = cut_lineage(facts)
     defs = facts.select("file", "pos", F.explode("targets").alias("name"))
     uses = facts.select("file", "pos", F.explode("facts.all_ids").alias("name"))
     links = reaching_definitions(defs, uses, bucket_width).filter(F.col("def_pos").isNotNull())
@@ -252,20 +298,21 @@ def propagate(assignments: DataFrame, max_rounds: int | None = None, bucket_widt
         F.collect_list(F.struct("name", "def_pos")).alias("open")  # at most the names of one expression
     )
     nothing = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>"))
+    no_links = F.array().cast("array<struct<name:string,def_pos:bigint>>")
+    rank = F.when(F.size("open") == 0, rank_from_states(F.col("facts"), F.col("states")))
     todo = cut_lineage(
         facts.join(linked, ["file", "pos"], "left")
-        .select("file", "pos", "facts", F.coalesce("open", F.array().cast("array<struct<name:string,def_pos:bigint>>")).alias("open"),
-                nothing.alias("states"))
+        .select("file", "pos", "facts", F.coalesce("open", no_links).alias("open"), nothing.alias("states"))
+        .withColumn("rank", rank)
     )
     settled = None
     rounds = 0
     while True:
-        ready = todo.filter(F.size("open") == 0).select("file", "pos", rank_from_states(F.col("facts"), F.col("states")).alias("rank"))
-        fresh = cut_lineage(ready)
+        fresh = todo.filter(F.col("rank").isNotNull()).select("file", "pos", "rank")
         settled = fresh if settled is None else settled.unionByName(fresh)
-        rest = todo.filter(F.size("open") > 0)
+        rest = todo.filter(F.col("rank").isNull()).drop("rank")
         rounds += 1
-        if fresh.isEmpty() or (max_rounds is not None and rounds >= max_rounds):
+        if rest.isEmpty() or (max_rounds is not None and rounds >= max_rounds):
             break
         # settle the open names whose definition became known in this round
         known = (
@@ -275,15 +322,14 @@ def propagate(assignments: DataFrame, max_rounds: int | None = None, bucket_widt
             .groupBy("file", "pos")
             .agg(F.map_from_entries(F.collect_list(F.struct("name", "rank"))).alias("_new"))
         )
-        todo = cut_lineage(
-            rest.join(known, ["file", "pos"], "left").select(
-                "file", "pos", "facts",
-                F.when(F.col("_new").isNull(), F.col("open")).otherwise(
-                    F.filter("open", lambda o: ~F.map_contains_key("_new", o["name"]))
-                ).alias("open"),
-                F.when(F.col("_new").isNull(), F.col("states")).otherwise(F.map_concat("states", "_new")).alias("states"),
-            )
+        moved = rest.join(known, ["file", "pos"], "left").select(
+            "file", "pos", "facts",
+            F.when(F.col("_new").isNull(), F.col("open")).otherwise(
+                F.filter("open", lambda o: ~F.map_contains_key("_new", o["name"]))
+            ).alias("open"),
+            F.when(F.col("_new").isNull(), F.col("states")).otherwise(F.map_concat("states", "_new")).alias("states"),
         )
+        todo = cut_lineage(moved.withColumn("rank", rank))
     return facts.select("file", "pos", "targets").join(settled, ["file", "pos"], "left")
 
 

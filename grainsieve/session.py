@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,26 +34,31 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder.
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder.
 
-    The folder named by ``spark.checkpoint.dir`` wins.  Only a local session without one gets a
-    folder of its own; on a cluster an unset folder is an error, since a machine-local path
-    would be lost with its executor.
+    The folder named by ``spark.checkpoint.dir`` (or set on the context) is used as it is.  Only
+    a local session without one gets a folder of its own; on a cluster an unset folder is an
+    error, since a machine-local path would be lost with its executor.
     """
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if configured:
-        sc.setCheckpointDir(configured)
-    elif sc.master.startswith("local"):
+        return configured
+    if sc.getCheckpointDir() is not None:
+        return sc.getCheckpointDir()
+    if sc.master.startswith("local"):
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="grainsieve-checkpoint-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        return sc.getCheckpointDir()
+    raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and continue from the written files."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once to the shared folder and continue from the written table.
+
+    Unlike a checkpointed RDD the rows are computed once, and a lost executor costs a re-read.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/grainsieve-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

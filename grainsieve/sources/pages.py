@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grainsieve.functions.text import let, prefix_sums, trim_space
+from grainsieve.functions.text import let, prefix_scan, trim_space
 from grainsieve.functions.urls import bad_escape, resolve_url, same_origin, scheme
 
 # Script types that hold JavaScript.
@@ -51,22 +51,19 @@ def extract_scripts(pages: DataFrame, url: str = "url", html: str = "html", key:
                 ),
             ),
         )
-        kept = F.filter(raw, lambda s: s["type"].isin(*SCRIPT_TYPES) & ((s["src"] != "") | (s["body"] != "")))
-        return let(kept, lambda k: let(
-            prefix_sums(F.transform(k, lambda s: F.when(s["src"] == "", 1).otherwise(0))),
-            lambda before: F.transform(k, lambda s, i: F.struct(
-                (i + 1).alias("pos"),
-                F.when(s["src"] == "", F.lit("inline")).otherwise(F.lit("external")).alias("kind"),
-                s["src"].alias("src"),
-                F.when(s["src"] == "", s["body"]).otherwise(F.lit("")).alias("body"),
-                F.when(s["src"] == "", F.get(before, i) + 1).alias("inline_no"),
-            )),
-        ))
+        return F.filter(raw, lambda s: s["type"].isin(*SCRIPT_TYPES) & ((s["src"] != "") | (s["body"] != "")))
 
+    inline_before = prefix_scan("transform(_kept, s -> IF(s.src = '', 1, 0))", "n")
+    rows = F.expr(
+        "transform(_kept, (s, i) -> named_struct('pos', i + 1, 'kind', IF(s.src = '', 'inline', 'external'), 'src', s.src, "
+        "'body', IF(s.src = '', s.body, ''), 'inline_no', IF(s.src = '', _before[i] + 1, NULL)))"
+    )
     has_script = F.contains(F.lower(html), F.lit("<script"))
     return (
         pages.filter(has_script & scheme(F.col(url)).isin("http", "https"))
-        .select(F.col(key), F.col(url), F.explode(let(clean, scripts)).alias("_s"))
+        .select(F.col(key), F.col(url), let(clean, scripts).alias("_kept"))
+        .select("*", F.expr(inline_before).alias("_before"))
+        .select(key, url, F.explode(rows).alias("_s"))
         .select(key, url, "_s.*")
     )
 
