@@ -67,11 +67,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+# Every character of the class, for trimming without a regex.
+_SPACES = "".join(map(chr, [
+    *range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
+]))
+# UTF-8 beginnings of the characters of the class beyond Latin-1.
+_WIDE_SPACE_BYTES = (b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
+
+
 def trim_space(c: Column) -> Column:
     """Trim Unicode white space from both ends."""
-    return F.regexp_replace(
-        F.regexp_replace(c, f"^[{SPACE_CLASS}]+", ""), f"[{SPACE_CLASS}]+$", ""
-    )
+    return F.btrim(c, F.lit(_SPACES))
 
 
 def is_blank(c: Column) -> Column:
@@ -79,8 +85,17 @@ def is_blank(c: Column) -> Column:
 
 
 def squeeze_space(c: Column) -> Column:
-    """Trim, and turn every run of white space into one space."""
-    return trim_space(F.regexp_replace(c, f"[{SPACE_CLASS}]+", " "))
+    """Trim, and turn every run of white space into one space.
+
+    A class within Latin-1 is one table lookup per character; the full class is only used on
+    texts that hold a byte sequence it could need.
+    """
+    raw = c.cast("binary")
+    wide = F.lit(False)
+    for prefix in _WIDE_SPACE_BYTES:
+        wide = wide | F.contains(raw, F.lit(prefix))
+    narrow = F.regexp_replace(c, r"[\x09-\x0d\x20\x85\xa0]+", " ")
+    return trim_space(F.when(wide, F.regexp_replace(c, f"[{SPACE_CLASS}]+", " ")).otherwise(narrow))
 
 
 def byte_prefix(c: Column, n: int) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainsieve.functions.text import string_array
+from grainsieve.session import spread
 
 
 def quote(text: str) -> str:
@@ -86,7 +87,7 @@ class Derived:
         row = F.struct(*[e.column().alias(n) for n, e in self.columns.items()])
         # one generated row per input row: later steps read the finished values, instead of
         # having the optimizer paste these long expressions wherever a column is used
-        return table(spark, folder, self.base).select(F.inline(F.array(row)))
+        return spread(table(spark, folder, self.base)).select(F.inline(F.array(row)))
 
     @property
     def sql(self) -> str:
@@ -317,7 +318,7 @@ PACKAGES = Derived("lineitem", {
     "project_path": join("proj/", string("l_suppkey")),
     "manifest_path": join("proj/", string("l_suppkey"), "/", pick(("package.json", "package.json", "package.json", "requirements.txt", "go.mod", "Cargo.toml"), "l_partkey % 6")),
     "scope": pick(("dependencies", "devDependencies", "dependencies"), "l_partkey % 3"),
-    "package": pick(_NAMES + tuple(f"pkg-{i}" for i in range(30)), "l_partkey % 40"),
+    "package": fill(pick(_NAMES + ("pkg-#P#",) * 30, "l_partkey % 40"), P=string("l_partkey % 1000")),
     "declared_version": join(pick(("", "^", "v", "~", ""), "l_orderkey % 5"), _VERSION, pick(("", "", "-beta.2", ""), "l_orderkey % 4")),
     "resolved_version": pick(("", "2.3.1", "", "1.0.0-rc.1"), "l_orderkey % 4"),
     "version_source": pick(("", "package-lock.json", "", "pnpm-lock.yaml"), "l_orderkey % 4"),
@@ -330,7 +331,7 @@ _CONSTRAINTS = (
 ADVISORIES_A = Derived("part", {
     "id": join("ADV-", string("p_partkey")),
     "ecosystem": pick(("npm", "npm", "npm", "pip", "go", "cargo"), "p_partkey % 6"),
-    "package": pick(_NAMES + tuple(f"pkg-{i}" for i in range(30)), "p_partkey % 40"),
+    "package": fill(pick(_NAMES + ("pkg-#P#",) * 190, "p_partkey % 200"), P=string("p_partkey % 1000")),
     "severity": pick(("HIGH", "CRITICAL", "MEDIUM", "LOW", "high"), "p_size % 5"),
     "title": join("Issue ", string("p_partkey")),
     "description": join("About ", string("p_size")),
@@ -354,7 +355,7 @@ ADVISORIES_B = Derived("supplier", {
 COMPROMISED = Derived("part", {
     "id": join("COMP-", string("p_partkey")),
     "ecosystem": pick(("npm", "Rust", "pip"), "p_partkey % 3"),
-    "package": pick(_NAMES + tuple(f"pkg-{i}" for i in range(30)), "p_partkey % 40"),
+    "package": fill(pick(_NAMES + ("pkg-#P#",) * 30, "p_partkey % 40"), P=string("p_partkey % 1000")),
     "severity": pick(("CRITICAL", "HIGH"), "p_partkey % 2"),
     "description": join("bad ", string("p_partkey")),
     "source": text("curated"),

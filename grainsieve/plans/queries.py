@@ -30,6 +30,7 @@ from grainsieve.operators.rule_scan import (
 from grainsieve.operators.scripts import manifest_documents, name_scripts, saved_counts, script_manifest
 from grainsieve.operators.suppression import is_suppressed
 from grainsieve.plans import derived as D
+from grainsieve.session import spread
 from grainsieve.plans import gates as G
 from grainsieve.plans import reports as R
 from grainsieve.plans import summaries as S
@@ -50,14 +51,14 @@ PAGE_PROBES = (Pattern("TRACK-CALL", r"track\((\d+)\)", 1, any_of=("track(",)),
 
 
 def document_files(spark, d) -> DataFrame:
-    return files_from_table(D.table(spark, d, "documents"), F.concat(F.lit("documents/"), "doc_id", F.lit(".txt")), "text")
+    return files_from_table(spread(D.table(spark, d, "documents")), F.concat(F.lit("documents/"), "doc_id", F.lit(".txt")), "text")
 
 
 def text_files(spark, d) -> DataFrame:
     """documents, pages and conversations as one corpus."""
-    pages = files_from_table(D.table(spark, d, "pages"), F.concat(F.lit("pages/"), "page_id", F.lit(".html")), "html")
+    pages = files_from_table(spread(D.table(spark, d, "pages")), F.concat(F.lit("pages/"), "page_id", F.lit(".html")), "html")
     talk = files_from_table(
-        D.table(spark, d, "conversations"),
+        spread(D.table(spark, d, "conversations")),
         F.concat(F.lit("conversations/"), "conv_id", F.lit("-"), "turn", F.lit(".txt")), "text",
     )
     return document_files(spark, d).unionByName(pages).unionByName(talk)

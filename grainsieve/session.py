@@ -62,3 +62,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(spark).rstrip('/')}/grainsieve-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, bytes_per_task: int = 8 << 20) -> DataFrame:
+    """Give a small input enough tasks for CPU-bound text work.
+
+    A file with a single row group is one task however many cores wait.  Inputs that already have
+    a task's worth of bytes per core are left alone, so nothing large is ever shuffled here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * bytes_per_task else df
