@@ -115,18 +115,12 @@ def raw_matches(lines: DataFrame, detectors: Sequence[Detector], kinds: Sequence
     )
     if not words:
         return found
-    # the word list is a literal relation of known size: Spark broadcasts it by itself
-    dictionary = lines.sparkSession.createDataFrame(
-        [(w, d) for w, owners in words.items() for d in owners], "_word string, _owner string"
-    )
+    # few rows are left here, so a constant map names the detectors of a word
     is_token = F.col("detector_id") == _TOKEN
-    return (
-        found.filter(~is_token | F.expr(f"lower(match) IN ({word_list})"))
-        .withColumn("_word", F.when(is_token, F.lower("match")))
-        .join(dictionary, "_word", "left")
-        .select("path", "line_no", "line", "match_kind",
-                F.coalesce("_owner", "detector_id").alias("detector_id"), "start", "match")
-    )
+    owners = string_map((w, "\n".join(ds)) for w, ds in words.items())
+    found = found.filter(~is_token | F.expr(f"lower(match) IN ({word_list})"))
+    owner = F.when(is_token, F.split(F.try_element_at(owners, F.lower("match")), "\n", -1)).otherwise(F.array("detector_id"))
+    return found.select("path", "line_no", "line", "match_kind", F.explode(owner).alias("detector_id"), "start", "match")
 
 
 def inventory_detections(

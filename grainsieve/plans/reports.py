@@ -220,7 +220,7 @@ def document_lines(sections: list[tuple[str, DataFrame | None, str]]) -> DataFra
     spark = next(rows for _, rows, _ in sections if rows is not None).sparkSession
     part = 0
     for opening, rows, key in sections:
-        head = spark.createDataFrame([(part, "", opening)], "part int, key string, line string")
+        head = spark.range(1).select(F.lit(part).alias("part"), F.lit("").alias("key"), F.lit(opening).alias("line"))
         out = head if out is None else out.unionByName(head)
         part += 1
         if rows is not None:

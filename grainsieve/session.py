@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 #: Settings that matter for skewed corpora; all are Spark's own switches.
 RECOMMENDED_CONF = {
@@ -73,3 +76,13 @@ def spread(df: DataFrame, bytes_per_task: int = 8 << 20) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < cores * bytes_per_task else df
+
+
+def local_table(spark: SparkSession, rows: list[dict], schema: StructType) -> DataFrame:
+    """Driver-side rows as a local relation.
+
+    Unlike rows that pass through an RDD, Spark knows the size of a local relation and so
+    broadcasts it exactly while it is below the broadcast threshold.
+    """
+    fields = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema.fields])
+    return spark.createDataFrame(pa.Table.from_pylist(rows, schema=fields), schema)

@@ -6,8 +6,6 @@ import re
 from dataclasses import dataclass
 from itertools import product
 
-from pyspark.sql import DataFrame, SparkSession
-
 SEVERITIES = ("LOW", "MEDIUM", "HIGH", "CRITICAL")
 
 
@@ -217,14 +215,6 @@ def builtin_detectors() -> list[Detector]:
     return out
 
 
-def detectors_table(spark: SparkSession, detectors: list[Detector]) -> DataFrame:
-    """The detector dimension: one row per detector."""
-    return spark.createDataFrame(
-        [(d.id, d.category, d.data_type, d.effective_severity) for d in detectors],
-        "detector_id string, category string, data_type string, severity string",
-    )
-
-
 def expand_words(pattern: str) -> list[str] | None:
     """All words an identifier pattern can match, or None when it is not one plain ASCII word.
 

@@ -15,6 +15,7 @@ from grainsieve.functions.normalize import SEVERITY_RANK, clean_list
 from grainsieve.functions.paths import LANGUAGE_ALIASES, LANGUAGE_DISPLAY, language_alias
 from grainsieve.functions.text import is_blank, java_pattern, trim_space
 from grainsieve.operators.lexical import Pattern
+from grainsieve.session import local_table
 from grainsieve.sources.rulepack import ARG, GAP, RULE_TEXT
 
 _ALIAS_KEY = {alias: key for key, aliases in LANGUAGE_ALIASES.items() for alias in aliases}
@@ -123,25 +124,29 @@ RULE_SCHEMA = T.StructType([
 
 
 def rules_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
-    """The rules as a dimension table.
-
-    It is a local relation, so Spark knows its size and broadcasts it only while that is small.
-    """
+    """The rules as a dimension table of known size (a local relation)."""
     rows = []
     for i, r in enumerate(rules):
         m = r.metadata
-        rows.append((
-            i, r.id, r.severity, r.framework, r.language_key, r.effective_confidence, r.description,
-            r.effective_description, r.capture_names, r.finding_capture, r.tags, r.references, r.cwe,
-            r.owasp, r.remediation, r.requires_dependency, r.ignore_if_literal,
-            {k: java_pattern(v) for k, v in r.ignore_if_matches.items()},
-            {k: java_pattern(v) for k, v in r.require_if_matches.items()},
-            r.min_arg_count, r.max_arg_count,
-            (r.sink_capture, r.require_tainted, r.require_proven_tainted, r.sink_arg_index),
-            (m.get("category", ""), m.get("taxonomy", []), m.get("cwe", []), m.get("owasp", []),
-             m.get("references", []), m.get("remediation", ""), m.get("confidence_rationale", "")),
-        ))
-    return spark.createDataFrame(rows, RULE_SCHEMA)
+        meta = {c: m.get(c, []) for c in ("taxonomy", "cwe", "owasp", "references")}
+        meta |= {c: m.get(c, "") for c in ("category", "remediation", "confidence_rationale")}
+        rows.append({
+            "rule_order": i, "rule_id": r.id, "severity": r.severity, "framework": r.framework,
+            "language": r.language_key, "confidence": r.effective_confidence, "description": r.description,
+            "effective_description": r.effective_description, "capture_names": r.capture_names,
+            "finding_capture": r.finding_capture, "tags": r.tags, "references": r.references, "cwe": r.cwe,
+            "owasp": r.owasp, "remediation": r.remediation, "requires_dependency": r.requires_dependency,
+            "ignore_if_literal": r.ignore_if_literal,
+            "ignore_if_matches": [(k, java_pattern(v)) for k, v in r.ignore_if_matches.items()],
+            "require_if_matches": [(k, java_pattern(v)) for k, v in r.require_if_matches.items()],
+            "min_arg_count": r.min_arg_count, "max_arg_count": r.max_arg_count,
+            "taint": {
+                "sink_capture": r.sink_capture, "require_tainted": r.require_tainted,
+                "require_proven_tainted": r.require_proven_tainted, "sink_arg_index": r.sink_arg_index,
+            },
+            "metadata": meta,
+        })
+    return local_table(spark, rows, RULE_SCHEMA)
 
 
 def builtin_rules() -> list[Rule]:
