@@ -71,6 +71,14 @@ def language_for_path(path: Column) -> Column:
     return out
 
 
+def source_glob() -> str:
+    """File name glob of all source extensions, any case: other files are not even opened."""
+    def any_case(ext: str) -> str:
+        return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in ext[1:])
+
+    return "*.{" + ",".join(any_case(e) for exts in LANGUAGE_EXTENSIONS.values() for e in exts) + "}"
+
+
 def language_alias(name: Column) -> Column:
     """Language key of a free-form language name; unknown names pass through lower-cased."""
     clean = F.lower(trim_space(F.coalesce(name, F.lit(""))))

@@ -9,7 +9,8 @@ from grainsieve.functions.normalize import CONFIDENCE_RANK, SEVERITY_RANK, confi
 from grainsieve.functions.paths import (
     in_pruned_dir, is_inventory_path, is_test_path, is_vendored_path, language_for_path,
 )
-from grainsieve.functions.text import trim_space
+from grainsieve.functions.text import string_array, trim_space
+from grainsieve.session import bounded_values
 
 MAX_INVENTORY_BYTES = 5 * 1024 * 1024
 
@@ -54,30 +55,33 @@ def within_size(files: DataFrame, max_bytes: int = 0, size: str = "size") -> Dat
     return files.filter(F.col(size) <= (max_bytes if max_bytes > 0 else MAX_INVENTORY_BYTES))
 
 
-def only_changed(files: DataFrame, changed: DataFrame, restrict: bool | None = None) -> DataFrame:
-    """Keep the changed files (semi join); an empty list restricts nothing.
+def only_changed(files: DataFrame, changed: DataFrame, list_limit: int = 10_000) -> DataFrame:
+    """Keep the changed files; an empty list restricts nothing.
 
-    ``restrict`` says whether the list is non-empty, when the caller knows; otherwise one cheap
-    look at the list decides.
+    A list of up to ``list_limit`` paths becomes a set test inside the scan, so file contents are
+    never shuffled for it; a longer one is a semi join.
     """
-    if restrict is None:
-        restrict = not changed.isEmpty()
-    if not restrict:
+    keys = changed.select(clean_path(F.col("path")).alias("_changed"))
+    values = bounded_values(keys, "_changed", list_limit)
+    if values is None:
+        return files.join(keys.distinct(), clean_path(F.col("path")) == F.col("_changed"), "left_semi")
+    if not values:
         return files
-    keys = changed.select(clean_path(F.col("path")).alias("_changed")).distinct()
-    return files.join(keys, clean_path(F.col("path")) == F.col("_changed"), "left_semi")
+    return files.filter(F.array_contains(string_array(values), clean_path(F.col("path"))) if len(values) < 20
+                        else clean_path(F.col("path")).isin(values))
 
 
-def without_excluded(files: DataFrame, excluded: DataFrame, path: str = "path") -> DataFrame:
+def without_excluded(files: DataFrame, excluded: DataFrame, path: str = "path", list_limit: int = 1_000) -> DataFrame:
     """Drop files equal to, or below, an excluded path.
 
-    Each file is turned into its own ancestor paths, so the prefix test is an equality anti join
-    and needs no nested loop: the keys are spread over the cluster and no side must be small.
+    Each file has its own ancestor paths, so the prefix test is an equality test.  A list of up to
+    ``list_limit`` paths is tested inside the row; a longer one is an equality anti join over
+    exploded ancestors, spread over the cluster, never a nested loop.
     """
     clean = clean_path(F.col(path))
     roots = (
         excluded.select(trim_space(F.col("path")).alias("_p")).filter(F.col("_p") != "")
-        .select(clean_path(F.col("_p")).alias("_root")).distinct()
+        .select(clean_path(F.col("_p")).alias("_root"))
     )
     segments = F.split(clean, "/", -1)
     ancestors = F.array_distinct(F.transform(
@@ -85,9 +89,12 @@ def without_excluded(files: DataFrame, excluded: DataFrame, path: str = "path")
         lambda n: F.when(F.array_join(F.slice(segments, F.lit(1), n), "/") == "", F.lit("/"))
         .otherwise(F.array_join(F.slice(segments, F.lit(1), n), "/")),
     ))
+    values = bounded_values(roots, "_root", list_limit)
+    if values is not None:
+        return files.filter(~F.arrays_overlap(ancestors, string_array(values))) if values else files
     hit = (
         files.select(F.col(path).alias("_file"), F.explode(ancestors).alias("_root"))
-        .join(roots, "_root", "left_semi").select("_file").distinct()
+        .join(roots.distinct(), "_root", "left_semi").select("_file").distinct()
     )
     return files.join(hit, F.col(path) == F.col("_file"), "left_anti")
 

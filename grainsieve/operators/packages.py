@@ -95,20 +95,26 @@ def match_compromised(packages: DataFrame, compromised: DataFrame) -> DataFrame:
     )
 
 
-def apply_policy(matches: DataFrame, policy: DataFrame, now) -> tuple[DataFrame, DataFrame]:
-    """(kept, dropped) advisory matches; an entry counts up to and including its expiry.
+def flag_ignored(matches: DataFrame, policy: DataFrame, now) -> DataFrame:
+    """Add ``ignored``: an active policy entry covers the match (active up to its expiry).
 
     Entries with and without a package become two equality joins, so there is no nested loop.
     """
     active = policy.filter(F.col("expiry").isNull() | (F.col("expiry") >= F.lit(now).cast("timestamp")))
-    by_id = active.filter(F.col("package").isNull()).select(F.col("id").alias("advisory_id")).distinct()
-    by_package = active.filter(F.col("package").isNotNull()).select(F.col("id").alias("advisory_id"), "package").distinct()
-    rest = matches.join(by_id, "advisory_id", "left_anti")
-    kept = rest.join(by_package, ["advisory_id", "package"], "left_anti")
-    dropped = matches.join(by_id, "advisory_id", "left_semi").unionByName(
-        rest.join(by_package, ["advisory_id", "package"], "left_semi")
+    by_id = active.filter(F.col("package").isNull()).select(
+        F.col("id").alias("advisory_id"), F.lit(True).alias("_by_id")).distinct()
+    by_package = active.filter(F.col("package").isNotNull()).select(
+        F.col("id").alias("advisory_id"), "package", F.lit(True).alias("_by_package")).distinct()
+    flagged = matches.join(by_id, "advisory_id", "left").join(by_package, ["advisory_id", "package"], "left")
+    return flagged.select(
+        *matches.columns, (F.col("_by_id").isNotNull() | F.col("_by_package").isNotNull()).alias("ignored")
     )
-    return kept.select(*matches.columns), dropped.select(*matches.columns)
+
+
+def apply_policy(matches: DataFrame, policy: DataFrame, now) -> tuple[DataFrame, DataFrame]:
+    """(kept, dropped) advisory matches."""
+    flagged = flag_ignored(matches, policy, now)
+    return flagged.filter(~F.col("ignored")).drop("ignored"), flagged.filter("ignored").drop("ignored")
 
 
 def dependency_findings(matches: DataFrame, root: str | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from grainsieve.operators.lexical import Pattern, find_matches
+from grainsieve.operators.lexical import Pattern
 from grainsieve.sources.rules import Rule
 
 # The tracked names and the rule's labels.
@@ -19,21 +19,20 @@ PROTO_RULE = Rule(
     },
 )
 EVENT_PATTERNS = (
-    Pattern("declare", rf"\b(?:var|let|const)\s+({TRACKED})\s*(?:=|;|,|$)", 1, any_of=("payload", "key")),
-    Pattern("sanitize", rf"""\bif\s*\(\s*({TRACKED})\s*(?:[=!]==?|[<>]=?)\s*(?:'__proto__'|"__proto__")\s*\)""", 1,
+    Pattern("proto declare", rf"\b(?:var|let|const)\s+({TRACKED})\s*(?:=|;|,|$)", 1, any_of=("payload", "key")),
+    Pattern("proto sanitize", rf"""\bif\s*\(\s*({TRACKED})\s*(?:[=!]==?|[<>]=?)\s*(?:'__proto__'|"__proto__")\s*\)""", 1,
             any_of=("__proto__",)),
-    Pattern("sink", rf"[A-Za-z_$][\w$.]*\[\s*({TRACKED})\s*\]\s*=\s*[^=;\s][^;]*", 1, any_of=("payload", "key")),
+    Pattern("proto sink", rf"[A-Za-z_$][\w$.]*\[\s*({TRACKED})\s*\]\s*=\s*[^=;\s][^;]*", 1, any_of=("payload", "key")),
 )
 
 
-def proto_events(lines: DataFrame) -> DataFrame:
-    """declare / sanitize / sink events of JavaScript lines with their positions."""
-    found = find_matches(lines.filter(F.col("language") == "javascript"), EVENT_PATTERNS)
-    return found.withColumns({
-        "kind": F.col("pattern_key"),
+def proto_events(matches: DataFrame) -> DataFrame:
+    """declare / sanitize / sink events, from matches of the event patterns."""
+    return matches.filter(F.col("rule_id").isin([p.key for p in EVENT_PATTERNS])).withColumns({
+        "kind": F.col("rule_id"),
         "name": F.get("captures", 0),
         "pos": F.col("line_no").cast("long") * (1 << 20) + F.col("start"),
-    }).drop("pattern_key")
+    })
 
 
 def unsafe_sinks(events: DataFrame) -> DataFrame:
@@ -44,16 +43,13 @@ def unsafe_sinks(events: DataFrame) -> DataFrame:
     """
     before = Window.partitionBy("path", "name").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     latest = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("pos"))).over(before)
-    state = events.withColumns({"_declared": latest("declare"), "_sanitized": latest("sanitize")})
+    state = events.withColumns({"_declared": latest("proto declare"), "_sanitized": latest("proto sanitize")})
     return state.filter(
-        (F.col("kind") == "sink") & F.col("_declared").isNotNull()
+        (F.col("kind") == "proto sink") & F.col("_declared").isNotNull()
         & (F.col("_sanitized").isNull() | (F.col("_sanitized") < F.col("_declared")))
     ).drop("_declared", "_sanitized")
 
 
-def proto_matches(lines: DataFrame) -> DataFrame:
+def proto_matches(matches: DataFrame) -> DataFrame:
     """Unsafe sinks in the shape of rule matches."""
-    return unsafe_sinks(proto_events(lines)).select(
-        "path", "language", F.lit(PROTO_RULE.id).alias("rule_id"), "line_no", "start", F.lit(0).alias("breaks"),
-        "match", "captures", "line", "prev_line", "next_line",
-    )
+    return unsafe_sinks(proto_events(matches)).withColumn("rule_id", F.lit(PROTO_RULE.id)).select(*matches.columns)

@@ -459,7 +459,7 @@ _last = lambda kind: (
 )
 ORACLES["proto_assignment"] = (
     f"{with_lines(CODE)}, ev AS MATERIALIZED ({_events}) SELECT path, line_no, start + 1 AS \"column\", match FROM "
-    f"(SELECT *, {_last('declare')} AS d, {_last('sanitize')} AS z FROM ev s WHERE s.rule_id = 'sink') WHERE d IS NOT NULL AND (z IS NULL OR z < d)"
+    f"(SELECT *, {_last('proto declare')} AS d, {_last('proto sanitize')} AS z FROM ev s WHERE s.rule_id = 'proto sink') WHERE d IS NOT NULL AND (z IS NULL OR z < d)"
 )
 
 # --- propagation ----------------------------------------------------------------------------

@@ -23,7 +23,7 @@ from grainsieve.operators.filters import (
 )
 from grainsieve.operators.inventory import inventory_detections, sort_detections
 from grainsieve.operators.lexical import Pattern
-from grainsieve.operators.proto import proto_matches
+from grainsieve.operators.proto import EVENT_PATTERNS, proto_matches
 from grainsieve.operators.rule_scan import (
     assemble_findings, capture_filters, locate, scan_patterns, scan_rules, with_rule,
 )
@@ -147,7 +147,7 @@ def changed_files_parse(spark, d):
 def changed_files(spark, d):
     changed = parse_changed_files(D.CHANGED_LINES.frame(spark, d), cwd="")
     files = D.CODE_FILES.frame(spark, d).select(F.concat(F.lit("/"), "path").alias("path"))
-    return only_changed(files, changed, restrict=True)
+    return only_changed(files, changed)
 
 
 def normalize_fields(spark, d):
@@ -274,7 +274,7 @@ def suppressions(spark, d):
 
 
 def proto_assignment(spark, d):
-    m = proto_matches(to_lines(code_files(spark, d), "language"))
+    m = proto_matches(scan_rules(code_files(spark, d), [], EVENT_PATTERNS))
     return m.select("path", F.col("line_no").cast("long").alias("line_no"), (F.col("start") + 1).cast("long").alias("column"), "match")
 
 
@@ -456,9 +456,9 @@ def _policy(spark, d):
 
 
 def advisory_policy(spark, d):
-    kept, dropped = P.apply_policy(advisory_matches_df(spark, d), _policy(spark, d), NOW)
-    tag = lambda df, s: df.select("advisory_id", "package", "version", "project_path", F.lit(s).alias("outcome"))
-    return tag(kept, "kept").unionByName(tag(dropped, "dropped"))
+    flagged = P.flag_ignored(advisory_matches_df(spark, d), _policy(spark, d), NOW)
+    outcome = F.when(F.col("ignored"), "dropped").otherwise("kept")
+    return flagged.select("advisory_id", "package", "version", "project_path", outcome.alias("outcome"))
 
 
 def intel_merge(spark, d):

@@ -13,7 +13,7 @@ from grainsieve.operators.filters import (
 )
 from grainsieve.operators.inventory import inventory_detections
 from grainsieve.operators.packages import apply_policy, dependency_findings, match_advisories
-from grainsieve.operators.proto import PROTO_RULE, proto_matches
+from grainsieve.operators.proto import EVENT_PATTERNS, PROTO_RULE, proto_matches
 from grainsieve.operators.rule_scan import (
     assemble_findings, capture_filters, locate, scan_rules, unsuppressed, with_rule,
 )
@@ -62,14 +62,15 @@ def taint_gated(joined: DataFrame, lines: DataFrame) -> DataFrame:
     """Drop matches whose sink is a constant or sanitized at the end of its file."""
     gated = F.col("taint.require_tainted") & (F.col("language") == "javascript")
     sinks = joined.filter(gated)
-    # only files with a gated match need their assignments
-    wanted = sinks.select(F.col("path")).distinct()
-    assigns = extract_assignments(lines.filter(F.col("language") == "javascript").join(wanted, "path", "left_semi"))
+    if sinks.isEmpty():
+        return joined
+    # a narrow pass turns lines into light facts; only facts of files with a gated match go on
+    wanted = sinks.select(F.col("path").alias("file")).distinct()
+    assigns = extract_assignments(lines.filter(F.col("language") == "javascript")).join(wanted, "file", "left_semi")
     finals = final_states(propagate(assigns))
     capture = F.try_element_at(F.col("captured"), F.col("taint.sink_capture"))
-    prepared = cut_lineage(sinks.withColumns({
-        "sink_id": F.xxhash64("path", "rule_id", "line_no", "start", "match").cast("string"),
-    })).withColumns({
+    prepared = sinks.withColumns({
+        "sink_id": F.concat_ws("|", "path", "rule_id", "line_no", "start", F.octet_length("match")),
         "file": F.col("path"),
         "expr": capture,
         "require_tainted": F.col("taint.require_tainted"),
@@ -83,16 +84,21 @@ def taint_gated(joined: DataFrame, lines: DataFrame) -> DataFrame:
 
 def rule_scan(files: DataFrame, rules: Sequence[Rule] | None = None, options: ScanOptions | None = None,
               taint: bool = True) -> DataFrame:
-    """Findings of the rules and of the prototype-key check on a corpus."""
+    """Findings of the rules and of the prototype-key check on a corpus.
+
+    One pass over the texts yields the matches of all rules and events; they are few, and written
+    to the shared folder once, so that the branches below do not scan the corpus again.  Taint
+    adds a second pass for assignments, only when some match asks for it.
+    """
     options = options or ScanOptions()
     rules = applicable_rules(builtin_rules() if rules is None else rules, options)
     spark = files.sparkSession
     sources = select_sources(files, options)
-    lines = to_lines(sources, "language")
-    joined = capture_filters(with_rule(scan_rules(sources, rules), rules_table(spark, rules)))
+    matches = cut_lineage(scan_rules(sources, rules, EVENT_PATTERNS))
+    joined = capture_filters(with_rule(matches, rules_table(spark, rules)))
     if taint:
-        joined = taint_gated(joined, lines)
-    proto = with_rule(proto_matches(lines), rules_table(spark, [PROTO_RULE]))
+        joined = taint_gated(joined, to_lines(sources, "language"))
+    proto = with_rule(proto_matches(matches), rules_table(spark, [PROTO_RULE]))
     found = unsuppressed(joined.unionByName(proto))
     findings = assemble_findings(locate(found), options.root)
     return findings.filter(threshold_filter(options.min_severity, options.min_confidence))

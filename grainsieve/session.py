@@ -86,3 +86,9 @@ def local_table(spark: SparkSession, rows: list[dict], schema: StructType) -> Da
     """
     fields = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema.fields])
     return spark.createDataFrame(pa.Table.from_pylist(rows, schema=fields), schema)
+
+
+def bounded_values(df: DataFrame, column: str, limit: int) -> list | None:
+    """Distinct values of a column when there are at most ``limit``, else None (one short job)."""
+    rows = df.select(column).distinct().limit(limit + 1).collect()
+    return None if len(rows) > limit else [r[0] for r in rows]
