@@ -103,7 +103,7 @@ def _match_rows(text: str, max_caps: int, multiline: bool) -> str:
     captures; the start of match i is the size of all gaps up to i and all matches before it.
     """
     fields = [f"'m', regexp_extract_all({text}, _re, 0)", f"'g', split({text}, _re, -1)"]
-    fields += [f"'c{k}', regexp_extract_all({text}, _re, IF(_n >= {k}, {k}, 0))" for k in range(1, max_caps + 1)]
+    fields += [f"'c{k}', IF(_n >= {k}, regexp_extract_all({text}, _re, {k}), NULL)" for k in range(1, max_caps + 1)]
     parts = "named_struct(" + ", ".join(fields) + ")"
     captures = (
         "slice(array(" + ", ".join(f"p.c{k}[i]" for k in range(1, max_caps + 1)) + "), 1, _n)" if max_caps
@@ -127,6 +127,9 @@ def _match_rows(text: str, max_caps: int, multiline: bool) -> str:
     in_piece = f"IF({breaks('m')} > 0, {start} + octet_length(m) - {tail('m')}, {in_gap})"
     all_breaks = prefix_scan(f"transform(p.m, (m, i) -> {breaks('p.g[i]')} + {breaks('m')})", "y")
     last_break = prefix_scan(f"transform(p.m, (m, i) -> {in_piece})", "w", "max")
+    flat = f"transform(p.m, (m, i) -> named_struct({row}, 'line_offset', 0, 'line_start', 0))"
     row += f", 'line_offset', b[i] + {breaks('p.g[i]')}, 'line_start', greatest(l[i], {in_gap}, 0)"
     body = f"transform(p.m, (m, i) -> named_struct({row}))"
-    return sql_let(parts, "p", sql_let(prefix_scan(sizes, "z"), "s", sql_let(all_breaks, "b", sql_let(last_break, "l", body))))
+    spread_out = sql_let(all_breaks, "b", sql_let(last_break, "l", body))
+    chosen = f"IF(contains({text}, '\\n'), {spread_out}, {flat})"
+    return sql_let(parts, "p", sql_let(prefix_scan(sizes, "z"), "s", chosen))
