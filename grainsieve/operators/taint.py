@@ -344,16 +344,8 @@ def final_states(propagated: DataFrame) -> DataFrame:
 
 def _arguments(expr: Column) -> Column:
     """Top-level arguments of an argument list, in order."""
-    # commas inside brackets or texts are hidden by masking, the pieces are found by their sizes
-    def pieces(e: Column) -> Column:
-        return F.filter(
-            F.transform(
-                F.regexp_extract_all(e, F.lit(ARGUMENT), F.lit(0)), trim_space
-            ),
-            lambda a: a != "",
-        )
-
-    return pieces(expr)
+    pieces = F.transform(F.regexp_extract_all(expr, F.lit(ARGUMENT), F.lit(0)), trim_space)
+    return F.filter(pieces, lambda a: a != "")
 
 
 _NEST0 = r"""[^()\[\]{},"'`]"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grainsieve.functions.text import trim_space
@@ -64,7 +64,10 @@ def normalize_feed(feed: DataFrame) -> DataFrame:
 
 
 def merge_intel(seed: DataFrame, feed: DataFrame, key: str = "id") -> DataFrame:
-    """Seed and feed by id; where both have one, the feed's row stays."""
+    """Seed and feed by id; where both have one, the feed's row stays.
+
+    An aggregate, so copies of one id collapse before the shuffle.
+    """
     both = seed.withColumn("_priority", F.lit(1)).unionByName(feed.withColumn("_priority", F.lit(0)), allowMissingColumns=True)
-    first = F.row_number().over(Window.partitionBy(key).orderBy("_priority"))
-    return both.withColumn("_n", first).filter(F.col("_n") == 1).drop("_n", "_priority")
+    columns = [c for c in both.columns if c != "_priority"]
+    return both.groupBy(key).agg(F.min_by(F.struct(*columns), "_priority").alias("_r")).select("_r.*")

@@ -1,7 +1,5 @@
 import re
 
-from pyspark.sql import functions as F
-
 from grainsieve.operators.inventory import identifier_dictionary, inventory_detections
 from grainsieve.sources.corpus import files_from_table
 from grainsieve.sources.detectors import Detector, builtin_detectors, expand_words
