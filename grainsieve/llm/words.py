@@ -80,10 +80,13 @@ class Words:
         first = np.concatenate([[0], np.cumsum(counts)])
         if words < n:
             return np.empty(0, dtype=np.uint64), first
-        at = np.arange(words - n + 1)
-        hashes = _ranges(self.hash, _WORDS, at, at + n)
-        inside = np.repeat(self.first[1:], np.diff(self.first))[: words - n + 1] >= at + n
-        return hashes[inside], first
+        inside = np.repeat(self.first[1:], np.diff(self.first))[: words - n + 1] >= np.arange(n, words + 1)
+        return self.all_grams(n)[inside], first
+
+    def all_grams(self, n: int) -> np.ndarray:
+        """Hashes of the n-grams that start at each word but the last ones, across borders too."""
+        at = np.arange(len(self.hash) - n + 1)
+        return _ranges(self.hash, _WORDS, at, at + n)
 
     def whole(self, i: int) -> np.ndarray:
         """The hash of text i's whole word sequence, as an array of one."""
