@@ -211,9 +211,24 @@ class JaccardJoin:
         roots = space.write(components(space, first.union(second), "all").select(F.col("id").alias("cid"), "root"), "all-roots")
         whole = classes.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
         least = space.write(whole.groupBy("root").agg(F.min("least").alias("component_id")), "least")
-        member = space.write(whole.join(least, "root").select("n", "d1", "d2", "component_id"), "members")
+        member = space.write(whole.join(least, "root").select("n", "d1", "d2", "root", "component_id"), "members")
         return docs.join(member, ["n", "d1", "d2"], "left").select(
-            "doc_id", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+            "doc_id", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "root")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that stay when each component keeps its smallest id; all columns stay.
+
+    Texts without words are in no component and stay.  Of rows of a component that share the smallest
+    id the one with the smallest text hash stays.
+    """
+    found = jaccard_join(docs, id_col, text_col, **options)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash")).alias("first")
+    kept = found.where("root is not null").groupBy("root").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
+    kept = kept.union(found.where("root is null").select("doc_id", "text_hash")).distinct()
+    kept = Workspace(docs.sparkSession, "one-of-each").write(kept, "kept")
+    on = field(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_or_empty(text_col)) == F.col("_hash"))
+    return docs.join(kept, on, "left_semi")
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
@@ -222,7 +237,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Words are lower-cased in A-Z; a set holds the distinct shingles of ``words`` words, or the whole
     sequence of a shorter text.  Returns one row per row: ``doc_id, n_shingles, component_id`` (the
-    smallest id of its component) and ``text_hash``, which tells rows of one id apart.
+    smallest id of its component), ``text_hash``, which tells rows of one id apart, and ``root``, which
+    tells components apart where ids are null (itself null for a text without words).
 
     A null or empty text has no shingles and no links.  A null id never becomes a component's id unless
     all ids of the component are null; rows that repeat an id or a text are members of one class.  An
