@@ -38,7 +38,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.sha2(text, 256).alias("text_sha256"),
     ).withColumns({"size": F.octet_length("rest").cast("long"), "head": F.substring("rest", 1, first_bytes)})
     groups = space.write(rows.groupBy("size", "head").agg(F.count("*").alias("n")).where("n > 1"), "groups")
-    joined = rows.join(groups, ["size", "head"], "left")
+    joined = rows.join(groups.hint("merge"), ["size", "head"], "left")
     open_ = F.col("n").isNotNull()
     state = space.write(joined.select(
         "doc_id", "row", "text_sha256", F.col("size").alias("group"), open_.alias("open"),
@@ -58,7 +58,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         )
         same = F.col("n").isNotNull()
         open_ = same & (F.octet_length("rest") > width)
-        state = space.write(part.join(groups, ["group", "digit"], "left").select(
+        state = space.write(part.join(groups.hint("merge"), ["group", "digit"], "left").select(
             "doc_id", "row", "text_sha256", F.coalesce("best_uid", "uid").alias("group"), open_.alias("open"), "uid",
             F.when(open_, F.substring(F.col("rest"), F.lit(width + 1), F.octet_length("rest"))).alias("rest"),
             F.when(same, F.col("best_id")).otherwise(F.col("doc_id")).alias("keep_id"),
