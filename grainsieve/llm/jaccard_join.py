@@ -165,7 +165,7 @@ class JaccardJoin:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["cid", "shingles"])
 
         same = self.texts["doc_id"].eqNullSafe(wanted["rep_id"]) & (self.texts["text_hash"] == wanted["rep_hash"])
-        texts = self.texts.join(wanted, same).select("cid", "text")
+        texts = self.texts.join(wanted.hint("merge"), same).select("cid", "text")
         sets = self.space.write(texts.mapInArrow(run, "cid bigint, shingles binary").dropDuplicates(["cid"]), f"{name}-sets")
 
         def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +228,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = kept.union(found.where("root is null").select("doc_id", "text_hash")).distinct()
     kept = Workspace(docs.sparkSession, "one-of-each").write(kept, "kept")
     on = field(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_or_empty(text_col)) == F.col("_hash"))
-    return docs.join(kept, on, "left_semi")
+    return docs.join(kept.hint("merge"), on, "left_semi")
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,

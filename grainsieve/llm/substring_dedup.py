@@ -133,7 +133,7 @@ class SubstringDedup:
     def contexts(self, wanted: DataFrame) -> DataFrame:
         """For each wanted anchor of each wanted text, the words of its windows, joined by one space."""
         window, k = self.window, self.k
-        texts = self.docs.join(wanted.withColumnRenamed("doc_id", "rep_id"), ["t1", "t2"])
+        texts = self.docs.join(wanted.withColumnRenamed("doc_id", "rep_id").hint("merge"), ["t1", "t2"])
         texts = texts.where(F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("text", "t1", "t2", "copies", "keys")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +212,7 @@ class SubstringDedup:
                     digests.append(hashlib.sha256(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])).hexdigest())
                 yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(counts, pa.int64()), pa.array(digests, pa.string())], ["t1", "t2", "n_removed", "kept_sha256"])
 
-        texts = self.docs.join(covered.withColumnRenamed("doc_id", "rep_id"), ["t1", "t2"]).where(F.col("doc_id").eqNullSafe(F.col("rep_id")))
+        texts = self.docs.join(covered.withColumnRenamed("doc_id", "rep_id").hint("merge"), ["t1", "t2"]).where(F.col("doc_id").eqNullSafe(F.col("rep_id")))
         return texts.select("text", "t1", "t2", "lows", "masks").mapInArrow(run, "t1 bigint, t2 bigint, n_removed bigint, kept_sha256 string")
 
     def run(self) -> DataFrame:
