@@ -3,7 +3,7 @@
 Documents with one shingle set are one class.  A class's shingles are ordered by how common they are
 (a fixed-size count sketch over all documents) and by their hash; two sets that reach the threshold
 share a shingle among their first ones.  Classes that meet in a bucket are collapsed into groups of one
-size, group pairs are filtered by size, and only the members of the remaining pairs are verified, first
+size and one place of the shingle, group pairs are filtered by what these allow, and only the members of the remaining pairs are verified, first
 by what their prefixes allow at most, then by their whole sets.
 
 Components need no pair within a component that is already joined.  So each bucket first offers its
@@ -94,8 +94,13 @@ def most_shared(a: np.ndarray, b: np.ndarray, size_a: int, size_b: int, levels:
     return shared + min(size_a - a_known, size_b - b_known)
 
 
-def _reach(size: Column, other: Column, percent: int) -> Column:
-    return F.least(size, other) * 100 >= F.greatest(size, other) * percent
+def _reach(size: Column, place: Column, other: Column, other_place: Column, percent: int) -> Column:
+    """Whether two sets can reach the threshold if their first common shingle stands at these places.
+
+    They share no more than what is left of either from there on; the sizes' own bound is part of it.
+    """
+    most = F.least(size - place, other - other_place)
+    return most * 100 >= (size + other - most) * percent
 
 
 class JaccardJoin:
@@ -189,22 +194,24 @@ class JaccardJoin:
             docs.where("n > 0").groupBy("n", "d1", "d2", "prefix")
             .agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.count("*").alias("copies"))
             .withColumn("cid", F.monotonically_increasing_id()), "classes")
-        buckets = classes.select("cid", "n", "copies", F.explode("prefix").alias("token"))
+        buckets = classes.select("cid", "n", "copies", F.posexplode("prefix").alias("place", "token"))
         shared = space.write(buckets.groupBy("token").agg(F.count("*").alias("size")).where("size > 1"), "shared")
-        buckets = space.write(buckets.join(shared, "token").select("token", "cid", "n", "copies", "size"), "buckets")
+        buckets = space.write(buckets.join(shared, "token").select("token", "cid", "n", "place", "copies", "size"), "buckets")
         # each bucket's members meet its leader, the class with most copies
-        leaders = space.write(buckets.groupBy("token").agg(F.max(F.struct("copies", "cid", "n")).alias("top")).select("token", F.col("top.cid").alias("leader"), F.col("top.n").alias("leader_n")), "leaders")
-        star = buckets.join(leaders, "token").where((F.col("cid") != F.col("leader")) & _reach(F.col("n"), F.col("leader_n"), percent))
+        leaders = space.write(
+            buckets.groupBy("token").agg(F.max(F.struct("copies", "cid", "n", "place")).alias("top"))
+            .select("token", F.col("top.cid").alias("leader"), F.col("top.n").alias("leader_n"), F.col("top.place").alias("leader_place")), "leaders")
+        star = buckets.join(leaders, "token").where((F.col("cid") != F.col("leader")) & _reach(F.col("n"), F.col("place"), F.col("leader_n"), F.col("leader_place"), percent))
         star = space.write(star.select(F.least("cid", "leader").alias("a"), F.greatest("cid", "leader").alias("b")).distinct(), "star")
         first = self.linked(space.write(self.allowed(star, classes), "star-allowed"), classes, "star")
         roots = space.write(components(space, first, "first").select(F.col("id").alias("cid"), "root"), "first-roots")
-        # groups of one bucket, component and size; only groups of different components are paired
+        # groups of one bucket, component, size and place; only groups of different components are paired
         labelled = space.write(buckets.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid")), "labelled")
         mixed = space.write(labelled.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("token"), "mixed")
         part = F.pmod(F.xxhash64("cid"), F.ceil(F.col("size") / GROUP_MEMBERS).cast("long"))
-        groups = space.write(labelled.join(mixed, "token").groupBy("token", "root", "n", part.alias("part")).agg(F.collect_list("cid").alias("members")), "groups")
-        left, right = (groups.select("token", F.col("root").alias(f"root_{x}"), F.col("n").alias(f"n_{x}"), F.col("members").alias(f"members_{x}")) for x in "ab")
-        paired = left.join(right, "token").where((F.col("root_a") < F.col("root_b")) & _reach(F.col("n_a"), F.col("n_b"), percent))
+        groups = space.write(labelled.join(mixed, "token").groupBy("token", "root", "n", "place", part.alias("part")).agg(F.collect_list("cid").alias("members")), "groups")
+        left, right = (groups.select("token", F.col("root").alias(f"root_{x}"), F.col("n").alias(f"n_{x}"), F.col("place").alias(f"place_{x}"), F.col("members").alias(f"members_{x}")) for x in "ab")
+        paired = left.join(right, "token").where((F.col("root_a") < F.col("root_b")) & _reach(F.col("n_a"), F.col("place_a"), F.col("n_b"), F.col("place_b"), percent))
         pairs = paired.select(F.explode("members_a").alias("x"), "members_b").select("x", F.explode("members_b").alias("y"))
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
         second = self.linked(space.write(self.allowed(pairs, classes), "pairs-allowed"), classes, "pairs")
