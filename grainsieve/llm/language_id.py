@@ -187,7 +187,8 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(top, pa.float64())], [*taken, pred, score])
 
     text = text_or_empty(text_col)
-    extended = docs.select(*[field(c) for c in taken], F.lower(text).alias("_lower"), text.rlike(r"\p{L}").alias("_letters"))
+    # names that need quotes would not pass: columns go by position
+    extended = docs.select("*", F.lower(text), text.rlike(r"\p{L}")).toDF(*[f"c{i}" for i in range(len(taken) + 2)])
     schema = StructType([*docs.schema.fields]).add(pred, StringType()).add(score, DoubleType())
     return extended.mapInArrow(run, schema)
 

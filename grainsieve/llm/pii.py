@@ -294,6 +294,7 @@ def redact(docs: DataFrame, weights: np.ndarray | None, text_col: str = "text")
         for batch in batches:
             texts = [t and redact_text(t, find(t, weights)[1]) for t in batch.column(at).to_pylist()]
             columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns)]
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return docs.mapInArrow(run, schema)
+    # names that need quotes would not pass: columns go by position
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).mapInArrow(run, schema)
