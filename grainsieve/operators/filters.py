@@ -102,10 +102,10 @@ def without_excluded(files: DataFrame, excluded: DataFrame, path: str = "path",
 def rules_for_project(rules: DataFrame, dependencies: DataFrame | None, enabled: bool = True) -> DataFrame:
     """Drop rules whose required packages are all absent.
 
-    ``dependencies`` has one column ``package``; without an inventory, or with the gate off, every
-    rule stays.
+    ``dependencies`` has one column ``package``; without an inventory or with an empty one (a short job
+    looks), or with the gate off, every rule stays.
     """
-    if not enabled or dependencies is None:
+    if not enabled or dependencies is None or dependencies.isEmpty():
         return rules
     wanted = rules.select("rule_id", F.explode("requires_dependency").alias("package"))
     present = wanted.join(dependencies.select("package").distinct(), "package", "left_semi")

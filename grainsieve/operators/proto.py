@@ -31,7 +31,7 @@ def proto_events(matches: DataFrame) -> DataFrame:
     return matches.filter(F.col("rule_id").isin([p.key for p in EVENT_PATTERNS])).withColumns({
         "kind": F.col("rule_id"),
         "name": F.get("captures", 0),
-        "pos": F.col("line_no").cast("long") * (1 << 20) + F.col("start"),
+        "pos": F.col("line_no").cast("long") * (1 << 31) + F.col("start"),
     })
 
 

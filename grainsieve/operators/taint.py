@@ -55,6 +55,8 @@ TEMPLATE_STEPS = (
 )
 STRING = r""""[^"\\]*(?:\\.[^"\\]*)*"|'[^'\\]*(?:\\.[^'\\]*)*'"""
 MASK_STEPS = ((r"\([^()\[\]{}]*\)", "@"), (r"\[[^()\[\]{}]*\]", "#"), (r"\{[^()\[\]{}]*\}", "'"))
+#: Positions are line * 2^31 + byte; a bucket of the as-of join holds so many lines.
+BUCKET = 4096 << 31
 MASK_ROUNDS = 4
 BINARY = r"\s*(?:\|\||&&|\?\?|===?|!==?|[<>]=?|[-+*/%&|^]|\binstanceof\b|\bin\b)\s*"
 NOT_SIMPLE = r"=>|\?[^.?]|,|[^=!<>]=[^=]|^(?:new|await|function|async|class)\b"
@@ -210,7 +212,7 @@ def extract_assignments(lines: DataFrame) -> DataFrame:
     target = F.when(F.get("captures", 0) != "", F.get("captures", 0)).otherwise(F.get("captures", 1))
     return found.select(
         F.col("path").alias("file"),
-        (F.col("line_no").cast("long") * (1 << 20) + F.col("start")).alias("pos"),
+        (F.col("line_no").cast("long") * (1 << 31) + F.col("start")).alias("pos"),
         bound_names(target).alias("targets"),
         F.get("captures", 2).alias("expr"),
     )
@@ -219,7 +221,7 @@ def extract_assignments(lines: DataFrame) -> DataFrame:
 # --- joins and propagation ------------------------------------------------------------------
 
 
-def reaching_definitions(defs: DataFrame, uses: DataFrame, bucket_width: int = 4096) -> DataFrame:
+def reaching_definitions(defs: DataFrame, uses: DataFrame, bucket_width: int = BUCKET) -> DataFrame:
     """For each use (file, pos, name): ``def_pos``, the latest definition strictly before it.
 
     ``defs`` has (file, pos, name).
@@ -235,7 +237,7 @@ def reaching_definitions(defs: DataFrame, uses: DataFrame, bucket_width: int = 4
 
 
 def propagate(assignments: DataFrame, fold_limit: int = 1000, max_rounds: int | None = None,
-              bucket_width: int = 4096) -> DataFrame:
+              bucket_width: int = BUCKET) -> DataFrame:
     """Rank of every assignment (file, pos, targets, rank), in document order semantics.
 
     Each right-hand side sees the state at its own position.  Files of up to ``fold_limit``

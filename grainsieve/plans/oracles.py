@@ -454,8 +454,8 @@ ORACLES["suppressions"] = (
 )
 _events = " UNION ALL ".join(all_matches("lines", p.key, p.pattern, p.captures, "language = 'javascript'") for p in EVENT_PATTERNS)
 _last = lambda kind: (
-    f"(SELECT max(e.line_no * 1048576 + e.start) FROM ev e WHERE e.path = s.path AND e.captures[1] = s.captures[1] AND e.rule_id = '{kind}' "
-    "AND e.line_no * 1048576 + e.start < s.line_no * 1048576 + s.start)"
+    f"(SELECT max(e.line_no * 2147483648 + e.start) FROM ev e WHERE e.path = s.path AND e.captures[1] = s.captures[1] AND e.rule_id = '{kind}' "
+    "AND e.line_no * 2147483648 + e.start < s.line_no * 2147483648 + s.start)"
 )
 ORACLES["proto_assignment"] = (
     f"{with_lines(CODE)}, ev AS MATERIALIZED ({_events}) SELECT path, line_no, start + 1 AS \"column\", match FROM "

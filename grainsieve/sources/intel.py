@@ -66,8 +66,8 @@ def normalize_feed(feed: DataFrame) -> DataFrame:
 def merge_intel(seed: DataFrame, feed: DataFrame, key: str = "id") -> DataFrame:
     """Seed and feed by id; where both have one, the feed's row stays.
 
-    An aggregate, so copies of one id collapse before the shuffle.
+    Of several rows of one side the one that sorts first stays, column by column.  An aggregate, so copies of one id collapse before the shuffle.
     """
     both = seed.withColumn("_priority", F.lit(1)).unionByName(feed.withColumn("_priority", F.lit(0)), allowMissingColumns=True)
     columns = [c for c in both.columns if c != "_priority"]
-    return both.groupBy(key).agg(F.min_by(F.struct(*columns), "_priority").alias("_r")).select("_r.*")
+    return both.groupBy(key).agg(F.min_by(F.struct(*columns), F.struct("_priority", *columns)).alias("_r")).select("_r.*")

@@ -304,22 +304,24 @@ def normalize_native_rules(df: DataFrame) -> DataFrame:
     })
 
 
-def _compiles_udf():
-    """Does each pattern compile?  (nested, so that it is shipped by value)"""
+def _first_that_compiles():
+    """The first pattern of each array that compiles, else null (nested, so that it is shipped by value)."""
 
-    def check(patterns: pd.Series) -> pd.Series:
+    def check(arrays: pd.Series) -> pd.Series:
         import re
 
-        def ok(p) -> bool:
-            try:
-                re.compile(p)
-            except (re.error, TypeError):
-                return False
-            return True
+        def first(patterns) -> str | None:
+            for p in patterns:
+                try:
+                    re.compile(p)
+                except (re.error, TypeError):
+                    continue
+                return p
+            return None
 
-        return patterns.map(ok)
+        return arrays.map(first)
 
-    return F.pandas_udf(check, T.BooleanType())
+    return F.pandas_udf(check, T.StringType())
 
 
 def _first_of(values: Column, names: dict[str, str]) -> Column:
@@ -349,15 +351,11 @@ def import_bundle_rules(df: DataFrame) -> DataFrame:
     bundle = F.create_map(*[F.lit(x) for kv in BUNDLE_SEVERITY.items() for x in kv])
     explicit = trim_space(F.coalesce("metadata_framework", F.lit("")))
     own = df.withColumn("id", trim_space(F.col("id"))).filter(~is_blank(F.col("id")))
-    # one row per candidate pattern, then the first that compiles (rule tables are small)
-    tried = (
-        own.select("id", F.posexplode(candidates).alias("_n", "_pattern"))
-        .filter(_compiles_udf()("_pattern"))
-        .groupBy("id").agg(F.min_by("_pattern", "_n").alias("pattern"))
-    )
+    # each row is judged by its own candidates, so rows may repeat an id
+    own = own.withColumn("pattern", _first_that_compiles()(candidates)).filter(F.col("pattern").isNotNull())
     message = trim_space(F.coalesce("message", F.lit("")))
     about = trim_space(F.coalesce("metadata_description", F.lit("")))
-    return own.join(tried, "id").select(
+    return own.select(
         "id",
         F.coalesce(
             F.try_element_at(bundle, severity), F.when(severity.isin(*SEVERITY_RANK), severity), F.lit("MEDIUM")

@@ -8,6 +8,7 @@ from grainsieve.operators.baseline import build_baseline, parse_baseline, split_
 from grainsieve.operators.packages import apply_policy, dependency_findings, match_advisories, match_compromised, resolve_packages
 from grainsieve.operators.scripts import name_scripts, script_manifest
 from grainsieve.plans.gates import advisory_severity_gate, all_gates, category_gate, new_findings_gate, parse_categories
+from grainsieve.operators.filters import rules_for_project
 from grainsieve.plans.reports import baseline_document, findings_csv, write_csv, write_document, write_findings_report, write_sarif
 from grainsieve.plans.scan import inventory_scan, page_sources, rule_scan
 from grainsieve.sources.corpus import files_from_table, scan_files
@@ -15,7 +16,7 @@ from grainsieve.sources.intel import advisory_ranges, compromised_versions, merg
 from grainsieve.sources.lists import normalize_policy
 from grainsieve.sources.manifests import extract_locks, extract_packages
 from grainsieve.sources.pages import extract_scripts, resolve_scripts
-from grainsieve.sources.rules import builtin_rules, rules_table
+from grainsieve.sources.rules import builtin_rules, import_bundle_rules, rules_table
 from grainsieve.streaming.inventory_stream import read_text_table_stream, write_detections_stream
 
 PKG = "ecosystem string, project_path string, manifest_path string, scope string, package string, declared_version string, resolved_version string, version_source string, relationship string"
@@ -151,3 +152,31 @@ def test_stream(spark, tmp_path):
     q = write_detections_stream(files, str(tmp_path / "out"), str(tmp_path / "ck"))
     q.awaitTermination(120)
     assert [r.file for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["t/1"]
+
+
+def test_empty_inventory_keeps_every_rule(spark):
+    rules = spark.createDataFrame([("r1", ["a"]), ("r2", [])], "rule_id string, requires_dependency array<string>")
+    none = spark.createDataFrame([], "package string")
+    assert rules_for_project(rules, none).count() == 2
+    assert [r.rule_id for r in rules_for_project(rules, none.union(spark.createDataFrame([("b",)], "package string"))).collect()] == ["r2"]
+
+
+def test_unreadable_expiry_suppresses_nothing(spark):
+    rows = [("a", None, ""), ("b", None, "not a date"), ("c", None, "2030-01-01T00:00:00Z")]
+    out = normalize_policy(spark.createDataFrame(rows, "id string, package string, expiry string")).collect()
+    assert [(r.id, r.expiry is None) for r in out] == [("a", True), ("c", False)]
+
+
+def test_merge_of_repeated_ids_is_defined(spark):
+    seed = spark.createDataFrame([("x", "seed")], "id string, title string")
+    feed = spark.createDataFrame([("x", "second"), ("x", "first")], "id string, title string")
+    assert [r.title for r in merge_intel(seed, feed).collect()] == ["first"]
+
+
+def test_bundle_rules_that_share_an_id_keep_their_patterns(spark):
+    schema = (
+        "id string, severity string, message string, query string, metadata_query string, pattern_either array<string>, patterns array<string>, "
+        "languages array<string>, metadata_framework string, metadata_description string"
+    )
+    rows = [("dup", "ERROR", "m", p, None, None, None, ["javascript"], None, None) for p in ("eval[(]", "exec[(]", "([")]
+    assert sorted(r.pattern for r in import_bundle_rules(spark.createDataFrame(rows, schema)).collect()) == ["eval[(]", "exec[(]"]
