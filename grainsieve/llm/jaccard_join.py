@@ -197,11 +197,13 @@ class JaccardJoin:
         buckets = classes.select("cid", "n", "copies", F.posexplode("prefix").alias("place", "token"))
         shared = space.write(buckets.groupBy("token").agg(F.count("*").alias("size")).where("size > 1"), "shared")
         buckets = space.write(buckets.join(shared, "token").select("token", "cid", "n", "place", "copies", "size"), "buckets")
-        # each bucket's members meet its leader, the class with most copies
+        # the members of a bucket that are close in size meet a leader: the one with the fewest rare shingles, so most like the others
+        band = F.floor(F.log("n") / float(np.log(100 / percent))).alias("band")
         leaders = space.write(
-            buckets.groupBy("token").agg(F.max(F.struct("copies", "cid", "n", "place")).alias("top"))
-            .select("token", F.col("top.cid").alias("leader"), F.col("top.n").alias("leader_n"), F.col("top.place").alias("leader_place")), "leaders")
-        star = buckets.join(leaders, "token").where((F.col("cid") != F.col("leader")) & _reach(F.col("n"), F.col("place"), F.col("leader_n"), F.col("leader_place"), percent))
+            buckets.groupBy("token", band).agg(F.min(F.struct("place", -F.col("copies"), "cid", "n")).alias("top"))
+            .select("token", "band", F.col("top.cid").alias("leader"), F.col("top.n").alias("leader_n"), F.col("top.place").alias("leader_place")), "leaders")
+        buckets = buckets.withColumn("band", band)
+        star = buckets.join(leaders, ["token", "band"]).where((F.col("cid") != F.col("leader")) & _reach(F.col("n"), F.col("place"), F.col("leader_n"), F.col("leader_place"), percent))
         star = space.write(star.select(F.least("cid", "leader").alias("a"), F.greatest("cid", "leader").alias("b")).distinct(), "star")
         first = self.linked(space.write(self.allowed(star, classes), "star-allowed"), classes, "star")
         roots = space.write(components(space, first, "first").select(F.col("id").alias("cid"), "root"), "first-roots")
