@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainsieve.functions.text import is_blank, trim_space
@@ -32,6 +32,15 @@ def parse_baseline(docs: DataFrame, text: str = "value") -> DataFrame:
     )
 
 
+def read_baseline(spark: SparkSession, path: str | None) -> DataFrame:
+    """Fingerprints of a baseline file or folder; a blank or missing path is an empty set."""
+    if path and path.strip():
+        name = spark._jvm.org.apache.hadoop.fs.Path(path.strip())
+        if name.getFileSystem(spark._jsc.hadoopConfiguration()).exists(name):
+            return parse_baseline(spark.read.text(path.strip(), wholetext=True))
+    return spark.createDataFrame([], "fingerprint string")
+
+
 def build_baseline(findings: DataFrame) -> DataFrame:
     """Distinct non-blank fingerprints, sorted."""
     return (

@@ -31,14 +31,16 @@ def script_manifest(named: DataFrame, resources: DataFrame, key: str = "page_id"
                     max_bytes: int = MAX_RESPONSE_BYTES) -> DataFrame:
     """One outcome row per script from pre-fetched resources (url, status, body).
 
-    Bodies are reduced to sizes before the join.
+    Bodies are reduced to sizes before the join; inline scripts have no source and bypass it.
     """
     fetched = resources.select(
         F.col("url").alias("source_url"), F.col("status"), F.octet_length("body").cast("long").alias("_size")
     )
     external = F.col("kind") == "external"
     tried = external & F.col("url_error").isNull()
-    joined = named.withColumn("_inline_size", F.octet_length("body").cast("long")).drop("body").join(fetched, "source_url", "left")
+    sized = named.withColumn("_inline_size", F.octet_length("body").cast("long")).drop("body")
+    unfetched = [F.lit(None).cast(f.dataType).alias(f.name) for f in fetched.schema if f.name != "source_url"]
+    joined = sized.filter(external).join(fetched, "source_url", "left").unionByName(sized.filter(~external).select("*", *unfetched))
     error = (
         F.when(external & F.col("url_error").isNotNull(), F.col("url_error"))
         .when(tried & F.col("status").isNull(), F.lit("not fetched"))

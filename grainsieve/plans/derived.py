@@ -399,6 +399,7 @@ _TAGS = (
     "<!-- <script src=\"/hidden.js\"></script> --><script src=\"?q=#K#\">ignored()</script><script src=/plain.js></script>",
     "<script src=\"/js/same.js\"></script><script src=\"/other/same.js\"></script><script src=\"/js/same.js#f\"></script>",
     "<script data-src=\"/no.js\">inline#K#();</script><script src=\"../../up/%2e%2e/%C3%A9.js\"></script>",
+    "<script><!-- hidden#K#(); //--></script><script>var a = '<!--';</script><script src=\"/after.js\"></script><!-- x -->",
     "<script src=\"/\"></script><script src=\"/dir/\"></script><script src=\"/bad%zz.js\"></script>",
 )
 PAGES = Derived("pages", {

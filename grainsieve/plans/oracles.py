@@ -290,7 +290,7 @@ ORACLES["bundle_rules"] = (
     f"lambda c: {trim('c')}), lambda c: c <> '' AND NOT starts_with(c, '(('))[1] AS pattern FROM (SELECT * REPLACE ("
     f"CASE WHEN {trim('id')} <> '' THEN regexp_replace(id, '^ +', '') || '/' || part ELSE '' END AS id) FROM ({D.BUNDLE_RULES.sql}))) WHERE id <> '' AND pattern IS NOT NULL"
 )
-_deps = f"SELECT package FROM ({D.PACKAGES.sql}) WHERE starts_with(package, 'v') UNION SELECT 'pkg#' || right(id, 1) FROM ({D.ADVISORIES_B.sql})"
+_deps = f"SELECT package FROM ({D.PACKAGES.sql}) UNION SELECT 'pkg#' || right(id, 1) FROM ({D.ADVISORIES_B.sql})"
 ORACLES["dependency_gate"] = (
     f"SELECT id AS rule_id, array_to_string(requires_dependency, ';') AS requires_dependency FROM ({D.NATIVE_RULES.sql}) "
     f"WHERE list_has_any(requires_dependency, (SELECT list(package) FROM ({_deps})))"
@@ -450,7 +450,7 @@ def covers(line: str, nxt: bool) -> str:
 
 ORACLES["suppressions"] = (
     f"{_CODE_MATCHES} SELECT path, rule_id, line_no, start + 1 AS \"column\", ({covers('line', False)} OR coalesce({covers('prev_line', True)}, false)) AS suppressed "
-    "FROM matches WHERE language IN ('javascript', 'python')"
+    "FROM matches"
 )
 _events = " UNION ALL ".join(all_matches("lines", p.key, p.pattern, p.captures, "language = 'javascript'") for p in EVENT_PATTERNS)
 _last = lambda kind: (
@@ -746,10 +746,10 @@ def attribute(name: str) -> str:
     return trim(value)
 
 
-_clean = f"regexp_replace(html, {q(PG.COMMENT)}, '', 'g')"
+_script = q(r"""(?is)<!--.*?-->|<script\b((?:[^>"']|"[^"]*"|'[^']*')*)>(.*?)</script\s*>""")
 _TAGS_SQL = (
-    f"SELECT page_id, url, as_[i] AS attrs, bs[i] AS raw_body, i FROM (SELECT *, unnest(range(1, len(as_) + 1)) AS i FROM (SELECT page_id, url, regexp_extract_all(doc, {q(PG.SCRIPT)}, 1) AS as_, "
-    f"regexp_extract_all(doc, {q(PG.SCRIPT)}, 2) AS bs FROM (SELECT page_id, url, {_clean} AS doc FROM ({D.PAGES.sql}) WHERE regexp_matches(url, '^(?i)https?:'))))"
+    f"SELECT page_id, url, as_[i] AS attrs, bs[i] AS raw_body, i FROM (SELECT *, unnest(range(1, len(as_) + 1)) AS i FROM (SELECT page_id, url, regexp_extract_all(doc, {_script}, 1) AS as_, "
+    f"regexp_extract_all(doc, {_script}, 2) AS bs FROM (SELECT page_id, url, html AS doc FROM ({D.PAGES.sql}) WHERE regexp_matches(url, '^(?i)https?:'))))"
 )
 _KEPT = (
     "SELECT page_id, url, src, CASE WHEN src = '' THEN body ELSE '' END AS body, CASE WHEN src = '' THEN 'inline' ELSE 'external' END AS kind, "

@@ -199,7 +199,7 @@ def inventory_json_header(spark, d):
 
 def dependency_gate(spark, d):
     rules = D.NATIVE_RULES.frame(spark, d).withColumnRenamed("id", "rule_id")
-    deps = D.PACKAGES.frame(spark, d).select("package").filter(F.startswith("package", F.lit("v"))).unionByName(
+    deps = D.PACKAGES.frame(spark, d).select("package").unionByName(
         D.ADVISORIES_B.frame(spark, d).select(F.concat(F.lit("pkg#"), F.substring("id", -1, 1)).alias("package"))
     )
     return rules_for_project(rules.select("rule_id", "requires_dependency"), deps).select("rule_id", _cat("requires_dependency"))
@@ -266,8 +266,7 @@ def arg_count(spark, d):
 
 
 def suppressions(spark, d):
-    m = code_matches(spark, d)
-    return m.filter(F.col("language").isin("javascript", "python")).select(
+    return code_matches(spark, d).select(
         "path", "rule_id", F.col("line_no").cast("long").alias("line_no"), (F.col("start") + 1).cast("long").alias("column"),
         is_suppressed(F.col("line"), F.col("prev_line"), F.col("rule_id")).alias("suppressed"),
     )
@@ -477,9 +476,10 @@ def dependency_findings(spark, d):
 def version_order(spark, d):
     v = D.VERSION_LIST.frame(spark, d).distinct().withColumn("k", version_key(F.col("version")))
     k = F.col("k")
+    shown = lambda x: F.when(x["size"] == 0, "0").otherwise(x["digits"])
     return v.select(
-        "version", F.array_join(F.transform(k["nums"], lambda x: x.cast("string")), ".").alias("nums"), k["is_release"].alias("is_release"),
-        F.array_join(F.transform(k["pre"], lambda p: F.concat(F.when(p["alpha"], "a").otherwise("n"), p["num"].cast("string"), p["str"])), "/").alias("pre"),
+        "version", F.array_join(F.transform(k["nums"], shown), ".").alias("nums"), k["is_release"].alias("is_release"),
+        F.array_join(F.transform(k["pre"], lambda p: F.concat(F.when(p["alpha"], "a").otherwise("n"), shown(p["num"]), p["str"])), "/").alias("pre"),
         (k < version_key(F.lit("3.4.0"))).alias("below"),
         (k < version_key(F.lit("2.2.2-rc.9"))).alias("below_pre"),
     )

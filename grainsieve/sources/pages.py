@@ -12,9 +12,9 @@ from grainsieve.functions.urls import bad_escape, resolve_url, same_origin, sche
 SCRIPT_TYPES = (
     "", "module", "text/javascript", "application/javascript", "application/ecmascript", "text/ecmascript",
 )
-COMMENT = r"(?s)<!--.*?-->"
 _ATTRS = r"""([^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*)"""
-SCRIPT = rf"(?is)<script\b{_ATTRS}>(.*?)</script\s*>"
+#: Comments and scripts in document order: neither is looked for inside the other.
+SCRIPT = rf"(?is)<!--.*?-->|<script\b{_ATTRS}>(.*?)</script\s*>"
 ENTITIES = (("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
 
 
@@ -36,8 +36,6 @@ def extract_scripts(pages: DataFrame, url: str = "url", html: str = "html", key:
     All work happens inside the page's row; a script with a source ignores its body, empty inline
     scripts are dropped.  ``inline_no`` counts the kept inline scripts of the page.
     """
-    clean = F.regexp_replace(html, COMMENT, "")
-
     def scripts(doc: Column) -> Column:
         regex = F.lit(SCRIPT)
         raw = let(
@@ -61,7 +59,7 @@ def extract_scripts(pages: DataFrame, url: str = "url", html: str = "html", key:
     has_script = F.contains(F.lower(html), F.lit("<script"))
     return (
         pages.filter(has_script & scheme(F.col(url)).isin("http", "https"))
-        .select(F.col(key), F.col(url), let(clean, scripts).alias("_kept"))
+        .select(F.col(key), F.col(url), let(F.col(html), scripts).alias("_kept"))
         .select("*", F.expr(inline_before).alias("_before"))
         .select(key, url, F.explode(rows).alias("_s"))
         .select(key, url, "_s.*")

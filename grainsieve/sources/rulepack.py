@@ -7,7 +7,7 @@ Each block is one rule:  id | severity | framework | language | confidence | sco
   o  options: literal=NAME, ignore=NAME:REGEX, require=NAME:REGEX, taint=NAME[,ARG_INDEX],
      dep=PKG,.., tags=..,  cwe=.., owasp=.., fix=TEXT, cat=CATEGORY (with cwe/owasp/fix in the
      metadata block), tax=..
-``<ARG>`` in a pattern is one call argument, ``<GAP>`` a bounded stretch without ``;``.
+``<ARG>`` in a pattern is one call argument, ``<GAP>`` a stretch of any length without ``;``.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 _ATOM = r"""(?:"[^"]*"|'[^']*'|`[^`]*`|\([^()]*(?:\([^()]*\)[^()]*)*\))"""
 _PLAIN = r"""[^(),;"'`]"""
 ARG = rf"""(?:{_ATOM}|[^\s(),;"'`]){_PLAIN}*(?:{_ATOM}{_PLAIN}*)*"""
-GAP = r"[^;]{0,400}?"
+GAP = r"[^;]*?"
 
 # Rule ids, severities, frameworks, languages, confidences and classifications.
 RULE_TEXT = r"""
@@ -160,7 +160,7 @@ d csurf ignores state-changing methods.
 g csurf(
 p \bcsurf\(<GAP>\bignoreMethods\s*:\s*(\[[^\]]*["'](?:POST|PUT|PATCH|DELETE)["'][^\]]*\])
 c methods
-o ignore=methods:^\[\s*(?:["'](GET|HEAD|OPTIONS)["'](?:\s*,\s*)?){0,3}\]$
+o ignore=methods:^\[\s*(?:["'](GET|HEAD|OPTIONS)["'](?:\s*,\s*)?)*\]$
 o tags=csrf
 o rcwe=CWE-352
 o rowasp=A01:2021
@@ -169,7 +169,7 @@ o rfix=Only exempt GET, HEAD and OPTIONS.
 EXPRESS-SESSION-HTTPONLY-FALSE | MEDIUM | Node.js | JavaScript | | file
 d Session cookie with httpOnly:false.
 g session(
-p \bsession\(<GAP>\bcookie\s*:\s*\{[^{};]{0,300}?\bhttpOnly\s*:\s*false\b
+p \bsession\(<GAP>\bcookie\s*:\s*\{[^{};]*?\bhttpOnly\s*:\s*false\b
 
 EXPRESS-SESSION-RESAVE-TRUE | LOW | Express | JavaScript | | file
 d Session with resave:true.
@@ -179,7 +179,7 @@ p \bsession\(<GAP>\bresave\s*:\s*true\b
 EXPRESS-SESSION-SAMESITE-NONE | MEDIUM | Express | JavaScript | | file
 d Session cookie with sameSite none.
 g session(
-p \bsession\(<GAP>\bcookie\s*:\s*\{[^{};]{0,300}?\bsameSite\s*:\s*(["']none["'])
+p \bsession\(<GAP>\bcookie\s*:\s*\{[^{};]*?\bsameSite\s*:\s*(["']none["'])
 c value
 o tags=csrf
 o rcwe=CWE-352
@@ -194,7 +194,7 @@ p \bsession\(<GAP>\bsaveUninitialized\s*:\s*true\b
 EXPRESS-SESSION-SECURE-FALSE | MEDIUM | Node.js | JavaScript | | file
 d Session cookie with secure:false.
 g session(
-p \bsession\(<GAP>\bcookie\s*:\s*\{[^{};]{0,300}?\bsecure\s*:\s*false\b
+p \bsession\(<GAP>\bcookie\s*:\s*\{[^{};]*?\bsecure\s*:\s*false\b
 
 FLASK-WTF-CSRF-DISABLED | HIGH | Flask | Python | | line
 d Flask-WTF CSRF protection is off.
@@ -220,7 +220,7 @@ c shell flag
 GO-TLS-INSECURE-SKIP-VERIFY | HIGH | Go | Go | | file
 d TLS verification is skipped.
 g tls.Config
-p \btls\.Config\s*\{[^{};]{0,400}?\bInsecureSkipVerify\s*:\s*true\b
+p \btls\.Config\s*\{[^{};]*?\bInsecureSkipVerify\s*:\s*true\b
 
 HARDCODED-BEARER-AUTH | HIGH | Node.js | JavaScript | HIGH | line
 d A bearer token is written in the source.
@@ -248,7 +248,7 @@ p \bObject\.assign\(
 INSECURE-RANDOM-TOKEN | MEDIUM | JavaScript | JavaScript | | line
 d A secret comes from Math.random().
 g Math.random
-p \b(?:var|let|const)\s+(\w*(?i:token|secret|session(?:id)?|nonce|csrf|auth|api_?key)\w*)\s*=\s*Math\.random\(\)(?:\.\w+\([^()]*\)){0,3}
+p \b(?:var|let|const)\s+(\w*(?i:token|secret|session(?:id)?|nonce|csrf|auth|api_?key)\w*)\s*=\s*Math\.random\(\)(?:\.\w+\([^()]*\))*
 c name
 
 JAVA-INSECURE-HOSTNAME-VERIFIER | HIGH | Java | Java | | line
@@ -412,13 +412,13 @@ c fn
 PYTHON-REQUESTS-VERIFY-FALSE | HIGH | Python | Python | | file
 d A request without TLS verification.
 g requests.
-p \brequests\.(get|post|put|patch|delete|request)\([^;]{0,400}?\bverify\s*=\s*False\b
+p \brequests\.(get|post|put|patch|delete|request)\([^;]*?\bverify\s*=\s*False\b
 c fn
 
 PYTHON-SUBPROCESS-SHELL-TRUE | HIGH | Python | Python | | file
 d A subprocess runs through the shell.
 g subprocess.
-p \bsubprocess\.(run|Popen|call|check_call|check_output)\([^;]{0,400}?\bshell\s*=\s*True\b
+p \bsubprocess\.(run|Popen|call|check_call|check_output)\([^;]*?\bshell\s*=\s*True\b
 c fn
 
 PYTHON-UNSAFE-YAML-LOAD | HIGH | Python | Python | | line
