@@ -55,9 +55,9 @@ TEMPLATE_STEPS = (
 )
 STRING = r""""[^"\\]*(?:\\.[^"\\]*)*"|'[^'\\]*(?:\\.[^'\\]*)*'"""
 MASK_STEPS = ((r"\([^()\[\]{}]*\)", "@"), (r"\[[^()\[\]{}]*\]", "#"), (r"\{[^()\[\]{}]*\}", "'"))
+BRACKET = r"[()\[\]{}]"
 #: Positions are line * 2^31 + byte; a bucket of the as-of join holds so many lines.
 BUCKET = 4096 << 31
-MASK_ROUNDS = 4
 BINARY = r"\s*(?:\|\||&&|\?\?|===?|!==?|[<>]=?|[-+*/%&|^]|\binstanceof\b|\bin\b)\s*"
 NOT_SIMPLE = r"=>|\?[^.?]|,|[^=!<>]=[^=]|^(?:new|await|function|async|class)\b"
 UNARY = r"^(?:[!~+-]|typeof\s+|void\s+|delete\s+)+\s*"
@@ -87,18 +87,51 @@ def _plain(expr: Column) -> Column:
     return F.regexp_replace(_steps(expr, TEMPLATE_STEPS), STRING, '""')
 
 
+def _depths(text: Column, start: Column | int) -> Column:
+    """struct(depth, low, high) after the brackets of a text; a closing bracket without a partner counts as none."""
+    at = F.lit(start).cast("int") if isinstance(start, int) else start
+
+    def step(acc: Column, bracket: Column) -> Column:
+        depth = F.when(bracket.isin("(", "[", "{"), acc["depth"] + 1).otherwise(F.greatest(acc["depth"] - 1, F.lit(0)))
+        return F.struct(depth.alias("depth"), F.least(acc["low"], depth).alias("low"), F.greatest(acc["high"], depth).alias("high"))
+
+    first = F.struct(at.alias("depth"), at.alias("low"), at.alias("high"))
+    return F.aggregate(F.regexp_extract_all(text, F.lit(BRACKET), F.lit(0)), first, step)
+
+
 def _mask(plain: Column) -> Column:
-    for _ in range(MASK_ROUNDS):
-        plain = _steps(plain, MASK_STEPS)
-    return trim_space(F.replace(plain, F.lit("?."), F.lit(".")))
+    """Bracketed parts as one character each, in as many rounds as brackets nest; one without a partner stays."""
+    def masked(text: Column) -> Column:
+        rounds = let(_depths(text, 0)["high"], lambda high: F.slice(F.sequence(F.lit(0), high), F.lit(2), high))
+        return F.when(F.rlike(text, F.lit(BRACKET)), F.aggregate(rounds, text, lambda t, _: _steps(t, MASK_STEPS))).otherwise(text)
+
+    return trim_space(F.replace(let(plain, masked), F.lit("?."), F.lit(".")))
 
 
 def _unwrap(expr: Column) -> Column:
-    """Drop the parentheses around a whole expression."""
-    return let(
-        trim_space(expr),
-        lambda e: F.when(_mask(_plain(e)) == "@", trim_space(F.substring(e, F.lit(2), F.length(e) - 2))).otherwise(e),
-    )
+    """Drop the parentheses around a whole expression, however many."""
+    count = lambda text, c: F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))
+
+    def levels(p: Column, lead: Column, trail: Column) -> Column:
+        """How many outermost pairs hold all the rest: no bracket between the first and last ones closes them."""
+        middle = F.substring(p, F.length(lead) + 1, F.length(p) - F.length(lead) - F.length(trail))
+        return let(
+            _depths(middle, count(lead, "(")),
+            lambda d: F.when(d["depth"] == count(trail, ")"), F.least(d["low"], d["depth"])).otherwise(0),
+        )
+
+    def strip(e: Column) -> Column:
+        pairs = let(_plain(e), lambda p: levels(
+            p, F.regexp_extract(p, r"^[\s(]*", 0), F.regexp_extract(F.reverse(p), r"^[\s)]*", 0)))
+
+        def inner(n: Column) -> Column:
+            start = F.length(F.call_function("substring_index", e, F.lit("("), n)) + 1
+            end = F.length(e) - F.length(F.call_function("substring_index", e, F.lit(")"), -n)) - 1
+            return F.when(n > 0, trim_space(F.substring(e, start + 1, end - start))).otherwise(e)
+
+        return F.when(F.startswith(e, F.lit("(")) & F.endswith(e, F.lit(")")), let(pairs, inner)).otherwise(e)
+
+    return let(trim_space(expr), strip)
 
 
 def referenced_names(expr: Column) -> Column:
@@ -161,7 +194,7 @@ def classify_expression(expr: Column) -> Column:
 
         return let(_mask(_plain(e)), with_mask)
 
-    return let(_unwrap(_unwrap(expr)), facts)
+    return let(_unwrap(expr), facts)
 
 
 def _pass_name(p: Column, core: Column) -> Column:
@@ -204,7 +237,7 @@ ASSIGNMENT = (
 def extract_assignments(lines: DataFrame) -> DataFrame:
     """Assignment facts (file, pos, targets, expr) of JavaScript lines, one per match.
 
-    ``pos`` is line number * 2^20 + byte offset, so document order holds across lines.
+    ``pos`` is line number * 2^31 + byte offset, so document order holds across lines.
     """
     from grainsieve.operators.lexical import Pattern, find_matches
 
@@ -236,8 +269,7 @@ def reaching_definitions(defs: DataFrame, uses: DataFrame, bucket_width: int = B
     return found.filter("_use").select("file", "pos", "name", "def_pos")
 
 
-def propagate(assignments: DataFrame, fold_limit: int = 1000, max_rounds: int | None = None,
-              bucket_width: int = BUCKET) -> DataFrame:
+def propagate(assignments: DataFrame, fold_limit: int = 1000, bucket_width: int = BUCKET) -> DataFrame:
     """Rank of every assignment (file, pos, targets, rank), in document order semantics.
 
     Each right-hand side sees the state at its own position.  Files of up to ``fold_limit``
@@ -253,7 +285,7 @@ def propagate(assignments: DataFrame, fold_limit: int = 1000, max_rounds: int |
     large = cut_lineage(large)
     small = facts.join(large, "file", "left_anti")
     rest = facts.join(large, "file", "left_semi")
-    return _propagate_fold(small).unionByName(_propagate_rounds(rest, max_rounds, bucket_width))
+    return _propagate_fold(small).unionByName(_propagate_rounds(rest, bucket_width))
 
 
 def _propagate_fold(facts: DataFrame) -> DataFrame:
@@ -285,12 +317,11 @@ def _propagate_fold(facts: DataFrame) -> DataFrame:
     ).select("file", "_r.*")
 
 
-def _propagate_rounds(facts: DataFrame, max_rounds: int | None, bucket_width: int) -> DataFrame:
+def _propagate_rounds(facts: DataFrame, bucket_width: int) -> DataFrame:
     """Rounds of joins over definition links.
 
     Links point strictly backwards, so every row is settled after as many rounds as the longest
-    alias chain; there is no limit unless the caller sets one, and rows not settled then have a
-    null rank.  Each round is written to the shared folder, so a lost executor replays one round.
+    alias chain; there is no limit.  Each round is written to the shared folder, so a lost executor replays one round.
     """
     defs = facts.select("file", "pos", F.explode("targets").alias("name"))
     uses = facts.select("file", "pos", F.explode("facts.all_ids").alias("name"))
@@ -308,13 +339,11 @@ def _propagate_rounds(facts: DataFrame, max_rounds: int | None, bucket_width: in
         .withColumn("rank", rank)
     )
     settled = None
-    rounds = 0
     while True:
         fresh = todo.filter(F.col("rank").isNotNull()).select("file", "pos", "rank")
         settled = fresh if settled is None else settled.unionByName(fresh)
         rest = todo.filter(F.col("rank").isNull()).drop("rank")
-        rounds += 1
-        if rest.isEmpty() or (max_rounds is not None and rounds >= max_rounds):
+        if rest.isEmpty():
             break
         # settle the open names whose definition became known in this round
         known = (
@@ -344,21 +373,28 @@ def final_states(propagated: DataFrame) -> DataFrame:
     )
 
 
-def _arguments(expr: Column) -> Column:
-    """Top-level arguments of an argument list, in order."""
-    pieces = F.transform(F.regexp_extract_all(expr, F.lit(ARGUMENT), F.lit(0)), trim_space)
-    return F.filter(pieces, lambda a: a != "")
+_QUOTED = r""""[^"\\]*(?:\\.[^"\\]*)*"|'[^'\\]*(?:\\.[^'\\]*)*'|`[^`]*`"""
+ARGUMENT_PIECES = rf"""{_QUOTED}|[()\[\]{{}},"'`]|[^()\[\]{{}},"'`]+"""
 
 
-_NEST0 = r"""[^()\[\]{},"'`]"""
-_QUOTED = r""""[^"\\]*(?:\\.[^"\\]*)*"|'[^'\\]*(?:\\.[^'\\]*)*'|`[^`]*`"""
-_IN0 = rf"""[^()\[\]{{}}"'`]*(?:(?:{_QUOTED})[^()\[\]{{}}"'`]*)*"""
-_B1 = rf"""[(\[{{]{_IN0}[)\]}}]"""
-_IN1 = rf"""[^()\[\]{{}}"'`]*(?:(?:{_QUOTED}|{_B1})[^()\[\]{{}}"'`]*)*"""
-_B2 = rf"""[(\[{{]{_IN1}[)\]}}]"""
-_IN2 = rf"""[^()\[\]{{}}"'`]*(?:(?:{_QUOTED}|{_B2})[^()\[\]{{}}"'`]*)*"""
-_B3 = rf"""[(\[{{]{_IN2}[)\]}}]"""
-ARGUMENT = rf"""(?:{_NEST0}|{_QUOTED}|{_B3}){_NEST0}*(?:(?:{_QUOTED}|{_B3}){_NEST0}*)*"""
+def _arguments(expr: Column) -> Column:
+    """Top-level arguments of an argument list, in order, at any depth of nesting."""
+    first = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("i"), F.array(F.lit(0)).alias("at"))
+
+    def step(acc: Column, t: Column) -> Column:
+        """``at``: the places of the commas outside all brackets."""
+        depth = F.when(t.isin("(", "[", "{"), acc["depth"] + 1).when(
+            t.isin(")", "]", "}"), F.greatest(acc["depth"] - 1, F.lit(0))).otherwise(acc["depth"])
+        at = F.when((t == ",") & (acc["depth"] == 0), F.concat(acc["at"], F.array(acc["i"] + 1))).otherwise(acc["at"])
+        return F.struct(depth.alias("depth"), (acc["i"] + 1).alias("i"), at.alias("at"))
+
+    def cut(tokens: Column) -> Column:
+        """The tokens between one comma and the next."""
+        return let(F.aggregate(tokens, first, step), lambda s: F.transform(s["at"], lambda a, k: trim_space(F.array_join(
+            F.slice(tokens, a + 1, F.coalesce(F.get(s["at"], k + 1) - 1, F.size(tokens)) - a), ""))))
+
+    tokens = F.regexp_extract_all(expr, F.lit(ARGUMENT_PIECES), F.lit(0))
+    return F.filter(let(tokens, cut), lambda a: a != "")
 
 
 def argument_count(args: Column) -> Column:

@@ -349,6 +349,16 @@ ORACLES["findings_enriched"] = (
 
 # --- expression classes ---------------------------------------------------------------------
 
+# The derived inputs nest less deeply than these patterns reach; the engine itself has no such bound.
+_ROUNDS = 6
+_MASK = ((r"\([^()\[\]{}]*\)", "@"), (r"\[[^()\[\]{}]*\]", "#"), (r"\{[^()\[\]{}]*\}", "'"))
+_TEXT = r""""[^"\\]*(?:\\.[^"\\]*)*"|'[^'\\]*(?:\\.[^'\\]*)*'|`[^`]*`"""
+_INNER = r"""[^()\[\]{}"'`]*"""
+_LEVEL = rf"[(\[{{]{_INNER}(?:(?:{_TEXT}){_INNER})*[)\]}}]"
+for _ in range(2):
+    _LEVEL = rf"[(\[{{]{_INNER}(?:(?:{_TEXT}|{_LEVEL}){_INNER})*[)\]}}]"
+_ARGUMENT = rf"""(?:[^()\[\]{{}},"'`]|{_TEXT}|{_LEVEL})+"""
+
 
 def _steps(x: str, steps) -> str:
     for p, to in steps:
@@ -363,9 +373,9 @@ def plain(x: str) -> str:
 def mask_cte(source: str, expr: str, out: str) -> str:
     """Add ``out``: the masked form of ``expr`` (one projection per round keeps the text short)."""
     sql = f"SELECT *, {plain(expr)} AS {out}_0 FROM ({source})"
-    for i in range(TA.MASK_ROUNDS):
-        sql = f"SELECT *, {_steps(f'{out}_{i}', TA.MASK_STEPS)} AS {out}_{i + 1} FROM ({sql})"
-    chained = f"replace({out}_{TA.MASK_ROUNDS}, '?.', '.')"
+    for i in range(_ROUNDS):
+        sql = f"SELECT *, {_steps(f'{out}_{i}', _MASK)} AS {out}_{i + 1} FROM ({sql})"
+    chained = f"replace({out}_{_ROUNDS}, '?.', '.')"
     return f"SELECT *, {trim(chained)} AS {out} FROM ({sql})"
 
 
@@ -424,7 +434,7 @@ ORACLES["capture_filters"] = (
     f"AND (ignore_name = '' OR NOT coalesce(regexp_matches({named('ignore_name')}, ignore_re), false)) "
     f"AND (require_name = '' OR coalesce(regexp_matches({named('require_name')}, require_re), false))"
 )
-_args = f"list_filter(list_transform(regexp_extract_all({trim('captures[2]')}, {q(TA.ARGUMENT)}), lambda a: {trim('a')}), lambda a: a <> '')"
+_args = f"list_filter(list_transform(regexp_extract_all({trim('captures[2]')}, {q(_ARGUMENT)}), lambda a: {trim('a')}), lambda a: a <> '')"
 ORACLES["arg_count"] = (
     f"{with_lines(CODE)} SELECT path, line_no, start + 1 AS \"column\", CASE WHEN {trim('captures[2]')} <> '' THEN len({_args}) END AS n_args "
     f"FROM ({all_matches('lines', ARG_RULE.id, ARG_RULE.pattern, 2, where='language = ' + q('javascript'))}) "
@@ -498,7 +508,7 @@ _SOLVED = (
 ORACLES["taint_propagate"] = f"{_SOLVED} SELECT f.file, f.pos, {_sorted('targets')} AS targets, CAST(rank AS BIGINT) AS rank FROM facts f LEFT JOIN solved s ON s.file = f.file AND s.pos = f.pos"
 _FINAL = "finals AS MATERIALIZED (SELECT d.file, d.name, max_by(s.rank, s.pos) AS rank FROM defs d JOIN solved s ON s.file = d.file AND s.pos = d.pos GROUP BY ALL)"
 ORACLES["taint_final"] = f"{_SOLVED}, {_FINAL} SELECT file, name, CAST(rank AS BIGINT) AS rank FROM finals"
-_sink_args = f"list_filter(list_transform(regexp_extract_all(expr, {q(TA.ARGUMENT)}), lambda a: {trim('a')}), lambda a: a <> '')"
+_sink_args = f"list_filter(list_transform(regexp_extract_all(expr, {q(_ARGUMENT)}), lambda a: {trim('a')}), lambda a: a <> '')"
 _chosen = (
     f"CASE WHEN NOT is_args THEN [expr] WHEN sink_arg_index IS NOT NULL THEN (CASE WHEN sink_arg_index < len({_sink_args}) THEN [{_sink_args}[sink_arg_index + 1]] ELSE [] END) ELSE {_sink_args} END"
 )

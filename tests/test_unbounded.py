@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from grainsieve.functions.versions import version_key
 from grainsieve.operators.baseline import read_baseline
 from grainsieve.operators.rule_scan import scan_rules
+from grainsieve.operators.taint import argument_count, classify_expression, is_literal
 from grainsieve.sources.pages import extract_scripts
 from grainsieve.sources.rules import builtin_rules
 
@@ -37,3 +38,17 @@ def test_baseline_reader(spark, tmp_path):
     assert {r[0] for r in read_baseline(spark, str(tmp_path / "b.json")).collect()} == {"x", "y"}
     for path in (None, " ", str(tmp_path / "none.json")):
         assert read_baseline(spark, path).collect() == []
+
+
+def test_nesting_of_any_depth(spark):
+    deep = "f(" * 40 + "a" + ")" * 40
+    cases = [
+        ("(" * 12 + '"a"' + ")" * 12, 0, [], True), (f"encodeURIComponent({deep})", 2, [], False), ("( ( a ) )", None, ["a"], False),
+        ("(a) + (b)", 1, [], False), ("((a) + b)", 1, ["b"], False), ("encodeURI(x) + foo(a", 2, [], False), ("()", None, [], False),
+    ]
+    rows = spark.createDataFrame([(c[0],) for c in cases], "e string")
+    got = rows.select(classify_expression(F.col("e")).alias("f"), is_literal(F.col("e")).alias("lit")).collect()
+    assert [(r.f.base, r.f.ids, r.lit) for r in got] == [c[1:] for c in cases]
+    args = [(f"a, {deep}", 2), ("a, f(f(f(f(1,2))))", 2), ("'(', g[{k: [1, 2]}], `,`", 3), ("x(a, b", 1), ("a), b", 2), ("", 0), (",".join(["q"] * 1500), 1500)]
+    rows = spark.createDataFrame([(a,) for a, _ in args], "e string")
+    assert [r.n for r in rows.select(argument_count(F.col("e")).alias("n")).collect()] == [n for _, n in args]
