@@ -263,7 +263,10 @@ def write_findings_report(findings: DataFrame, path: str, target: str, timestamp
 def write_sarif(findings: DataFrame, rules: DataFrame, path: str, root: str | None = None) -> None:
     """A SARIF document as ordered lines."""
     results = sarif_results(findings, rules, root)
-    keyed = sarif_result_json(results).select(F.concat(F.sha2("row", 256), F.lit("-"), F.monotonically_increasing_id().cast("string")).alias("k"), "row")
+    # equal rows are numbered, so a row's key is the same however often and wherever it is computed
+    counted = sarif_result_json(results).groupBy("row").agg(F.count("*").alias("n"))
+    keyed = counted.select("row", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i")).select(
+        F.concat_ws("-", F.sha2("row", 256), F.lpad(F.col("i").cast("string"), 19, "0")).alias("k"), "row")
     head = (
         '{"version":"' + SARIF_VERSION + '","$schema":"' + SARIF_SCHEMA
         + '","runs":[{"tool":{"driver":{"name":"grainsieve","rules":['

@@ -70,7 +70,7 @@ def taint_gated(joined: DataFrame, lines: DataFrame) -> DataFrame:
     finals = final_states(propagate(assigns))
     capture = F.try_element_at(F.col("captured"), F.col("taint.sink_capture"))
     prepared = sinks.withColumns({
-        "sink_id": F.concat_ws("|", "path", "rule_id", "line_no", "start", F.octet_length("match")),
+        "sink_id": F.concat_ws("|", "path", "rule_order", "line_no", "start", F.octet_length("match")),
         "file": F.col("path"),
         "expr": capture,
         "require_tainted": F.col("taint.require_tainted"),

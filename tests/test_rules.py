@@ -1,4 +1,5 @@
 import re
+from dataclasses import replace as dc_replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -127,3 +128,11 @@ def test_load_rules(tmp_path):
     n, b = load_rules(str(tmp_path))
     assert (n.id, n.tags, n.cwe, n.effective_confidence, n.language_key, n.effective_description) == ("N1", ["one"], ["CWE-1"], "MEDIUM", "javascript", "said")
     assert (b.id, b.severity, b.framework, b.language, b.pattern, b.description) == ("B1", "HIGH", "React", "JavaScript", "ok", "Imported from bundle rule B1")
+
+
+def test_rules_of_one_id_keep_their_own_matches(spark):
+    one = next(r for r in builtin_rules() if r.id == "JS-EVAL-EXEC")
+    rules = [dc_replace(one, severity="LOW"), dc_replace(one, pattern=r"exec_this\(", severity="HIGH", capture_names=[], requires_literal=[])]
+    files = corpus(spark, ("a.js", "eval(code);\nexec_this(x);\n"))
+    found = with_rule(scan_rules(files, rules), rules_table(spark, rules)).select("line_no", "severity").collect()
+    assert sorted(tuple(r) for r in found) == [(1, "LOW"), (2, "HIGH")]
