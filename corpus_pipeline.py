@@ -6,18 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainsieve.llm import exact_dedup, jaccard_join, language_id, packing, pii
-from grainsieve.llm.tables import Workspace, share_package
+from grainsieve.llm.tables import Workspace, field, share_package, text_or_empty
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose language can't be told: null texts and those without a letter.
+    """Give every document without a label the predicted language; drop texts that have none.
 
-    The classifier learns from the table's own labels; ``lang`` is left as it is.
+    The classifier learns from the table's own labels, which stay as they are.  Only null texts and
+    those without a letter are dropped, whatever the score; without labels to learn from, ``lang``
+    stays null.
     """
     share_package(spark)
-    columns = docs.columns
-    labelled = language_id.predict(docs, language_id.train(docs))
-    return labelled.where(F.col(labelled.columns[-2]) != language_id.UNDETERMINED).select(*columns)
+    model = language_id.train(docs)
+    if model is None:
+        return docs.where(text_or_empty("text").rlike(r"\p{L}"))
+    labelled = language_id.predict(docs, model)
+    pred = field(labelled.columns[-2])
+    filled = F.coalesce(field("lang"), pred.cast(docs.schema["lang"].dataType)).alias("lang")
+    columns = [filled if c == "lang" else field(c) for c in docs.columns]
+    return labelled.where(pred != language_id.UNDETERMINED).select(*columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,6 +34,19 @@ def test_stages(spark):
     assert ids("packing") == [4, 6, 7] and sum(r.length for r in found["packing"]) <= 1024
 
 
+def test_language_stage_fills_labels_and_needs_none(spark):
+    share_package(spark)
+    german, english = "der hund und die katze sitzen im garten", "the dog and the cat are sitting in the garden"
+    rows = [(i, (german if i % 2 else english) + f" {i}", "de" if i % 2 else "en") for i in range(40)]
+    rows += [(100, "die katze und der hund im garten", None), (101, "the cat and the dog in the garden", None), (102, german, "xx"), (103, "12 !", None), (104, None, "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang for r in corpus_pipeline.identify_language(spark, docs, SMALL).where("doc_id >= 100").collect()}
+    assert got == {100: "de", 101: "en", 102: "xx"}
+    bare = docs.selectExpr("doc_id", "text", "cast(null as string) as lang")
+    out = corpus_pipeline.identify_language(spark, bare, SMALL).collect()
+    assert sorted(r.doc_id for r in out) == [*range(40), 100, 101, 102] and all(r.lang is None for r in out)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracle(spark, name):
     connection = duckdb.connect()
