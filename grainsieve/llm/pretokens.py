@@ -14,7 +14,8 @@ import pyarrow as pa
 
 from grainsieve.llm.words import BYTE_VALUES, byte_range_hashes, text_chunks
 
-#: Parts that a worker's table holds at most before it starts anew, and the bytes of text of a block.
+#: Parts beyond which a worker's table starts anew before the next block, and the bytes of text of a block.
+#: A block's own parts always stand in the table together, however many they are.
 MOST_PARTS = 3_000_000
 BLOCK_BYTES = 8 << 20
 
@@ -94,8 +95,6 @@ class PartTable:
         self.first, self.count, self.ids, self.used = [np.zeros(1 << 16, dtype=np.int64) for _ in range(2)] + [np.zeros(1 << 18, dtype=np.int32), 0]
 
     def _add(self, keys: np.ndarray, parts: list[bytes]) -> None:
-        if self.table.size + len(keys) > MOST_PARTS:
-            self._clear()
         new = self.encode(parts)
         counts = np.fromiter(map(len, new), dtype=np.int64, count=len(new))
         ids = np.concatenate(new) if new else np.empty(0, dtype=np.int32)
@@ -119,18 +118,16 @@ class PartTable:
         new = np.flatnonzero(found < 0)
         if len(new):
             distinct, index = np.unique(keys[new], return_index=True)
+            if self.table.size and self.table.size + len(distinct) > MOST_PARTS:
+                self._clear()
+                new = np.arange(len(keys))
+                distinct, index = np.unique(keys, return_index=True)
             at = new[index]
             raw = data.tobytes()
-            size = self.table.size
             self._add(distinct, [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-            if self.table.size != size + len(distinct):  # the table was started anew
-                rest = np.flatnonzero(self.table.find(keys) < 0)
-                distinct, index = np.unique(keys[rest], return_index=True)
-                at = rest[index]
-                self._add(distinct, [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-                found = self.table.find(keys)
-            else:
-                found[new] = self.table.find(keys[new])
+            found[new] = self.table.find(keys[new])
+            if found.min() < 0:
+                raise RuntimeError("a part of a text is missing in the table of parts")
         counts = self.count[found]
         ends_of_parts = np.cumsum(counts)
         total = int(ends_of_parts[-1]) if len(counts) else 0

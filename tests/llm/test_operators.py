@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,6 +22,7 @@ from grainsieve.llm import (
     merge_replay,
     packing,
     pii,
+    pretokens,
     substring_dedup,
     topk_search,
 )
@@ -137,6 +139,14 @@ def test_merge_replay(name, request):
     assert as_bag((r.doc_id, tuple(r.ids), bytes(r.decoded)) for r in merge_replay.bpe_encode(frame).collect()) == want
 
 
+def test_part_table_keeps_all_parts_of_a_block(monkeypatch):
+    monkeypatch.setattr(pretokens, "MOST_PARTS", 50)
+    table = pretokens.PartTable(lambda parts: [np.frombuffer(p, dtype=np.uint8).astype(np.int32) for p in parts])
+    for text in ["a b c", " ".join(f"x{i}" for i in range(200)) + " a b c", "a b c d", " ".join(f"y{i}" for i in range(48))]:
+        (ids,) = table.column(pa.array([text]))
+        assert bytes(ids.astype(np.uint8)) == text.encode()
+
+
 def test_merge_replay_words():
     merges = merge_replay.merges_of(merge_replay.RANKS)
     words = [b"a" * 300, b"abababab", " thndhain".encode(), "éèééé".encode(), b"x"]
