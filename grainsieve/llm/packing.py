@@ -8,13 +8,15 @@ over at most ``max_tokens`` numbers.
 from __future__ import annotations
 
 import json
+import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,24 +28,82 @@ END_ID = 2
 MAX_TOKENS = 1024
 #: Pieces that one task packs together.
 GROUP_PIECES = 60_000
-_TABLES: dict[str, PartTable] = {}
+_TABLES: dict[str, AddedTokens | WholeTexts] = {}
 
 
-def rank_encoder(path: str) -> Callable[[list[bytes]], list[np.ndarray]]:
-    """An encoder of parts by a byte-level tokenizers file.
+class WholeTexts:
+    """Token ids of whole texts by tokenizers itself."""
 
-    Where the file's merges stand in the order of the ids that they make, merging by id gives what
-    merging by the list gives, and the faster library reads the file's own vocabulary; any other
-    file is left to tokenizers.
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+
+    def column(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        for text in texts:
+            yield np.array(self.tokenizer.encode(text.as_py() or "", add_special_tokens=False).ids, dtype=np.int32)
+
+
+class AddedTokens:
+    """A table of parts behind a file's added tokens: texts are cut at those before parts are.
+
+    ``passes`` hold the tokens' ids by content; as in tokenizers, the first token from the left wins,
+    of several at one place the longest, and a later pass looks at what earlier ones left.
     """
-    from tokenizers import Tokenizer
 
+    ROWS = 256
+
+    def __init__(self, table: PartTable, passes: list[dict[str, int]]):
+        self.table = table
+        self.ids = {content: i for own in passes for content, i in own.items()}
+        self.patterns = [re.compile(f"({'|'.join(map(re.escape, sorted(own, key=len, reverse=True)))})") for own in passes if own]
+
+    def cut(self, text: str) -> list[str | int]:
+        """Stretches of text and ids of added tokens in order; none for an empty text."""
+        out: list[str | int] = [text]
+        for pattern in self.patterns:
+            left, out = out, []
+            for piece in left:
+                if isinstance(piece, int):
+                    out.append(piece)
+                else:
+                    out += [self.ids[p] if k % 2 else p for k, p in enumerate(pattern.split(piece)) if p]
+        return [p for p in out if p != ""]
+
+    def column(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        if not any(self._holds(texts, content) for content in self.ids):
+            yield from self.table.column(texts)
+            return
+        for row in range(0, len(texts), self.ROWS):
+            rows = [self.cut(text or "") for text in texts.slice(row, self.ROWS).to_pylist()]
+            encoded = self.table.column(pa.array([p for own in rows for p in own if isinstance(p, str)], pa.large_string()))
+            for own in rows:
+                parts = [next(encoded) if isinstance(p, str) else np.array([p], dtype=np.int32) for p in own]
+                yield np.concatenate(parts) if parts else np.empty(0, dtype=np.int32)
+
+    @staticmethod
+    def _holds(texts: pa.Array, content: str) -> bool:
+        return bool(pc.any(pc.match_substring(texts, content)).as_py())
+
+
+def token_table(path: str) -> AddedTokens | WholeTexts:
+    """What gives the ids of a column of texts by a byte-level tokenizers file.
+
+    Where the file's merges stand in the order of the ids that they make, merging by id gives what
+    merging by the list gives, and the faster library reads the file's own vocabulary; texts are cut at
+    the file's added tokens first.  Any other file, and one whose added tokens take in white space or
+    look at the letters around them, is left to tokenizers.
+    """
     with open(path, encoding="utf-8") as file:
-        model = json.load(file)["model"]
+        whole = json.load(file)
+    model, added = whole["model"], whole.get("added_tokens") or []
     vocabulary = model["vocab"]
     merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
     made = [vocabulary[a + b] for a, b in merges]
-    if made == sorted(made) and len(set(made)) == len(made) and not model.get("ignore_merges"):
+    plain = not whole.get("normalizer") and not any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip"))
+    if plain and made == sorted(made) and len(set(made)) == len(made) and not model.get("ignore_merges"):
         import tiktoken
 
         byte_of = {c: bytes([b]) for b, c in byte_characters().items()}
@@ -51,12 +111,10 @@ def rank_encoder(path: str) -> Callable[[list[bytes]], list[np.ndarray]]:
         mergeable = {byte_of[t]: vocabulary[t] for t in singles}
         mergeable |= {b"".join(byte_of[c] for c in a + b): i for (a, b), i in zip(merges, made, strict=True)}
         fast = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=mergeable, special_tokens={})
-        return lambda parts: [np.array(fast.encode_ordinary(p.decode()), dtype=np.int32) for p in parts]
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return lambda parts: [
-        np.array(tokenizer.encode(p.decode(), add_special_tokens=False).ids, dtype=np.int32) for p in parts
-    ]
+        passes = [{t["content"]: vocabulary.get(t["content"], t["id"]) for t in added if t["content"] and bool(t.get("normalized")) == later}
+                  for later in (False, True)]
+        return AddedTokens(PartTable(lambda parts: [np.array(fast.encode_ordinary(p.decode()), dtype=np.int32) for p in parts]), passes)
+    return WholeTexts(path)
 
 
 def byte_characters() -> dict[int, str]:
@@ -66,10 +124,10 @@ def byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-def part_table(path: str) -> PartTable:
+def part_table(path: str) -> AddedTokens | WholeTexts:
     """The Python worker's table for a file."""
     if path not in _TABLES:
-        _TABLES[path] = PartTable(rank_encoder(path))
+        _TABLES[path] = token_table(path)
     return _TABLES[path]
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import json
 import re
 import zlib
 
@@ -173,6 +174,25 @@ def test_packing(name, request):
         assert own["offset"].tolist() == [0, *np.cumsum(own["length"])[:-1]] and own["length"].sum() <= 1024
 
 
+def test_ids_with_added_tokens(tmp_path):
+    from tokenizers import Tokenizer
+
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", "plain text here", f"{end}{end}", f"x{end}", f"{end} \n y", f"<|endof{end}text|>", "", None, "<|endoftext|", f"  {end}  z it's"]
+    with open(packing.TOKENIZER, encoding="utf-8") as file:
+        whole = json.load(file)
+    token = whole["added_tokens"][0]
+    files = {"plain": [token], "strip": [token | {"lstrip": True}], "two": [token, token | {"id": token["id"] + 1, "content": "it's", "special": False, "normalized": True}]}
+    for name, added in files.items():
+        path = str(tmp_path / f"{name}.json")
+        with open(path, "w", encoding="utf-8") as file:
+            json.dump(whole | {"added_tokens": added}, file)
+        tokenizer = Tokenizer.from_file(path)
+        got = [ids.tolist() for ids in packing.token_table(path).column(pa.array(texts))]
+        assert got == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts], name
+    assert [ids.tolist() for ids in packing.part_table(packing.TOKENIZER).column(pa.array(texts[:1]))] == [[64, 220, 50256, 275]]
+
+
 def test_pack_sizes_chooses_the_smallest_sum_of_squares():
     sizes = np.random.default_rng(1).integers(1, 17, 200)
     got, _ = packing.pack_sizes(sizes, 16)
