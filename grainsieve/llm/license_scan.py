@@ -7,11 +7,15 @@ template's shingles decides.
 
 With at least 80 % of a template in a window of twice its class size, the Jaccard similarity is 0.2 or
 more, so 40 bands of one row meet with a probability of 1 - 0.8^40 > 0.9998.
+
+A template with fewer words than a shingle is one shingle of all its words; texts are read in shingles
+of that many words for it, and only the whole template matches.
 """
 
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +50,48 @@ TEMPLATES = {
     "isc-permission": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
         "provided that the above copyright notice and this permission notice appear in all copies."),
+    "mpl-2.0-notice": "Licensed under the Mozilla Public License 2.0.",
+    "mpl-2.0-header": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed "
+        "with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    "lgpl-notice": "This work is licensed under the GNU Lesser General Public License.",
+    "lgpl-header": "under the terms of the GNU Lesser General Public License",
+    "agpl-notice": "This work is licensed under the GNU Affero General Public License.",
+    "agpl-header": "under the terms of the GNU Affero General Public License",
+    "epl-2.0-header": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    "cc0-1.0-notice": "Licensed under CC0 1.0 Universal.",
+    "bsd-notice": "Released under the BSD License.",
+    "bsd-notice-2": "Licensed under the BSD license.",
+    "bsd-2-clause-notice": "Licensed under the BSD 2-Clause License.",
+    "bsd-3-clause-notice": "Licensed under the BSD 3-Clause License.",
+    "bsd-style-header": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+    "mit-text": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
+        "files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, "
+        "modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the "
+        "Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice "
+        "shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY "
+        "OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR "
+        "PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
+        "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR "
+        "THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    "bsd-3-clause-text": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+        "conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+        "following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions "
+        "and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name "
+        "of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+        "software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "
+        "\"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND "
+        "FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY "
+        "DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF "
+        "SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF "
+        "LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE "
+        "USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+}
+#: Templates of fewer words than a shingle.
+SHORT_TEMPLATES = {
+    "all-rights-reserved": "All rights reserved.",
 }
 #: Words that tell license text; each template must hold enough of them (checked).
 GUARDS = ("license", "licensed", "licenses", "permission", "redistribution", "redistribute", "warranties", "sublicense", "copyright", "software", "cc")
@@ -100,11 +146,24 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     template's distinct shingles found in one window, ``percent`` / 100 or more; ``first_word`` (from 0)
     is where the first of them stands in the earliest window that reaches it.  One row per id and
     template: rows that repeat an id are reported together, those without an id too.  A null or empty
-    text, and one with fewer words than a shingle, holds none; an empty table gives no rows.
+    text holds none, one with fewer words than a shingle only templates that are as short; an empty
+    table gives no rows.
     """
+    templates = TEMPLATES | SHORT_TEMPLATES if templates is None else templates
+    by_words: dict[int, dict[str, str]] = {}
+    for name, text in templates.items():
+        by_words.setdefault(min(words, len(re.findall("[a-z0-9]+", text.lower()))), {})[name] = text
+    if 0 in by_words:
+        raise ValueError(f"template {next(iter(by_words[0]))} has no words")
+    found = [_scan(docs, id_col, text_col, own, n, percent, bands, GUARDS if n == words else ()) for n, own in sorted(by_words.items(), reverse=True)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _scan(docs: DataFrame, id_col: str, text_col: str, templates: dict[str, str], words: int, percent: int, bands: int,
+          preferred: tuple[str, ...]) -> DataFrame:
+    """The scan for templates that have at least ``words`` words each."""
     spark = docs.sparkSession
-    templates = TEMPLATES if templates is None else templates
-    guards = guard_words(templates, words, percent)
+    guards = guard_words(templates, words, percent, preferred)
     rows = [(name, size_class(len(s)), s) for name, text in templates.items() for s in [_template_shingles(text, words)]]
     values = [F.struct(F.lit(name).alias("license"), F.lit(size).alias("class"), F.array(*map(F.lit, own)).alias("texts")) for name, size, own in rows]
     table = spark.range(1).select(F.inline(F.array(*values)))

@@ -292,6 +292,21 @@ def test_license_scan(session):
     assert out == want and (1, "bsd-redistribution") in out
 
 
+def test_license_scan_short_templates_and_families(session):
+    gpl = "you can redistribute it under the terms of the GNU General Public License as published"
+    rows = [(1, "x " * 300 + "All  Rights\nReserved." + " y" * 9), (2, "all rights reserved"), (3, "all rights are reserved"), (4, "reserved all rights"),
+            (5, gpl.replace("General", "Affero General")), (6, gpl), (7, "a " + license_scan.TEMPLATES["mit-text"].lower()), (8, "Licensed under the BSD 3-Clause License"),
+            (9, "This work is licensed under the GNU Lesser General Public License, version 3"), (None, "All rights reserved"), (10, "the end")]
+    docs = session.createDataFrame(rows, "doc_id long, text string")
+    out = {(r.doc_id, r.license): (r.containment, r.first_word) for r in license_scan.license_scan(docs).collect()}
+    assert {k: v for k, v in out.items() if k[1] == "all-rights-reserved"} == {(1, "all-rights-reserved"): (1.0, 300), (2, "all-rights-reserved"): (1.0, 0), (None, "all-rights-reserved"): (1.0, 0)}
+    assert {k for k in out if k[1] != "all-rights-reserved"} == {(5, "agpl-header"), (7, "mit-text"), (7, "mit-permission"), (8, "bsd-3-clause-notice"), (9, "lgpl-notice")}
+    own = {(r.doc_id, r.license) for r in license_scan.license_scan(docs, templates={"end": "the end", "one": "Reserved"}).collect()}
+    assert own == {(10, "end"), (1, "one"), (2, "one"), (3, "one"), (4, "one"), (None, "one")}
+    with pytest.raises(ValueError):
+        license_scan.license_scan(docs, templates={"none": "..."})
+
+
 def test_top_k(session):
     vectors = [r.asDict() for r in session.read.parquet(f"{SMALL}/embeddings.parquet").collect()]
     rows = [(r["vec_id"], r["embedding"], 1) for r in vectors] + [(1000, None, 1), (1001, [None], 1), (1002, [float("nan")], 1), (1100, [float("inf")], 1), (1200, [], 1), (None, [1.0], 1)]
