@@ -5,6 +5,9 @@ by the texts' own numbers of n-grams.  Landmark texts stand for the kernel's fea
 and one ridge regression for each language is fitted against the rest.  The fitted function is linear
 in the presence of n-grams, so a batch of texts is scored by one product of its sparse presence
 matrix with a matrix of n-gram weights.
+
+Every label of the table is learned.  The languages share fixed numbers of landmarks and of fitted
+texts, so the model stays bounded; with many languages it is kept as landmarks and their coefficients.
 """
 
 from __future__ import annotations
@@ -21,10 +24,14 @@ from pyspark.sql.types import DoubleType, StringType, StructType
 from grainsieve.llm.tables import field, text_or_empty
 from grainsieve.llm.words import text_chunks
 
-#: Texts per language that are fitted on, how many of them are landmarks, and most languages learned.
+#: Texts per language that are fitted on, how many of them are landmarks, and how many of both all languages share.
 SAMPLE_TEXTS = 300
 LANDMARKS = 60
-MOST_LANGUAGES = 64
+ALL_SAMPLE_TEXTS = 19_200
+ALL_LANDMARKS = 960
+#: Texts that every language is fitted on, however many languages there are, and languages with n-gram weights of their own.
+LEAST_TEXTS = 16
+DENSE_LANGUAGES = 64
 RIDGE = 1e-2
 BITS = 16
 UNDETERMINED = "und"
@@ -63,28 +70,76 @@ def present(texts: pa.Array) -> Iterator[list[np.ndarray]]:
             yield own
 
 
+class Landmarks:
+    """The n-grams of the landmark texts, a run of codes for each landmark and order."""
+
+    def __init__(self, features: list[list[np.ndarray]]):
+        self.count = len(features)
+        self.sizes = [np.array([len(own[n]) for own in features]) for n in range(ORDERS)]
+        self.codes = [np.concatenate([own[n] for own in features]).astype(np.uint16) for n in range(ORDERS)]
+
+    def kernel(self, batch: list[list[np.ndarray]]) -> np.ndarray:
+        """Kernel values, texts x landmarks."""
+        out = np.zeros((len(batch), self.count))
+        seen = np.zeros(1 << BITS, dtype=np.int32)
+        for n, (sizes, codes) in enumerate(zip(self.sizes, self.codes, strict=True)):
+            has = np.flatnonzero(sizes)
+            starts = (np.cumsum(sizes) - sizes)[has]
+            for row, own in enumerate(batch):
+                if len(own[n]) and len(has):
+                    seen[own[n]] = 1
+                    out[row, has] += np.add.reduceat(seen[codes], starts) / np.sqrt(sizes[has] * float(len(own[n])))
+                    seen[own[n]] = 0
+        return out / ORDERS
+
+    def weights(self, beta: np.ndarray) -> list[np.ndarray]:
+        """For each order the weights of its n-grams (codes x languages)."""
+        out = []
+        for sizes, codes in zip(self.sizes, self.codes, strict=True):
+            total = np.zeros((1 << BITS, beta.shape[1]))
+            end = 0
+            for k, size in enumerate(sizes.tolist()):
+                total[codes[end : end + size]] += beta[k] / np.sqrt(max(size, 1))
+                end += size
+            out.append(total.astype(np.float32))
+        return out
+
+
 @dataclass
 class Model:
-    """Languages in order, and for each order the weights of its n-grams (codes x languages)."""
+    """Languages in order, and for each order the weights of its n-grams (codes x languages).
+
+    With many languages, instead of weights the landmarks and their coefficients (landmarks x languages).
+    """
 
     languages: list[str]
-    weights: list[np.ndarray]
+    weights: list[np.ndarray] | None
+    landmarks: Landmarks | None = None
+    beta: np.ndarray | None = None
 
-    def scores(self, texts: pa.Array, rows: int = 256) -> np.ndarray:
-        """Regression values, texts x languages."""
-        out = np.zeros((len(texts), len(self.languages)), dtype=np.float64)
+    def best(self, texts: pa.Array, rows: int = 256) -> tuple[np.ndarray, np.ndarray]:
+        """The language of the largest regression value of each text, the first of equal ones, and that value."""
+        which, value = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts))
         batch: list[list[np.ndarray]] = []
         first = 0
+
+        def settle() -> None:
+            values = self._product(batch)
+            which[first : first + len(batch)] = values.argmax(axis=1)
+            value[first : first + len(batch)] = values.max(axis=1)
+
         for own in present(texts):
             batch.append(own)
             if len(batch) == rows:
-                out[first : first + rows] = self._product(batch)
+                settle()
                 first, batch = first + rows, []
         if batch:
-            out[first:] = self._product(batch)
-        return out
+            settle()
+        return which, value
 
     def _product(self, batch: list[list[np.ndarray]]) -> np.ndarray:
+        if self.weights is None:
+            return self.landmarks.kernel(batch) @ self.beta
         total = np.zeros((len(batch), len(self.languages)))
         for n, weights in enumerate(self.weights):
             sizes = np.array([len(own[n]) for own in batch])
@@ -96,32 +151,41 @@ class Model:
         return total / ORDERS
 
 
-def fit(languages: list[str], features: list[list[np.ndarray]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """Fit on texts given as their n-gram codes; the first ``landmarks`` texts of each language are landmarks."""
+def fit(languages: list[str], features: list[list[np.ndarray]], landmarks: int = LANDMARKS, ridge: float = RIDGE,
+        all_landmarks: int = ALL_LANDMARKS) -> Model:
+    """Fit on texts given as their n-gram codes.
+
+    The first ``landmarks`` texts of each language are landmarks; where that makes more than
+    ``all_landmarks``, the languages take turns until there are as many.
+    """
     names = sorted(set(languages))
+    at = {name: k for k, name in enumerate(names)}
     rank: dict[str, int] = {}
-    chosen = []
+    turns = []
     for i, language in enumerate(languages):
         rank[language] = rank.get(language, 0) + 1
         if rank[language] <= landmarks:
-            chosen.append(i)
-    kernel = np.zeros((len(features), len(chosen)))
-    maps = []
-    for n in range(ORDERS):
-        table = np.zeros((1 << BITS, len(chosen)), dtype=np.float32)
-        for column, i in enumerate(chosen):
-            own = features[i][n]
-            table[own, column] = 1 / np.sqrt(max(len(own), 1))
-        for i, own in enumerate(features):
-            if len(own[n]):
-                kernel[i] += table[own[n]].sum(axis=0, dtype=np.float64) / np.sqrt(len(own[n]))
-        maps.append(table)
-    kernel /= ORDERS
-    target = np.array([[float(language == name) for name in names] for language in languages])
-    among = kernel[chosen]
-    left = kernel.T @ kernel + ridge * among + 1e-8 * len(features) * np.eye(len(chosen))
-    beta = np.linalg.solve(left, kernel.T @ target)
-    return Model(names, [(table @ beta.astype(np.float32)) for table in maps])
+            turns.append((rank[language], i))
+    chosen = sorted(i for _, i in sorted(turns)[:all_landmarks])
+    kept = Landmarks([features[i] for i in chosen])
+    left, right = np.zeros((len(chosen), len(chosen))), np.zeros((len(chosen), len(names)))
+    among = np.zeros_like(left)
+    place = {i: k for k, i in enumerate(chosen)}
+    for first in range(0, len(features), 1024):
+        kernel = kept.kernel(features[first : first + 1024])
+        rows = np.arange(first, first + len(kernel))
+        target = np.zeros((len(kernel), len(names)))
+        target[rows - first, [at[languages[i]] for i in rows.tolist()]] = 1
+        left += kernel.T @ kernel
+        right += kernel.T @ target
+        for i in rows.tolist():
+            if i in place:
+                among[place[i]] = kernel[i - first]
+    left += ridge * among + 1e-8 * len(features) * np.eye(len(chosen))
+    beta = np.linalg.solve(left, right)
+    if len(names) > DENSE_LANGUAGES:
+        return Model(names, None, kept, beta)
+    return Model(names, kept.weights(beta))
 
 
 def held_out(id_col: str) -> Column:
@@ -130,22 +194,24 @@ def held_out(id_col: str) -> Column:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-          sample_texts: int = SAMPLE_TEXTS, most_languages: int = MOST_LANGUAGES) -> Model | None:
-    """Learn from a bounded sample of labelled rows that are not held out.
+          sample_texts: int = SAMPLE_TEXTS, all_sample_texts: int = ALL_SAMPLE_TEXTS) -> Model | None:
+    """Learn every label from a bounded sample of labelled rows that are not held out.
 
-    Counts by language cover all rows; of each language about ``sample_texts`` texts are drawn by a
-    hash of the id.  Returns None without labelled texts.
+    Counts by language cover all rows with a letter; of each language about ``sample_texts`` texts are
+    drawn by a hash of the id, or its share of ``all_sample_texts`` but not below ``LEAST_TEXTS``; all
+    texts of a language that has no more than twice those.  Returns None without labelled texts.
     """
     usable = docs.select(field(id_col).alias("id"), field(lang_col).cast("string").alias("lang"), F.lower(text_or_empty(text_col)).alias("text")).where(
-        F.col("id").isNotNull() & F.col("lang").isNotNull() & ~held_out("id"))
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+        F.col("id").isNotNull() & F.col("lang").isNotNull() & ~held_out("id") & F.col("text").rlike(r"\p{L}"))
+    counts = usable.groupBy("lang").count().collect()
     if not counts:
         return None
     span = 1 << 30
-    limit = F.lit(-1)
-    for row in counts:
-        limit = F.when(F.col("lang") == row["lang"], int(span * min(1.0, sample_texts / row["count"]))).otherwise(limit)
-    drawn = usable.where(F.pmod(F.xxhash64("id"), F.lit(span)) < limit).where(F.col("text").rlike(r"\p{L}"))
+    share = max(LEAST_TEXTS, min(sample_texts, all_sample_texts // len(counts)))
+    limits = {row["lang"]: span if row["count"] <= 2 * LEAST_TEXTS else int(span * min(1.0, share / row["count"])) for row in counts}
+    # a table of languages, not of rows
+    limit = F.element_at(F.create_map(*[F.lit(x) for pair in limits.items() for x in pair]), F.col("lang"))
+    drawn = usable.where(F.pmod(F.xxhash64("id"), F.lit(span)) < limit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,7 +225,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     sample = drawn.mapInArrow(run, schema).toPandas().sort_values(["lang", "id"])
     if not len(sample):
         return None
-    features = [[np.asarray(row[n], dtype=np.int64) for n in range(ORDERS)] for row in sample[[f"codes{n}" for n in range(ORDERS)]].to_numpy()]
+    features = [[np.asarray(row[n]).astype(np.uint16) for n in range(ORDERS)] for row in sample[[f"codes{n}" for n in range(ORDERS)]].to_numpy()]
     return fit(sample["lang"].tolist(), features)
 
 
@@ -173,16 +239,16 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     pred, score = (_free(taken, name) for name in ("lang_pred", "score"))
     if model is None:
         return docs.withColumns({pred: F.lit(UNDETERMINED), score: F.lit(0.0)})
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x 3 x 2^16 numbers at most
+    # DENSE_LANGUAGES x 3 x 2^16 numbers at most, or the n-grams of ALL_LANDMARKS texts and ALL_LANDMARKS x languages numbers
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
         for batch in batches:
-            values = fitted.scores(batch.column(len(taken)))
-            best = values.argmax(axis=1) if len(values) else np.empty(0, dtype=np.int64)
+            best, values = fitted.best(batch.column(len(taken)))
             letters = batch.column(len(taken) + 1).to_pylist()
             names = [fitted.languages[k] if ok else UNDETERMINED for k, ok in zip(best, letters, strict=True)]
-            top = [float(min(1.0, max(0.0, v[k]))) if ok else 0.0 for v, k, ok in zip(values, best, letters, strict=True)]
+            top = [float(min(1.0, max(0.0, v))) if ok else 0.0 for v, ok in zip(values, letters, strict=True)]
             columns = [batch.column(i) for i in range(len(taken))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(top, pa.float64())], [*taken, pred, score])
 

@@ -255,6 +255,23 @@ def test_language_id(documents, odd):
     assert [(r["doc_id"], r["lang_pred_"]) for r in clash.where("doc_id in (1, 2, 12, 13)").collect()] == [(1, "und"), (2, "und"), (12, "und"), (13, "und")]
 
 
+def test_language_id_learns_every_label(session):
+    random = np.random.default_rng(3)
+    words = {f"l{k:02d}": ["".join(random.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(12)] for k in range(80)}
+    rows = [(100 * k + i, " ".join(random.choice(own, 10)), lang) for k, (lang, own) in enumerate(words.items()) for i in range(24 if k < 64 else 12)]
+    docs = session.createDataFrame(rows, "doc_id long, text string, lang string")
+    for dense in (64, 100):
+        language_id.DENSE_LANGUAGES, before = dense, language_id.DENSE_LANGUAGES
+        try:
+            model = language_id.train(docs)
+        finally:
+            language_id.DENSE_LANGUAGES = before
+        assert model.languages == sorted(words) and (model.weights is None) == (dense == 64)
+        out = language_id.predict(docs.where(language_id.held_out("doc_id")), model).collect()
+        rare = [r.lang == r.lang_pred for r in out if r.lang >= "l64"]
+        assert len(rare) > 20 and np.mean(rare) > 0.95 and np.mean([r.lang == r.lang_pred for r in out]) > 0.95
+
+
 def test_html_extract(session):
     pages = session.read.parquet(f"{SMALL}/pages.parquet")
     model = html_extract.train(pages)
