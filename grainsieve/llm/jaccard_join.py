@@ -9,6 +9,9 @@ by what their prefixes allow at most, then by their whole sets.
 Components need no pair within a component that is already joined.  So each bucket first offers its
 members to one leader; then only groups of different components are paired.  Every pair that shares a
 prefix shingle is verified or lies in one component, so no link between components is lost.
+
+Links themselves need them all: ``jaccard_links`` and ``link_counts`` verify every candidate pair of
+classes, so their work grows with the number of candidates, in a group of near copies with its square.
 """
 
 from __future__ import annotations
@@ -187,8 +190,9 @@ class JaccardJoin:
         joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b")
         return self.space.write(joined.mapInArrow(verify, "a bigint, b bigint"), f"{name}-links")
 
-    def run(self) -> DataFrame:
-        space, percent = self.space, self.percent
+    def prepare(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Documents, classes, and the prefix shingles that classes share."""
+        space = self.space
         docs = space.write(self.sets(), "docs")
         classes = space.write(
             docs.where("n > 0").groupBy("n", "d1", "d2", "prefix")
@@ -196,7 +200,25 @@ class JaccardJoin:
             .withColumn("cid", F.monotonically_increasing_id()), "classes")
         buckets = classes.select("cid", "n", "copies", F.posexplode("prefix").alias("place", "token"))
         shared = space.write(buckets.groupBy("token").agg(F.count("*").alias("size")).where("size > 1"), "shared")
-        buckets = space.write(buckets.join(shared, "token").select("token", "cid", "n", "place", "copies", "size"), "buckets")
+        return docs, classes, space.write(buckets.join(shared, "token").select("token", "cid", "n", "place", "copies", "size"), "buckets")
+
+    def all_links(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Documents, classes, and every pair (a, b) of different classes that reaches the threshold."""
+        space, percent = self.space, self.percent
+        docs, classes, buckets = self.prepare()
+        part = F.pmod(F.xxhash64("cid"), F.ceil(F.col("size") / GROUP_MEMBERS).cast("long"))
+        groups = space.write(buckets.groupBy("token", "n", "place", part.alias("part")).agg(F.collect_list("cid").alias("members")), "link-groups")
+        left, right = (groups.select("token", F.struct("n", "place", "part").alias(f"group_{x}"), F.col("members").alias(f"members_{x}")) for x in "ab")
+        near = _reach(F.col("group_a.n"), F.col("group_a.place"), F.col("group_b.n"), F.col("group_b.place"), percent)
+        paired = left.join(right, "token").where((F.col("group_a") <= F.col("group_b")) & near)
+        pairs = paired.select(F.explode("members_a").alias("x"), "members_b").select("x", F.explode("members_b").alias("y")).where("x != y")
+        pairs = space.write(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "link-candidates")
+        allowed = space.write(self.allowed(pairs, classes), "link-allowed")
+        return docs, classes, self.linked(allowed, classes, "link")
+
+    def run(self) -> DataFrame:
+        space, percent = self.space, self.percent
+        docs, classes, buckets = self.prepare()
         # the members of a bucket that are close in size meet a leader: the one with the fewest rare shingles, so most like the others
         band = F.floor(F.log("n") / float(np.log(100 / percent))).alias("band")
         leaders = space.write(
@@ -254,3 +276,30 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     empty table gives no rows.  Sets are told apart by 128-bit digests, shingles by 64-bit hashes.
     """
     return JaccardJoin(docs, id_col, text_col, words, percent, sketch_bits).run()
+
+
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
+                  percent: int = PERCENT, sketch_bits: int = SKETCH_BITS) -> DataFrame:
+    """Every link between different shingle sets, once, by the sets' representatives.
+
+    Returns ``doc_id_a, text_hash_a, copies_a`` and the same for b; ``copies`` documents have the set.
+    The representative has the smallest id, a null one first.  Documents of one set are links of each
+    other that are not listed.  Nulls, empty texts and repeated rows are taken as by ``jaccard_join``.
+    """
+    _, classes, links = JaccardJoin(docs, id_col, text_col, words, percent, sketch_bits).all_links()
+    side = lambda x: classes.select(F.col("cid").alias(x), F.col("rep.doc_id").alias(f"doc_id_{x}"), F.col("rep.text_hash").alias(f"text_hash_{x}"), F.col("copies").alias(f"copies_{x}"))
+    return links.join(side("a"), "a").join(side("b"), "b").drop("a", "b")
+
+
+def link_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
+                percent: int = PERCENT, sketch_bits: int = SKETCH_BITS) -> DataFrame:
+    """One row per row: ``doc_id, text_hash, n_shingles, n_links``, the number of other rows that reach the threshold with it."""
+    join = JaccardJoin(docs, id_col, text_col, words, percent, sketch_bits)
+    rows, classes, links = join.all_links()
+    ends = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    other = classes.select(F.col("cid").alias("b"), F.col("copies").alias("others"))
+    around = ends.join(other, "b").groupBy("a").agg(F.sum("others").alias("others")).withColumnRenamed("a", "cid")
+    counted = classes.join(around, "cid", "left").select("n", "d1", "d2", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    counted = join.space.write(counted, "link-counts")
+    return rows.join(counted, ["n", "d1", "d2"], "left").select(
+        "doc_id", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
