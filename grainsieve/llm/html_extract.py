@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainsieve.llm.tables import field
+from grainsieve.llm.tables import field, smallest_hashes
 
 #: Pages that are fitted on, and the size of the model.
 SAMPLE_PAGES = 400
@@ -317,17 +317,15 @@ def variants(page: str) -> list[str]:
 
 
 def train(pages: DataFrame, html_col: str = "html", sample_pages: int = SAMPLE_PAGES) -> Boosted:
-    """Fit on a bounded sample of pages, drawn by a hash of their text, whose own markup tells the article.
+    """Fit on the pages with the smallest hashes of their text, copies once, whose own markup tells the article.
 
     Without such pages the model has no trees and keeps every node.
     """
     texts = pages.select(field(html_col).cast("string").alias("html")).where(F.length("html") > 0)
-    count = texts.count()
     model = Boosted()
-    if not count:
+    drawn = smallest_hashes(texts, "html", sample_pages)
+    if drawn is None:
         return model
-    span = 1 << 30
-    drawn = texts.where(F.pmod(F.xxhash64("html"), F.lit(span)) < int(span * min(1.0, sample_pages / count)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
-from grainsieve.llm.tables import field, text_or_empty
+from grainsieve.llm.tables import field, smallest_hashes, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -33,7 +33,7 @@ LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]")
 #: Documents that the field is fitted on, and tokens taken from each.
 SAMPLE_DOCS = 1500
 SAMPLE_TOKENS = 200
-ROUNDS = 10
+TOLERANCE = 1e-5
 SKIP_WEIGHT = 2.0
 CHAIN_WEIGHT = 0.5
 THRESHOLD = 0.9
@@ -137,10 +137,12 @@ def fit(rows: np.ndarray, labels: np.ndarray, steps: int = 300, decay: float = 1
     return weights
 
 
-def marginals(node: np.ndarray, edges: np.ndarray, strength: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+def marginals(node: np.ndarray, edges: np.ndarray, strength: np.ndarray, tolerance: float = TOLERANCE) -> np.ndarray:
     """Loopy sum-product on agreement potentials; node: log potentials, edges: pairs of tokens.
 
-    Messages run along both directions of all edges at once, damped by half, for a fixed number of rounds.
+    Messages run along both directions of all edges at once, damped by half, until none changes by more
+    than ``tolerance``; an edge rests until the belief at its source moves again.  Should messages never
+    settle, they end after far more rounds than any path through the edges needs.
     """
     if not len(node):
         return node
@@ -148,15 +150,24 @@ def marginals(node: np.ndarray, edges: np.ndarray, strength: np.ndarray, rounds:
     agree = np.exp(np.concatenate([strength, strength]))[:, None] - 1
     reverse = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
     messages = np.zeros((len(source), node.shape[1]))
-    belief = node
-    for _ in range(rounds if len(edges) else 0):
-        out = belief[source] - messages[reverse]
+    belief = node.copy()
+    active = np.arange(len(source))
+    for _ in range(1000 + 20 * len(edges)):
+        if not len(active):
+            break
+        out = belief[source[active]] - messages[reverse[active]]
         out = np.exp(out - out.max(axis=1, keepdims=True))
         out /= out.sum(axis=1, keepdims=True)
-        new = np.log1p(agree * out)
-        messages = 0.5 * messages + 0.5 * (new - new.max(axis=1, keepdims=True))
-        belief = node.copy()
-        np.add.at(belief, sink, messages)
+        new = np.log1p(agree[active] * out)
+        step = 0.5 * (new - new.max(axis=1, keepdims=True) - messages[active])
+        messages[active] += step
+        np.add.at(belief, sink[active], step)
+        moved = active[np.abs(step).max(axis=1) > tolerance]
+        awake = np.zeros(len(node), dtype=bool)
+        awake[sink[moved]] = True
+        awake = awake[source]
+        awake[moved] = True
+        active = np.flatnonzero(awake)
     p = np.exp(belief - belief.max(axis=1, keepdims=True))
     return p / p.sum(axis=1, keepdims=True)
 
@@ -212,15 +223,13 @@ def added_spans(text: str, base: list[tuple[int, int, int]], weights: np.ndarray
 def train(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> np.ndarray | None:
     """Fit the token weights on a bounded sample, labelled by the base patterns; None without tokens.
 
-    The count of texts with candidate tokens covers the table; about ``sample_docs`` of them are drawn
-    by a hash of the text, and ``SAMPLE_TOKENS`` tokens of each are used.
+    Of the distinct texts with candidate tokens, those with the ``sample_docs`` smallest hashes are
+    drawn, and ``SAMPLE_TOKENS`` tokens of each are used.
     """
     texts = docs.select(text_or_empty(text_col).alias("text")).where(F.col("text").rlike("[0-9@]"))
-    count = texts.count()
-    if not count:
+    drawn = smallest_hashes(texts, "text", sample_docs)
+    if drawn is None:
         return None
-    span = 1 << 30
-    drawn = texts.where(F.pmod(F.xxhash64("text"), F.lit(span)) < int(span * min(1.0, sample_docs / count)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

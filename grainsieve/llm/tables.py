@@ -61,3 +61,13 @@ def share_package(spark: SparkSession) -> None:
     paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if top not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([top, *paths])
+
+
+def smallest_hashes(texts: DataFrame, column: str, most: int) -> DataFrame | None:
+    """The ``most`` distinct texts with the smallest hashes, or all if there are fewer; None if there are none.
+
+    Only hashes are gathered to find the bound, so copies of a text count once and are drawn once.
+    """
+    hashed = F.xxhash64(field(column))
+    bound = texts.select(hashed.alias("h")).distinct().orderBy("h").limit(most).agg(F.max("h")).first()[0]
+    return None if bound is None else texts.where(hashed <= bound).select(field(column)).distinct()

@@ -27,7 +27,7 @@ from grainsieve.llm import (
     substring_dedup,
     topk_search,
 )
-from grainsieve.llm.tables import share_package
+from grainsieve.llm.tables import share_package, smallest_hashes
 
 SMALL = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -267,6 +267,24 @@ def test_skip_chain_adds_repetitions(documents):
     assert pii.redact_text(text, all_) == "call <phone> now. Later <phone> again, in 2024 there were 17."
 
 
+def test_a_sure_label_reaches_all_repeats():
+    node = np.full((41, 5), -30.0)
+    node[0, 4] = 0.0
+    node[1:] = np.log([0.5, 1e-9, 1e-9, 1e-9, 0.5])
+    edges = np.array([(i, i + 1) for i in range(40) for _ in range(2)])
+    p = pii.marginals(node, edges, np.full(len(edges), 2.0))
+    assert (p[:, 4] >= pii.THRESHOLD).all()
+    assert np.allclose(p.sum(axis=1), 1) and pii.marginals(node[:0], edges[:0], np.empty(0)).shape == (0, 5)
+
+
+def test_samples_take_copies_once(session):
+    texts = session.createDataFrame([("copy 1",)] * 500 + [(f"text {i}",) for i in range(100)], "text string")
+    assert smallest_hashes(texts, "text", 1000).count() == 101
+    drawn = [r.text for r in smallest_hashes(texts, "text", 30).collect()]
+    assert len(drawn) == len(set(drawn)) == 30
+    assert smallest_hashes(texts.where("false"), "text", 5) is None
+
+
 def test_language_id(documents, odd):
     model = language_id.train(documents)
     out = language_id.predict(documents.withColumn("h", language_id.held_out("doc_id")), model).where("h and lang is not null").collect()
