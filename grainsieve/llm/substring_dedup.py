@@ -1,11 +1,11 @@
-"""Substring dedup by prefix-partitioned suffix trees.
+"""Substring dedup by anchored groups of suffixes, named by doubling at the one depth of a window.
 
 A window is a run of consecutive words of one document.  Its anchor is a k-gram with the smallest hash
 in it, so equal windows have equal anchors.  The suffixes that start the windows of an anchor form one
 group; an anchor that occurs once holds no repeated window and is dropped before any text moves.  Groups
 are packed into buckets that fit in memory, and a group that does not fit is split by the whole window
-as its prefix.  In a bucket the tree is built level by level: suffixes get the names of their nodes at
-depth 1, 2, 4, ... words, and a node at the depth of a window with two leaves is a repeat.
+as its prefix.  In a bucket suffixes get the names of the nodes that a suffix tree would have at depth
+1, 2, 4, ... words, and a node at the depth of a window with two leaves is a repeat.  No tree is kept.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ WINDOW = 35
 ANCHOR = 8
 #: Suffix groups are dealt into buckets of about so many contexts; a group with more is split further.
 BUCKET_CONTEXTS = 20_000
+#: Windows that a context holds at most: bits of a mask.
+MASK_BITS = 63
 
 
 def window_anchors(words: Words, window: int = WINDOW, k: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -204,7 +206,7 @@ class SubstringDedup:
                     words = text.encode().split()
                     change = np.zeros(len(words) + 1, dtype=np.int64)
                     for low, mask in zip(lows.as_py(), masks.as_py(), strict=True):
-                        starts = low + np.flatnonzero((mask >> np.arange(63)) & 1)
+                        starts = low + np.flatnonzero((mask >> np.arange(MASK_BITS)) & 1)
                         np.add.at(change, starts, 1)
                         np.add.at(change, starts + window, -1)
                     gone = np.cumsum(change)[:-1] > 0
@@ -250,5 +252,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     every row.  A null text has no words; texts shorter than a window keep all of theirs; rows that
     repeat a text count as occurrences of each other, whatever their ids; a null id stays null; an empty
     table gives no rows.  Texts are told apart by two 64-bit hashes, so are the words of windows.
+
+    The result does not depend on ``anchor``; it is raised where more than ``MASK_BITS`` windows could
+    share one.
     """
-    return SubstringDedup(docs, id_col, text_col, window, anchor, bucket_contexts).run()
+    return SubstringDedup(docs, id_col, text_col, window, max(anchor, window - MASK_BITS + 1), bucket_contexts).run()

@@ -150,6 +150,15 @@ def test_substring_dedup(name, bucket, request):
     assert as_bag((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in out) == as_bag(removed_of(texts_of(frame), 35))
 
 
+@pytest.mark.parametrize("bucket", [20_000, 2])
+def test_substring_dedup_of_long_windows(session, bucket):
+    random = np.random.default_rng(11)
+    shared = [f"w{i}" for i in random.integers(0, 1000, 400)]
+    rows = [(i, " ".join([*map(str, random.integers(0, 10**6, 30 + i)), *shared[a:b], f"end{i}"])) for i, (a, b) in enumerate([(0, 400), (0, 150), (100, 330), (50, 140), (200, 289)])]
+    out = substring_dedup.substring_dedup(session.createDataFrame(rows, "doc_id long, text string"), window=90, bucket_contexts=bucket).collect()
+    assert as_bag((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in out) == as_bag(removed_of(rows, 90))
+
+
 @pytest.mark.parametrize("name", ["documents", "odd"])
 def test_merge_replay(name, request):
     import tiktoken
