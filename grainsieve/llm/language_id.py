@@ -17,9 +17,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructType
 
 from grainsieve.llm.tables import field, text_or_empty
 from grainsieve.llm.words import text_chunks
@@ -242,21 +242,21 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     # DENSE_LANGUAGES x 3 x 2^16 numbers at most, or the n-grams of ALL_LANDMARKS texts and ALL_LANDMARKS x languages numbers
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("struct<lang string, score double>")
+    def classify(texts: pa.Array) -> pa.Array:
         fitted = shared.value
-        for batch in batches:
-            best, values = fitted.best(batch.column(len(taken)))
-            letters = batch.column(len(taken) + 1).to_pylist()
-            names = [fitted.languages[k] if ok else UNDETERMINED for k, ok in zip(best, letters, strict=True)]
-            top = [float(min(1.0, max(0.0, v))) if ok else 0.0 for v, ok in zip(values, letters, strict=True)]
-            columns = [batch.column(i) for i in range(len(taken))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(top, pa.float64())], [*taken, pred, score])
-
+        best, values = fitted.best(texts)
+        known = pc.is_valid(texts).to_numpy(zero_copy_only=False)
+        names = [fitted.languages[k] if ok else UNDETERMINED for k, ok in zip(best, known, strict=True)]
+        top = np.where(known, np.clip(values, 0.0, 1.0), 0.0)
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(top, pa.float64())], ["lang", "score"])
+
+    # only the lower-cased text goes to Python, and a null where there is nothing to classify; a UDF that counts as
+    # deterministic would run once more for each filter on its result
     text = text_or_empty(text_col)
-    # names that need quotes would not pass: columns go by position
-    extended = docs.select("*", F.lower(text), text.rlike(r"\p{L}")).toDF(*[f"c{i}" for i in range(len(taken) + 2)])
-    schema = StructType([*docs.schema.fields]).add(pred, StringType()).add(score, DoubleType())
-    return extended.mapInArrow(run, schema)
+    found = _free([*taken, pred, score], "found")
+    classified = docs.withColumn(found, classify.asNondeterministic()(F.when(text.rlike(r"\p{L}"), F.lower(text))))
+    return classified.select(*[field(c) for c in taken], field(found)["lang"].alias(pred), field(found)["score"].alias(score))
 
 
 def _free(taken: list[str], name: str) -> str:

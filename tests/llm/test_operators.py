@@ -79,6 +79,11 @@ def test_exact_dedup(name, request):
     assert set(kept.values()) == {1} and len(kept) == len(groups)
     whole = exact_dedup.exact_dedup(frame, carry=True).where("kept").select("row.*")
     assert whole.columns == frame.columns and whole.count() == len(groups)
+    # rounds of few bytes, so carried texts are read from ever later places
+    carried = exact_dedup.exact_dedup(frame, carry=True, first_bytes=4, growth=3).collect()
+    assert as_bag((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in carried) == want
+    assert as_bag(map(repr, (r.row for r in carried))) == as_bag(map(repr, frame.collect()))
+    assert len({r.text_sha256 for r in carried if r.kept}) == sum(r.kept for r in carried) == len(groups)
 
 
 def components_of(rows, words, percent):
