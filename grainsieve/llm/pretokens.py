@@ -17,7 +17,7 @@ from grainsieve.llm.words import BYTE_VALUES, byte_range_hashes, text_chunks
 #: Parts beyond which a worker's table starts anew before the next block, and the bytes of text of a block.
 #: A block's own parts always stand in the table together, however many they are.
 MOST_PARTS = 3_000_000
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 1 << 20
 
 _ASCII_SPACE = np.zeros(256, dtype=bool)
 _ASCII_SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
