@@ -390,6 +390,34 @@ MANIFEST_TABLES = {
     for name, body in _MANIFESTS.items()
 }
 
+# --- lock files as graphs -------------------------------------------------------------------
+
+#: Nested copies, a cycle and two versions of one package; workspaces that link to each other; the older, nested format; no JSON.
+_LOCK_GRAPHS = (
+    "{\"lockfileVersion\": 3, \"packages\": {\"\": {\"name\": \"p#K#\", \"dependencies\": {\"express\": \"^4.#N#.0\", \"qs\": \"6.5.2\"}, \"devDependencies\": {\"vite\": \"~6.#N#.2\"}}, "
+    "\"node_modules/express\": {\"version\": \"4.#N#.1\", \"dependencies\": {\"qs\": \"6.5.1\", \"a\": \"^1.0.0\"}}, \"node_modules/express/node_modules/qs\": {\"version\": \"6.5.1\", \"dependencies\": {\"side\": \"1\", \"gone\": \"1\"}}, "
+    "\"node_modules/qs\": {\"version\": \"6.5.2\", \"dependencies\": {\"side\": \"1.#N#.0\"}}, \"node_modules/side\": {\"version\": \"1.#N#.0\"}, "
+    "\"node_modules/a\": {\"version\": \"1.0.#N#\", \"dependencies\": {\"b\": \"1.x\"}}, \"node_modules/b\": {\"version\": \"1.2.#N#\", \"dependencies\": {\"a\": \"^1.0.0\", \"@s/u\": \"*\"}, \"optionalDependencies\": {\"fsevents\": \"2\"}}, "
+    "\"node_modules/@s/u\": {\"version\": \"3.#N#.0\", \"peerDependencies\": {\"express\": \"*\"}}, \"node_modules/vite\": {\"version\": \"6.#N#.9\", \"dev\": true, \"dependencies\": {\"b\": \"1.x\", \"rollup\": \"4\"}}, "
+    "\"node_modules/rollup\": {\"version\": \"4.#N#.0\", \"dev\": true, \"dependencies\": {\"qs\": \"6\"}}, \"node_modules/orphan\": {\"version\": \"0.0.1\"}}}",
+    "{\"lockfileVersion\": 3, \"packages\": {\"\": {\"name\": \"mono#K#\", \"dependencies\": {\"app\": \"*\"}}, \"packages/app\": {\"name\": \"app\", \"version\": \"0.#N#.0\", \"dependencies\": {\"lib\": \"*\", \"qs\": \"6\"}}, "
+    "\"packages/lib\": {\"dependencies\": {\"app\": \"*\", \"qs\": \"5\"}, \"devDependencies\": {\"tap\": \"1\"}}, \"packages/lib/node_modules/qs\": {\"version\": \"5.#N#.0\"}, \"node_modules/app\": {\"link\": true, \"resolved\": \"packages/app\"}, "
+    "\"node_modules/lib\": {\"link\": true, \"resolved\": \"packages/lib\"}, \"node_modules/qs\": {\"version\": \"6.#N#.1\", \"dependencies\": {\"side\": \"2\"}}, \"node_modules/side\": {\"version\": \"2.0.0\"}, \"node_modules/tap\": {\"version\": \"1.0.0\"}}}",
+    "{\"lockfileVersion\": 1, \"requires\": true, \"dependencies\": {\"next\": {\"version\": \"1.#N#.7\", \"requires\": {\"c\": \"2\", \"d\": \"1\"}, \"dependencies\": {\"c\": {\"version\": \"2.0.#N#\", \"requires\": {\"d\": \"2\"}, "
+    "\"dependencies\": {\"d\": {\"version\": \"2.2.2\"}}}}}, \"c\": {\"version\": \"1.0.0\", \"requires\": {\"next\": \"*\"}}, \"d\": {\"version\": \"1.1.1\", \"requires\": {\"c\": \"1\"}}, \"vite\": {\"version\": \"6.#N#.1\", \"dev\": true}}}",
+    "not json #K#",
+)
+LOCK_GRAPHS = Derived("customer", {
+    "path": join("locks/c", string("c_custkey"), "/", pick(("package-lock.json", "package-lock.json", "npm-shrinkwrap.json", "package-lock.json"), "c_custkey % 4")),
+    "text": fill(pick(_LOCK_GRAPHS, "c_custkey % 4"), **_K),
+})
+LOCK_PROJECTS = Derived("customer", {
+    "path": join("locks/c", string("c_custkey"), "/package.json"),
+    "text": fill(pick((
+        "{\"dependencies\": {\"express\": \"^4.#N#.0\", \"qs\": \"6.5.2\"}, \"devDependencies\": {\"vite\": \"~6.#N#.2\"}}", "{\"dependencies\": {\"app\": \"*\"}}",
+        "{\"dependencies\": {\"next\": \"^1.#N#.0\"}, \"devDependencies\": {\"vite\": \"6\", \"none\": \"1\"}}", "{\"dependencies\": {\"x\": \"1.0.0\"}}"), "c_custkey % 4"), **_K),
+})
+
 # --- pages with external scripts, resources -------------------------------------------------
 
 _TAGS = (

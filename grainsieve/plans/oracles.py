@@ -744,6 +744,70 @@ _RESOLVED = (
 ORACLES["package_resolution"] = _RESOLVED
 ORACLES["package_csv_rows"] = f"SELECT project_path, scope, package, declared_version, resolved_version, version_source FROM ({_RESOLVED})"
 
+# --- lock files as graphs -------------------------------------------------------------------
+
+_lock_text = "(SELECT path AS lock_path, CASE WHEN json_valid(text) THEN CAST(text AS JSON) ELSE CAST('{}' AS JSON) END AS j FROM (" + D.LOCK_GRAPHS.sql + "))"
+_map = lambda j, key: f"unnest(map_entries(CAST(json_extract({j}, '$.{key}') AS MAP(VARCHAR, JSON))))"
+_wanted = lambda table, kinds, field_: " UNION ALL ".join(
+    f"SELECT lock_path, node AS source, {q(kind)} AS kind, w.key AS package, json_extract_string(w.value, '$') AS wanted FROM (SELECT lock_path, node, {_map('j', field_ or kind)} AS w FROM {table} WHERE json_exists(j, '$.{field_ or kind}'))"
+    for kind in kinds
+)
+_LOCK_PROJECT_ROWS = " UNION ALL ".join(
+    f"SELECT project, {q(s_)} AS kind, w.key AS package, json_extract_string(w.value, '$') AS wanted FROM (SELECT regexp_replace(path, '/[^/]*$', '') AS project, {_map('CAST(text AS JSON)', s_)} AS w FROM ({D.LOCK_PROJECTS.sql}) WHERE json_exists(text, '$.{s_}'))"
+    for s_ in M.NPM_SCOPES
+)
+_LOCK_CTE = f"""locks AS (SELECT * FROM {_lock_text}),
+flat AS (SELECT lock_path, e.key AS node, e.value AS j FROM (SELECT lock_path, {_map('j', 'packages')} AS e FROM locks WHERE json_exists(j, '$.packages'))),
+old AS (SELECT * FROM locks WHERE NOT json_exists(j, '$.packages') AND json_exists(j, '$.dependencies')),
+nested AS (
+  SELECT lock_path, 'node_modules/' || e.key AS node, e.value AS j FROM (SELECT lock_path, {_map('j', 'dependencies')} AS e FROM old)
+  UNION ALL
+  SELECT lock_path, node || '/node_modules/' || e.key, e.value FROM (SELECT lock_path, node, {_map('j', 'dependencies')} AS e FROM nested WHERE json_exists(j, '$.dependencies'))
+),
+nodes AS (
+  SELECT lock_path, node, json_extract_string(j, '$.version') AS version, CASE WHEN json_extract_string(j, '$.link') = 'true' THEN json_extract_string(j, '$.resolved') END AS link_to FROM flat
+  UNION ALL SELECT lock_path, node, json_extract_string(j, '$.version'), NULL FROM nested UNION ALL SELECT lock_path, '', NULL, NULL FROM old
+),
+wanted AS (
+  {_wanted('flat', M.NPM_SCOPES, '')} UNION ALL {_wanted('nested', ('dependencies',), 'requires')}
+  UNION ALL SELECT lock_path, '', r.kind, r.package, r.wanted FROM old JOIN ({_LOCK_PROJECT_ROWS}) r ON r.project = regexp_replace(lock_path, '/[^/]*$', '')
+),
+near AS (
+  SELECT w.lock_path, w.source, w.package, w.kind, w.wanted, arg_max({{'target': coalesce(n.link_to, n.node), 'version': n.version}}, length(n.node)) AS n
+  FROM (SELECT *, 'node_modules/' || package AS tail FROM wanted) w JOIN nodes n ON n.lock_path = w.lock_path AND ends_with(n.node, tail)
+    AND (n.node = tail OR (ends_with(left(n.node, length(n.node) - length(tail)), '/') AND starts_with(w.source || '/', left(n.node, length(n.node) - length(tail)))))
+  GROUP BY ALL
+),
+edges AS (
+  SELECT w.*, n.n.target AS target, coalesce(n.n.version, o.version) AS version FROM wanted w LEFT JOIN near n USING (lock_path, source, package, kind, wanted)
+  LEFT JOIN nodes o ON o.lock_path = w.lock_path AND o.node = n.n.target AND NOT contains('/' || o.node || '/', '/node_modules/')
+),
+ways AS (
+  SELECT lock_path, source AS importer, target, [package] AS names, kind, wanted, version, [source, target] AS seen
+  FROM edges WHERE target IS NOT NULL AND target <> source AND NOT contains('/' || source || '/', '/node_modules/')
+  UNION ALL
+  SELECT w.lock_path, w.importer, e.target, list_append(w.names, e.package), w.kind, e.wanted, e.version, list_append(w.seen, e.target)
+  FROM ways w JOIN edges e ON e.lock_path = w.lock_path AND e.source = w.target
+  WHERE e.target IS NOT NULL AND NOT list_contains(w.seen, e.target) AND NOT (e.kind = 'devDependencies' AND NOT contains('/' || e.source || '/', '/node_modules/'))
+),
+paths AS (
+  SELECT lock_path, importer, target, names[len(names)] AS package, version, kind, wanted, len(names) AS depth, array_to_string(names, '>') AS path
+  FROM (SELECT *, row_number() OVER (PARTITION BY lock_path, importer, target ORDER BY len(names), names, kind, wanted, version) AS r FROM ways) WHERE r = 1
+),
+locked AS (
+  SELECT 'npm' AS ecosystem, regexp_replace(lock_path, '/[^/]*$', '') || CASE WHEN importer = '' THEN '' ELSE '/' || importer END AS project_path, lock_path AS manifest_path, kind AS scope, package,
+    wanted AS declared_version, coalesce(version, '') AS resolved_version, regexp_replace(lock_path, '^.*/', '') AS version_source,
+    CASE WHEN depth = 1 THEN 'direct' ELSE 'transitive' END AS relationship, path AS dependency_path FROM paths
+)"""
+ORACLES["packages_lock_graph"] = f"WITH RECURSIVE {_LOCK_CTE} SELECT lock_path, source, package, kind, wanted, target, version FROM edges"
+ORACLES["dependency_paths"] = f"WITH RECURSIVE {_LOCK_CTE} SELECT * FROM paths"
+ORACLES["package_inventory"] = f"""WITH RECURSIVE {_LOCK_CTE},
+own AS (SELECT project_path, package, min({{'s': version_source, 'v': resolved_version}}) AS l FROM locked WHERE relationship = 'direct' GROUP BY ALL)
+SELECT 'npm' AS ecosystem, r.project AS project_path, r.project || '/package.json' AS manifest_path, r.kind AS scope, r.package, r.wanted AS declared_version, coalesce(l.v, '') AS resolved_version,
+  coalesce(l.s, '') AS version_source, 'direct' AS relationship, r.package AS dependency_path FROM ({_LOCK_PROJECT_ROWS}) r LEFT JOIN own ON own.project_path = r.project AND own.package = r.package
+UNION ALL SELECT * FROM locked WHERE relationship = 'transitive'"""
+
+
 # --- pages ----------------------------------------------------------------------------------
 
 

@@ -16,6 +16,7 @@ from grainsieve.functions.text import finding_snippet, highlight, inventory_snip
 from grainsieve.functions.urls import same_origin
 from grainsieve.functions.versions import version_key
 from grainsieve.operators import baseline as B
+from grainsieve.operators import lock_graph as L
 from grainsieve.operators import packages as P
 from grainsieve.operators import taint as TA
 from grainsieve.operators.filters import (
@@ -30,7 +31,7 @@ from grainsieve.operators.rule_scan import (
 from grainsieve.operators.scripts import manifest_documents, name_scripts, saved_counts, script_manifest
 from grainsieve.operators.suppression import is_suppressed
 from grainsieve.plans import derived as D
-from grainsieve.session import spread
+from grainsieve.session import cut_lineage, spread
 from grainsieve.plans import gates as G
 from grainsieve.plans import reports as R
 from grainsieve.plans import summaries as S
@@ -38,6 +39,7 @@ from grainsieve.plans.scan import page_sources
 from grainsieve.sources import intel as I
 from grainsieve.sources import manifests as M
 from grainsieve.sources.corpus import files_from_table, to_lines
+from grainsieve.sources.locks import lock_entries
 from grainsieve.sources.lists import normalize_policy, parse_changed_files
 from grainsieve.sources.pages import extract_scripts, resolve_scripts
 from grainsieve.sources.rules import Rule, builtin_rules, import_bundle_rules, normalize_native_rules, rules_table
@@ -405,6 +407,26 @@ def package_resolution(spark, d):
     return P.resolve_packages(M.extract_packages(m), M.extract_locks(m))
 
 
+def lock_files(spark, d) -> DataFrame:
+    return files_from_table(D.LOCK_GRAPHS.frame(spark, d), "path", "text").unionByName(files_from_table(D.LOCK_PROJECTS.frame(spark, d), "path", "text"))
+
+
+def packages_lock_graph(spark, d):
+    return L.lock_edges(lock_entries(lock_files(spark, d)))
+
+
+def dependency_paths(spark, d):
+    paths = L.dependency_paths(cut_lineage(packages_lock_graph(spark, d)))
+    return paths.select("lock_path", "importer", "target", "package", "version", "kind", "wanted", F.col("depth").cast("long").alias("depth"),
+                        F.array_join("names", L.SEPARATOR).alias("path"))
+
+
+def package_inventory(spark, d):
+    files = lock_files(spark, d)
+    resolved = P.resolve_packages(M.extract_packages(files), M.extract_locks(files))
+    return L.with_transitive(resolved, L.lock_packages(files))
+
+
 def package_csv_rows(spark, d):
     return R.package_csv(package_resolution(spark, d))
 
@@ -602,6 +624,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "package_locks": lambda s, d: M.extract_locks(manifests(s, d)),
     "package_resolution": package_resolution,
     "package_csv_rows": package_csv_rows,
+    "packages_lock_graph": packages_lock_graph,
+    "dependency_paths": dependency_paths,
+    "package_inventory": package_inventory,
     "package_table": lambda s, d: R.package_table_lines(D.PACKAGES.frame(s, d)),
     "frameworks": lambda s, d: P.detect_frameworks(D.PACKAGES.frame(s, d)),
     "package_summary": package_summary,
