@@ -7,7 +7,9 @@ known by its 64-bit hash, and only parts that a Python worker has not met yet ar
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -16,20 +18,23 @@ from grainsieve.llm.words import BYTE_VALUES, byte_range_hashes, text_chunks
 
 #: Parts beyond which a worker's table starts anew before the next block, and the bytes of text of a block.
 #: A block's own parts always stand in the table together, however many they are.
-MOST_PARTS = 3_000_000
+MOST_PARTS = 1_500_000
 BLOCK_BYTES = 1 << 20
+#: New parts that are encoded at a time.
+NEW_PARTS = 1 << 16
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _ASCII_SPACE = np.zeros(256, dtype=bool)
 _ASCII_SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 
 
 class HashTable:
-    """64-bit keys to small integers, open addressing, all operations on whole arrays."""
+    """64-bit keys to integers below 2^31, open addressing, all operations on whole arrays."""
 
     def __init__(self, bits: int = 16):
         self.bits, self.size = bits, 0
         self.keys = np.zeros((1 << bits) + 4096, dtype=np.uint64)
-        self.values = np.zeros(len(self.keys), dtype=np.int64)
+        self.values = np.zeros(len(self.keys), dtype=np.int32)
 
     def _slots(self, keys: np.ndarray) -> np.ndarray:
         return (keys >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -65,6 +70,13 @@ class HashTable:
             keys, values, slots = keys[~placed], values[~placed], slots[~placed] + 1
 
 
+def release_memory() -> None:
+    """Give what the allocators hold back to the system, where they can; a worker lives on between its tasks."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def part_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Where parts start: at a text's start and at spaces that surely follow no white space."""
     spaces = np.flatnonzero(data == 32)
@@ -92,22 +104,22 @@ class PartTable:
 
     def _clear(self) -> None:
         self.table = HashTable()
-        self.first, self.count, self.ids, self.used = [np.zeros(1 << 16, dtype=np.int64) for _ in range(2)] + [np.zeros(1 << 18, dtype=np.int32), 0]
+        # part i's ids are those from first[i] to before first[i + 1]
+        self.first, self.ids, self.used = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 18, dtype=np.int32), 0
 
-    def _add(self, keys: np.ndarray, parts: list[bytes]) -> None:
-        new = self.encode(parts)
-        counts = np.fromiter(map(len, new), dtype=np.int64, count=len(new))
-        ids = np.concatenate(new) if new else np.empty(0, dtype=np.int32)
+    def _add(self, keys: np.ndarray, parts: Iterator[bytes]) -> None:
         n = self.table.size
-        while len(self.first) < n + len(keys):
-            self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
-        while len(self.ids) < self.used + len(ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.first[n : n + len(keys)] = self.used + np.cumsum(counts) - counts
-        self.count[n : n + len(keys)] = counts
-        self.ids[self.used : self.used + len(ids)] = ids
+        while len(self.first) <= n + len(keys):
+            self.first = np.concatenate([self.first, np.zeros_like(self.first)])
+        for i in range(0, len(keys), NEW_PARTS):
+            new = self.encode(list(islice(parts, min(NEW_PARTS, len(keys) - i))))
+            ids = np.concatenate(new)
+            while len(self.ids) < self.used + len(ids):
+                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+            self.ids[self.used : self.used + len(ids)] = ids
+            self.first[n + i + 1 : n + i + 1 + len(new)] = self.used + np.cumsum(np.fromiter(map(len, new), dtype=np.int64, count=len(new)))
+            self.used += len(ids)
         self.table.insert(keys, np.arange(n, n + len(keys)))
-        self.used += len(ids)
 
     def _block(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
         starts = part_starts(data, offsets)
@@ -124,11 +136,11 @@ class PartTable:
                 distinct, index = np.unique(keys, return_index=True)
             at = new[index]
             raw = data.tobytes()
-            self._add(distinct, [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+            self._add(distinct, (raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)))
             found[new] = self.table.find(keys[new])
             if found.min() < 0:
                 raise RuntimeError("a part of a text is missing in the table of parts")
-        counts = self.count[found]
+        counts = self.first[found + 1] - self.first[found]
         ends_of_parts = np.cumsum(counts)
         total = int(ends_of_parts[-1]) if len(counts) else 0
         where = np.repeat(self.first[found] - (ends_of_parts - counts), counts) + np.arange(total)
@@ -141,3 +153,4 @@ class PartTable:
         """The token ids of every text of a column; a null is an empty text."""
         for _, data, offsets in text_chunks(texts, BLOCK_BYTES):
             yield from self._block(data, offsets)
+        release_memory()
