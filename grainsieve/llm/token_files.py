@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from grainsieve.llm.packing import TOKENIZER, part_table
+from grainsieve.llm.pretokens import release_memory
 from grainsieve.llm.tables import Workspace, field, text_or_empty
 from grainsieve.session import checkpoint_dir
 
@@ -39,6 +40,8 @@ SHARD_IDS = 8 << 20
 RANK_BITS = 512
 #: Ids that are packed or unpacked at a time; a multiple of 8, so that packed runs end at a byte.
 RUN_IDS = 1 << 18
+#: Bytes of text that are taken for an id when the number of ranges is chosen; a range may hold more than a shard.
+BYTES_PER_ID = 2
 WORD = 32
 
 
@@ -69,7 +72,29 @@ def pack_bits(values: np.ndarray, width: int) -> bytes:
 
 def bit_lengths(ids: np.ndarray) -> np.ndarray:
     """How many ids need each number of bits; 0 needs one."""
-    return np.bincount(np.frexp(ids.astype(np.float64))[1].clip(1), minlength=WORD + 1)
+    out = np.zeros(WORD + 1, dtype=np.int64)
+    for a in range(0, len(ids), RUN_IDS):
+        out += np.bincount(np.frexp(ids[a : a + RUN_IDS].astype(np.float64))[1].clip(1), minlength=WORD + 1)
+    return out
+
+
+def _level(ids: np.ndarray, width: int, last: bool) -> tuple[bytes, bytes, np.ndarray]:
+    """One level's chunks, its bitmap with the directory of ranks behind it, and what is left of the ids that go on."""
+    chunks, flags, left = [], [], []
+    for a in range(0, len(ids), RUN_IDS):
+        part = ids[a : a + RUN_IDS]
+        chunks.append(pack_bits(part & np.uint32((1 << width) - 1), width))
+        if not last:
+            part = part >> np.uint32(width)
+            flags.append(part > 0)
+            left.append(part[flags[-1]])
+    if last or not flags:
+        return b"".join(chunks), b"" if last else np.zeros(1, dtype="<u8").tobytes(), ids[:0]
+    on = np.concatenate(flags)
+    sums = np.concatenate([[0], np.cumsum(np.add.reduceat(on, np.arange(0, len(on), RANK_BITS), dtype=np.int64))])
+    # the bitmap fills whole directory entries, so that counting within one never leaves it
+    bitmap = np.packbits(on, bitorder="little").tobytes().ljust((len(sums) - 1) * (RANK_BITS // 8), b"\0")
+    return b"".join(chunks), bitmap + sums.astype("<u8").tobytes(), np.concatenate(left)
 
 
 def shard_bytes(ids: np.ndarray, starts: np.ndarray, doc_ids: pa.Array) -> bytes:
@@ -81,19 +106,9 @@ def shard_bytes(ids: np.ndarray, starts: np.ndarray, doc_ids: pa.Array) -> bytes
     widths = chunk_widths(bit_lengths(ids))
     levels, rest = [], ids
     for k, width in enumerate(widths):
-        chunks = pack_bits(rest & np.uint32((1 << width) - 1), width)
         count = len(rest)
-        bitmap = ranks = b""
-        if k + 1 < len(widths):
-            rest = rest >> np.uint32(width)
-            on = rest > 0
-            bits = np.packbits(on, bitorder="little")
-            sums = np.concatenate([[0], np.cumsum(np.add.reduceat(on, np.arange(0, len(on), RANK_BITS), dtype=np.int64))]) if len(on) else np.zeros(1)
-            # the bitmap fills whole directory entries, so that counting within one never leaves it
-            bitmap = bits.tobytes().ljust(-(-count // RANK_BITS) * (RANK_BITS // 8), b"\0")
-            ranks = sums.astype("<u8").tobytes()
-            rest = rest[on]
-        levels.append((width, count, chunks, bitmap + ranks))
+        chunks, behind, rest = _level(rest, width, k + 1 == len(widths))
+        levels.append((width, count, chunks, behind))
     place = len(MAGIC) + 8 * 8 + 32 * len(levels) + 8 * len(starts) + stream.tell()
     head = [len(ids), len(starts) - 1, len(levels), stream.tell(), 0, 0, 0, 0]
     for width, count, chunks, behind in levels:
@@ -296,84 +311,69 @@ class TokenFiles:
         return met.select("file", "position", "before").sortWithinPartitions("file").mapInArrow(run, "position bigint, token bigint")
 
 
-def encoded(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str, end_id: int) -> DataFrame:
-    """Each document's ids, closed by ``end_id``, as bytes: two for each id where all of them fit, else four."""
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = part_table(tokenizer_path)
-        for batch in batches:
-            raw, counts, crc = [], [], []
-            for ids in table.column(batch.column(1)):
-                own = np.append(ids, end_id).astype("<u4")
-                raw.append((own.astype("<u2") if own.max() < 1 << 16 else own).tobytes())
-                counts.append(len(own))
-                crc.append(zlib.crc32(own))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary()), pa.array(counts, pa.int64()), pa.array(crc, pa.int64())],
-                                             ["doc_id", "raw", "n", "crc"])
-
-    texts = docs.select(field(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return texts.mapInArrow(run, f"doc_id {kind}, raw binary, n bigint, crc bigint")
-
-
 def write_token_files(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text",
                       tokenizer_path: str = TOKENIZER, end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> TokenFiles:
     """Encode every document and write its ids, closed by ``end_id``, in ascending order of ``id_col``.
 
     A null text is empty, so its ids are ``end_id`` alone.  Null document ids come first; rows that repeat an id are
-    documents of their own, in the order of their ids' checksums.  An empty table gives no file.  Other columns play no
-    part.  ``folder`` is a new folder that driver and executors share, by default one below ``spark.checkpoint.dir``.
+    documents of their own, in the order of their texts' 64-bit hashes.  An empty table gives no file.  Other columns play
+    no part.  ``folder`` is a new folder that driver and executors share, by default one below ``spark.checkpoint.dir``.
 
-    Texts are encoded where they are read, and the ids are written once and sorted into ranges of about ``shard_ids``
-    ids.  A task closes a shard at that many ids, so neither a large range nor a hot id is ever held whole.  Files have
-    names of their own for every attempt of a task; the manifest names those of the attempts that succeeded.
+    Texts are sorted into ranges of about ``shard_ids`` ids, and encoded where they arrive.  A task closes a shard at that
+    many ids, so neither a large range nor a hot id is ever held whole.  Files have names of their own for every attempt
+    of a task; the manifest names those of the attempts that succeeded.
     """
     spark = docs.sparkSession
-    space = Workspace(spark, "token-ids")
+    space = Workspace(spark, "token-files")
     kind = docs.schema[id_col].dataType.simpleString()
     root = (folder or f"{checkpoint_dir(spark).rstrip('/')}/token-files-{uuid.uuid4().hex}").rstrip("/")
-    table = space.write(encoded(docs, id_col, text_col, tokenizer_path, end_id).withColumn("uid", F.monotonically_increasing_id()), "ids")
-    total = table.agg(F.sum("n")).first()[0] or 0
+    text = text_or_empty(text_col)
+    texts = docs.select(field(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("hash"), F.monotonically_increasing_id().alias("uid"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = part_table(tokenizer_path)
         ids: list[np.ndarray] = []
-        names: list[pa.Scalar] = []
-        uids: list[int] = []
-        firsts: list[int] = []
+        rows: list[pa.RecordBatch] = []  # the ids of the documents in ``ids``
         held = 0
 
         def close() -> pa.RecordBatch:
+            nonlocal held
             starts = np.concatenate([[0], np.cumsum([len(i) for i in ids])])
-            doc_ids = pa.array([n.as_py() for n in names], names[0].type)
+            docs_ = pa.Table.from_batches(rows).combine_chunks()
             path = f"{root}/{uuid.uuid4().hex}.ids"
-            write_file(path, shard_bytes(np.concatenate(ids).astype(np.uint32), starts, doc_ids))
-            columns = [doc_ids.slice(0, 1), pa.array(firsts[:1], pa.int64()), pa.array(uids[:1], pa.int64()), pa.array([path]), pa.array([int(starts[-1])], pa.int64()),
-                       pa.array([len(ids)], pa.int64())]
-            return pa.RecordBatch.from_arrays(columns, ["doc_id", "crc", "uid", "file", "n_ids", "n_docs"])
+            whole = np.concatenate(ids, dtype=np.uint32, casting="same_kind")
+            ids.clear(), rows.clear()
+            held = 0
+            write_file(path, shard_bytes(whole, starts, docs_["doc_id"].combine_chunks()))
+            sizes = [pa.array([path]), pa.array([len(whole)], pa.int64()), pa.array([docs_.num_rows], pa.int64())]
+            return pa.RecordBatch.from_arrays([c.combine_chunks() for c in docs_.slice(0, 1).columns] + sizes, ["doc_id", "hash", "uid", "file", "n_ids", "n_docs"])
 
         for batch in batches:
-            for row in range(batch.num_rows):
-                raw, n = batch.column(1)[row].as_buffer(), batch.column(2)[row].as_py()
-                # the narrow form stays as it is until the shard is closed; a copy, so that the batch can go
-                ids.append(np.frombuffer(raw, dtype="<u2" if len(raw) == 2 * n else "<u4").copy())
-                names.append(batch.column(0)[row])
-                firsts.append(batch.column(3)[row].as_py()), uids.append(batch.column(4)[row].as_py())
-                held += n
+            keys, first = batch.select(["doc_id", "hash", "uid"]), 0
+            for row, own in enumerate(table.column(batch.column("text"))):
+                own = np.append(own, end_id)
+                ids.append(own.astype(np.uint16 if own.max() < 1 << 16 else np.uint32))
+                held += len(own)
                 if held >= shard_ids:
+                    rows.append(keys.slice(first, row + 1 - first))
+                    first = row + 1
                     yield close()
-                    ids, names, uids, firsts, held = [], [], [], [], 0
+            if first < batch.num_rows:
+                # a copy: a slice would keep the texts of its batch
+                rows.append(pa.RecordBatch.from_pylist(keys.slice(first).to_pylist(), schema=keys.schema))
         if ids:
             yield close()
+        release_memory()
 
-    order = [F.asc_nulls_first("doc_id"), "crc", "uid"]
-    ranges = max(1, -(-total // shard_ids))
-    shards = table.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select("doc_id", "raw", "n", "crc", "uid").mapInArrow(
-        run, f"doc_id {kind}, crc bigint, uid bigint, file string, n_ids bigint, n_docs bigint")
+    order = [F.asc_nulls_first("doc_id"), "hash", "uid"]
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    ranges = max(1, -(-size // (BYTES_PER_ID * shard_ids)))
+    shards = texts.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(
+        run, f"doc_id {kind}, hash bigint, uid bigint, file string, n_ids bigint, n_docs bigint")
     written = space.write(shards, "shards")
     # one row for each shard
     along = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     manifest = written.select("file", "n_ids", "n_docs", F.coalesce(F.sum("n_ids").over(along), F.lit(0)).alias("before"))
-    space.drop("ids")
     return TokenFiles(space.write(manifest, "manifest"), kind)
 
 

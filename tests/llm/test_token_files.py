@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from grainsieve.llm import token_files
@@ -73,12 +74,15 @@ def test_widths_are_the_cheapest():
     assert size(token_files.chunk_widths(counts)) == min(map(size, splits(16)))
 
 
-def expected(rows):
+def expected(session, rows):
+    """What the library gives, in order; rows of one id by the hash of their text."""
+    texts = session.createDataFrame([(t or "",) for _, t in rows], "t string")
+    hashes = dict(map(tuple, texts.select("t", F.xxhash64("t")).collect()))
     tokenizer = Tokenizer.from_file(token_files.TOKENIZER)
     own = [(i, [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0]) for i, t in rows]
-    own = [(i, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()), ids) for i, ids in own]
+    own = [(i, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()), ids, hashes[t or ""]) for (i, ids), (_, t) in zip(own, rows, strict=True)]
     out, before = [], 0
-    for i, n, crc, ids in sorted(own, key=lambda r: (r[0] is not None, r[0] or 0, r[2])):
+    for i, n, crc, ids, _ in sorted(own, key=lambda r: (r[0] is not None, r[0] or 0, r[4])):
         out.append((i, before, n, crc, tuple(ids)))
         before += n
     return out
@@ -96,7 +100,7 @@ ODD = [(1, None), (2, ""), (3, "one two three"), (3, "one two three"), (3, "othe
 def test_files_of_odd_rows(session, tmp_path, shard_ids):
     frame = session.createDataFrame([(*r, "x", 5, 1) for r in ODD], "doc_id long, text string, raw string, n long, `a.b` int")
     files = token_files.write_token_files(frame, str(tmp_path / "out"), shard_ids=shard_ids)
-    want = expected(ODD)
+    want = expected(session, ODD)
     assert rows_of(files) == want
     named = {os.path.basename(r.file) for r in files.manifest.collect()}
     assert named == set(os.listdir(tmp_path / "out"))
@@ -111,7 +115,7 @@ def test_given_table_and_manifest_on_disk(session, tmp_path):
     docs = session.read.parquet("/root/testdata/sf0.001/documents.parquet")
     files = token_files.write_token_files(docs, shard_ids=20_000)
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
-    assert rows_of(files) == expected(rows)
+    assert rows_of(files) == expected(session, rows)
     files.manifest.write.parquet(str(tmp_path / "manifest"))
     again = token_files.open_token_files(session, str(tmp_path / "manifest"))
     assert again.documents().count() == len(rows)
