@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainsieve.functions.fingerprint import dependency_fingerprint
-from grainsieve.functions.versions import clean_version, in_interval, is_exact, version_key
+from grainsieve.functions.versions import clean_version, first_number, is_exact, version_key
 from grainsieve.operators.rule_scan import FINDING_COLUMNS
-from grainsieve.sources.intel import with_range_keys
+from grainsieve.session import cut_lineage
+
+#: Places of versions that one row of a range may name.
+RANK_BLOCK = 4096
 
 # Package -> framework label.
 FRAMEWORK_PACKAGES = {
@@ -50,25 +53,62 @@ def detect_frameworks(packages: DataFrame) -> DataFrame:
     )
 
 
+def versions_in_ranges(triples: DataFrame, ranges: DataFrame, block: int = RANK_BLOCK) -> DataFrame:
+    """Every (version, range) of one package where the version lies in the range, by a sweep over the versions' order.
+
+    ``triples`` has distinct (ecosystem, package, version).  Versions and the ranges' two bounds are events of one ordered
+    window, whose running count says how many versions lie before a bound; a range is then a run of the versions'
+    places, and only hits are ever produced.  The windows are split by the versions' first number, so a package with many
+    versions spreads over several, and a range of many versions is cut into blocks of places.
+    """
+    key = ["ecosystem", "package"]
+    one = ranges.select(*key, "advisory_id", "range_no", "lo", "lo_inclusive", "hi", "hi_inclusive")
+    # a bound shared by many ranges is one event; bounds of packages that nobody has drop out by the join below
+    bound = lambda at, after: one.filter(F.col(at).isNotNull()).select(*key, F.col(at).alias("text"), after.cast("int").alias("turn"))
+    after_lo, after_hi = ~F.coalesce("lo_inclusive", F.lit(True)), F.coalesce("hi_inclusive", F.lit(False))
+    bounds = bound("lo", after_lo).unionByName(bound("hi", after_hi)).distinct().select(*key, "text", (F.col("turn") * 2).alias("turn"))
+    # at one place in the order: bounds that stand before equal versions, the versions, bounds behind them
+    events = triples.select(*key, F.col("version").alias("text"), F.lit(1).alias("turn")).unionByName(bounds)
+    keyed = cut_lineage(events.withColumn("sort", version_key(F.col("text"))).withColumn("part", first_number(F.col("sort"))))
+    here = Window.partitionBy(*key, "part").orderBy("sort", "turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    versions = F.count_if(F.col("turn") == 1)
+    totals = keyed.groupBy(*key, "part").agg(versions.alias("n"))
+    earlier = Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(*key, "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    counted = keyed.select(*key, "part", "text", "turn", versions.over(here).alias("own")).join(before, [*key, "part"])
+    places = cut_lineage(counted.select(*key, "text", "turn", (F.col("own") + F.col("before")).alias("place")))
+
+    at = lambda x: places.filter(F.col("turn") != 1).select(
+        *key, F.col("text").alias(x), (F.col("turn") / 2).cast("int").alias(f"{x}_after"), F.col("place").alias(f"{x}_place"))
+    count = totals.groupBy(*key).agg(F.sum("n").alias("n")).filter("n > 0")
+    runs = one.join(count, key).withColumns({"lo_after": after_lo.cast("int"), "hi_after": after_hi.cast("int")})
+    runs = runs.join(at("lo"), [*key, "lo", "lo_after"], "left").join(at("hi"), [*key, "hi", "hi_after"], "left").select(
+        *key, "advisory_id", "range_no", (F.coalesce("lo_place", F.lit(0)) + 1).alias("first"), F.coalesce("hi_place", "n").alias("last")).filter("first <= last")
+    number = F.lit(block)
+    blocks = runs.withColumn("block", F.explode(F.sequence(F.floor(F.col("first") / number), F.floor(F.col("last") / number))))
+    hits = blocks.select(*key, "advisory_id", "range_no", F.explode(F.sequence(
+        F.greatest("first", F.col("block") * number), F.least("last", (F.col("block") + 1) * number - 1))).alias("place"))
+    versions_at = places.filter(F.col("turn") == 1).select(*key, F.col("text").alias("version"), "place")
+    return versions_at.join(hits, [*key, "place"]).drop("place")
+
+
 def match_advisories(packages: DataFrame, ranges: DataFrame) -> DataFrame:
     """Packages whose version lies in an advisory's range: the 19 report columns plus ``cwe``.
 
     The range test runs on distinct (ecosystem, package, version) triples: a package that fills a
     third of the inventory collapses map-side to its few versions before anything is shuffled.
-    The matching triples are then joined back by equality; their measured size decides between a
-    broadcast and a skew-split shuffle join.
+    Of several ranges of one advisory that hold a version the first one counts.  The matching triples are then
+    joined back by equality; their measured size decides between a broadcast and a skew-split shuffle join.
     """
     versioned = with_match_version(packages).filter(F.col("version").isNotNull())
-    triples = versioned.select("ecosystem", "package", "version").distinct().withColumn("_key", version_key(F.col("version")))
-    hits = (
-        triples.join(with_range_keys(ranges), ["ecosystem", "package"])
-        .filter(in_interval(F.col("_key"), F.col("lo_key"), F.col("lo_inclusive"), F.col("hi_key"), F.col("hi_inclusive")))
-        .groupBy("ecosystem", "package", "version", "advisory_id")
-        .agg(F.min_by(
-            F.struct("fixed_version", "aliases", "severity", "title", "description", "source", "cvss", "references", "cwe"),
-            F.col("range_no"),
-        ).alias("_a"))
-    )
+    triples = versioned.select("ecosystem", "package", "version").distinct()
+    ranges = cut_lineage(ranges)
+    key = ["ecosystem", "package", "version", "advisory_id"]
+    first = versions_in_ranges(triples, ranges).groupBy(*key).agg(F.min("range_no").alias("range_no"))
+    which = ["ecosystem", "package", "advisory_id", "range_no"]
+    told = ranges.groupBy(*which).agg(F.min(F.struct(
+        "fixed_version", "aliases", "severity", "title", "description", "source", "cvss", "references", "cwe")).alias("_a"))
+    hits = first.join(told, which)
     fixed = F.coalesce("_a.fixed_version", F.lit(""))
     return versioned.join(hits, ["ecosystem", "package", "version"]).select(
         "ecosystem", "package", "version", fixed.alias("fixed_version"), "relationship",

@@ -12,7 +12,7 @@ from grainsieve.functions.text import let, trim_space
 from grainsieve.operators.asof import last_before
 from grainsieve.session import cut_lineage
 
-CONSTANT, UNKNOWN, SANITIZED, TAINTED = 0, 1, 2, 3
+CONSTANT, UNKNOWN, SANITIZED, TAINTED = RANKS = (0, 1, 2, 3)
 
 # Sanitizers, accessors and untrusted source objects.
 SANITIZER_METHODS = {
@@ -274,7 +274,7 @@ def propagate(assignments: DataFrame, fold_limit: int = 1000, bucket_width: int
 
     Each right-hand side sees the state at its own position.  Files of up to ``fold_limit``
     assignments are folded in order inside one row; larger ones, which must not be gathered,
-    are settled exactly by rounds of joins.
+    are settled exactly by rounds of joins, as many as the logarithm of the longest alias chain.
     """
     facts = cut_lineage(
         assignments.select("file", "pos", "targets", classify_expression(F.col("expr")).alias("facts"))
@@ -285,7 +285,7 @@ def propagate(assignments: DataFrame, fold_limit: int = 1000, bucket_width: int
     large = cut_lineage(large)
     small = facts.join(large, "file", "left_anti")
     rest = facts.join(large, "file", "left_semi")
-    return _propagate_fold(small).unionByName(_propagate_rounds(rest, bucket_width))
+    return _propagate_fold(small).unionByName(_propagate_jumps(rest, bucket_width))
 
 
 def _propagate_fold(facts: DataFrame) -> DataFrame:
@@ -317,50 +317,56 @@ def _propagate_fold(facts: DataFrame) -> DataFrame:
     ).select("file", "_r.*")
 
 
-def _propagate_rounds(facts: DataFrame, bucket_width: int) -> DataFrame:
-    """Rounds of joins over definition links.
+def _propagate_jumps(facts: DataFrame, bucket_width: int) -> DataFrame:
+    """Pointer doubling over definition links.
 
-    Links point strictly backwards, so every row is settled after as many rounds as the longest
-    alias chain; there is no limit.  Each round is written to the shared folder, so a lost executor replays one round.
+    A link leads from a name in an expression to the definition that it sees, its root, and holds the name's rank for each
+    of the four ranks that the root may have.  An expression whose links all have one root is such a map itself, so links
+    to it jump to its root and compose the maps; one without open links is settled, and links to it become constant.  A
+    chain of n aliases takes about log2(n) rounds, whatever else its expressions refer to, once that is settled.  Where
+    several open roots meet in an expression it waits for all but one; roots point strictly backwards, so each round settles
+    some.  Each round is written to the shared folder, so a lost executor replays one round.
     """
     defs = facts.select("file", "pos", F.explode("targets").alias("name"))
     uses = facts.select("file", "pos", F.explode("facts.all_ids").alias("name"))
     links = reaching_definitions(defs, uses, bucket_width).filter(F.col("def_pos").isNotNull())
-    # rows without links are settled at once; the others carry their links
+    same = F.array(*[F.lit(r) for r in RANKS]).alias("ranks")
     linked = links.groupBy("file", "pos").agg(
-        F.collect_list(F.struct("name", "def_pos")).alias("open")  # at most the names of one expression
-    )
-    nothing = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>"))
-    no_links = F.array().cast("array<struct<name:string,def_pos:bigint>>")
-    rank = F.when(F.size("open") == 0, rank_from_states(F.col("facts"), F.col("states")))
-    todo = cut_lineage(
-        facts.join(linked, ["file", "pos"], "left")
-        .select("file", "pos", "facts", F.coalesce("open", no_links).alias("open"), nothing.alias("states"))
-        .withColumn("rank", rank)
+        F.collect_list(F.struct("name", F.col("def_pos").alias("root"), same)).alias("links")  # at most the names of one expression
     )
+    no_links = F.array().cast("array<struct<name:string,root:bigint,ranks:array<int>>>")
+
+    def with_map(rows: DataFrame) -> DataFrame:
+        """The open roots, and the ranks of an expression that has one at most."""
+        roots = F.array_distinct(F.array_compact(F.transform("links", lambda o: o["root"])))
+        states = lambda r: F.map_from_entries(F.transform("links", lambda o: F.struct(o["name"], o["ranks"][r])))
+        own = F.array(*[rank_from_states(F.col("facts"), states(r)) for r in RANKS])
+        return rows.withColumn("roots", roots).withColumn("ranks", F.when(F.size("roots") <= 1, own))
+
+    todo = facts.join(linked, ["file", "pos"], "left").select("file", "pos", "facts", F.coalesce("links", no_links).alias("links"))
     settled = None
     while True:
-        fresh = todo.filter(F.col("rank").isNotNull()).select("file", "pos", "rank")
+        todo = cut_lineage(with_map(todo))
+        fresh = todo.filter(F.size("roots") == 0).select("file", "pos", F.col("ranks")[0].alias("rank"))
         settled = fresh if settled is None else settled.unionByName(fresh)
-        rest = todo.filter(F.col("rank").isNull()).drop("rank")
+        rest = todo.filter(F.size("roots") > 0)
         if rest.isEmpty():
             break
-        # settle the open names whose definition became known in this round
-        known = (
-            rest.select("file", "pos", F.explode("open").alias("o"))
-            .select("file", "pos", "o.name", "o.def_pos")
-            .join(fresh.select("file", F.col("pos").alias("def_pos"), "rank"), ["file", "def_pos"])
-            .groupBy("file", "pos")
-            .agg(F.map_from_entries(F.collect_list(F.struct("name", "rank"))).alias("_new"))
+        jumps = rest.filter(F.size("roots") == 1).select("file", F.col("pos").alias("root"), F.col("roots")[0].alias("further"), "ranks").unionByName(
+            settled.select("file", F.col("pos").alias("root"), F.lit(None).cast("long").alias("further"), F.array_repeat("rank", len(RANKS)).alias("ranks")))
+        met = (
+            rest.select("file", "pos", F.explode("roots").alias("root")).join(jumps, ["file", "root"])
+            .groupBy("file", "pos").agg(F.map_from_entries(F.collect_list(F.struct("root", F.struct("further", "ranks")))).alias("met"))
         )
-        moved = rest.join(known, ["file", "pos"], "left").select(
-            "file", "pos", "facts",
-            F.when(F.col("_new").isNull(), F.col("open")).otherwise(
-                F.filter("open", lambda o: ~F.map_contains_key("_new", o["name"]))
-            ).alias("open"),
-            F.when(F.col("_new").isNull(), F.col("states")).otherwise(F.map_concat("states", "_new")).alias("states"),
-        )
-        todo = cut_lineage(moved.withColumn("rank", rank))
+
+        def moved(o: Column) -> Column:
+            to = F.try_element_at(F.col("met"), o["root"])
+            over = F.struct(o["name"].alias("name"), to["further"].alias("root"),
+                            F.transform(to["ranks"], lambda r: F.element_at(o["ranks"], r + 1)).alias("ranks"))
+            return F.when(o["root"].isNull() | to.isNull(), o).otherwise(over)
+
+        todo = rest.join(met, ["file", "pos"], "left").select(
+            "file", "pos", "facts", F.when(F.col("met").isNull(), F.col("links")).otherwise(F.transform("links", moved)).alias("links"))
     return facts.select("file", "pos", "targets").join(settled, ["file", "pos"], "left")
 
 

@@ -506,6 +506,7 @@ _SOLVED = (
     "GROUP BY f.file, f.pos HAVING count(*) = any_value(k.n)))"
 )
 ORACLES["taint_propagate"] = f"{_SOLVED} SELECT f.file, f.pos, {_sorted('targets')} AS targets, CAST(rank AS BIGINT) AS rank FROM facts f LEFT JOIN solved s ON s.file = f.file AND s.pos = f.pos"
+ORACLES["taint_jumps"] = ORACLES["taint_propagate"]
 _FINAL = "finals AS MATERIALIZED (SELECT d.file, d.name, max_by(s.rank, s.pos) AS rank FROM defs d JOIN solved s ON s.file = d.file AND s.pos = d.pos GROUP BY ALL)"
 ORACLES["taint_final"] = f"{_SOLVED}, {_FINAL} SELECT file, name, CAST(rank AS BIGINT) AS rank FROM finals"
 _sink_args = f"list_filter(list_transform(regexp_extract_all(expr, {q(_ARGUMENT)}), lambda a: {trim('a')}), lambda a: a <> '')"

@@ -14,7 +14,7 @@ from grainsieve.functions.paths import (
 )
 from grainsieve.functions.text import finding_snippet, highlight, inventory_snippet
 from grainsieve.functions.urls import same_origin
-from grainsieve.functions.versions import version_key
+from grainsieve.functions.versions import version_key, version_parts
 from grainsieve.operators import baseline as B
 from grainsieve.operators import lock_graph as L
 from grainsieve.operators import packages as P
@@ -310,6 +310,11 @@ def taint_propagate(spark, d):
     return TA.propagate(assignments(spark, d)).select("file", "pos", F.array_join(F.array_sort("targets"), ",").alias("targets"), F.col("rank").cast("long").alias("rank"))
 
 
+def taint_jumps(spark, d):
+    """As ``taint_propagate``, with nearly all files too large for a fold."""
+    return TA.propagate(assignments(spark, d), fold_limit=8).select("file", "pos", F.array_join(F.array_sort("targets"), ",").alias("targets"), F.col("rank").cast("long").alias("rank"))
+
+
 def taint_final(spark, d):
     return TA.final_states(TA.propagate(assignments(spark, d))).select("file", "name", F.col("rank").cast("long").alias("rank"))
 
@@ -496,14 +501,14 @@ def dependency_findings(spark, d):
 
 
 def version_order(spark, d):
-    v = D.VERSION_LIST.frame(spark, d).distinct().withColumn("k", version_key(F.col("version")))
-    k = F.col("k")
+    v = D.VERSION_LIST.frame(spark, d).distinct().withColumn("k", version_parts(F.col("version")))
+    k, key = F.col("k"), version_key(F.col("version"))
     shown = lambda x: F.when(x["size"] == 0, "0").otherwise(x["digits"])
     return v.select(
         "version", F.array_join(F.transform(k["nums"], shown), ".").alias("nums"), k["is_release"].alias("is_release"),
         F.array_join(F.transform(k["pre"], lambda p: F.concat(F.when(p["alpha"], "a").otherwise("n"), shown(p["num"]), p["str"])), "/").alias("pre"),
-        (k < version_key(F.lit("3.4.0"))).alias("below"),
-        (k < version_key(F.lit("2.2.2-rc.9"))).alias("below_pre"),
+        (key < version_key(F.lit("3.4.0"))).alias("below"),
+        (key < version_key(F.lit("2.2.2-rc.9"))).alias("below_pre"),
     )
 
 
@@ -598,6 +603,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "taint_names": taint_names,
     "reaching_defs": reaching_defs,
     "taint_propagate": taint_propagate,
+    "taint_jumps": taint_jumps,
     "taint_final": taint_final,
     "taint_gate": taint_gate,
     "baseline_load": baseline_load,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grainsieve.functions.text import trim_space
-from grainsieve.functions.versions import parse_constraint, version_key
+from grainsieve.functions.versions import parse_constraint
 
 RANGE_COLUMNS = (
     "advisory_id", "ecosystem", "package", "severity", "title", "description", "aliases", "cwe",
@@ -42,13 +42,6 @@ def advisory_ranges_intervals(advisories: DataFrame) -> DataFrame:
     )
 
 
-def with_range_keys(ranges: DataFrame) -> DataFrame:
-    return ranges.withColumns({
-        "lo_key": F.when(F.col("lo").isNotNull(), version_key(F.col("lo"))),
-        "hi_key": F.when(F.col("hi").isNotNull(), version_key(F.col("hi"))),
-    })
-
-
 def compromised_versions(rules: DataFrame) -> DataFrame:
     """One row per (rule, ecosystem, package, version)."""
     return rules.select(

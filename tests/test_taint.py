@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from grainsieve.operators.asof import last_before
+from grainsieve.operators import taint
 from grainsieve.operators.taint import (
     argument_count, bound_names, classify_expression, final_states, gate_sinks, propagate, referenced_names,
 )
@@ -75,6 +76,29 @@ def test_one_large_file_among_small_ones(spark):
             assert last[(f, t)] == want[(f, p)]
 
 
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    steps = 20_000
+    forms = ["v{0}", "v{0}.trim()", "v{0} + 'x'", "(v{0})", "v{0} + k", "k.trim() + v{0}", "f(v{0})"]
+    rows = [("f", 0, ["k"], "'fixed'"), ("f", 1, ["v1"], "req.body.x")]
+    rows += [("f", i, [f"v{i}"], forms[i % 4 if i % 500 else 4 + i // 500 % 3].format(i - 1)) for i in range(2, steps)]
+    # a name that is written again and again, and one whose two parts come from the same place
+    rows += [("f", steps + i, ["s"], "s + v7") for i in range(1, 3000)] + [("f", 30_000 + i, ["t"], "t || t.trim()") for i in range(3000)]
+    state = {}
+    frame = spark.createDataFrame(rows, "file string, pos long, targets array<string>, expr string")
+    written = []
+    real = taint.cut_lineage
+    monkeypatch.setattr(taint, "cut_lineage", lambda df: written.append(1) or real(df))
+    got = {r.pos: r["rank"] for r in propagate(frame, fold_limit=100).collect()}
+    assert len(written) <= 20
+    facts = {r.pos: r.f for r in frame.select("pos", classify_expression(F.col("expr")).alias("f")).collect()}
+    for _, pos, (name,), _ in sorted(rows, key=lambda r: r[1]):
+        f = facts[pos]
+        ranks = lambda names: [state.get(n, U) for n in names]  # noqa: B023, E731
+        direct = max([*([] if f.base is None else [f.base]), *ranks(f.ids), *[S if r == S else U for r in ranks(f.pass_ids)]], default=U)
+        state[name] = direct if direct != U else max(ranks(f.all_ids), default=U)
+        assert got[pos] == state[name], (pos, rows[pos])
+
+
 def test_last_before_with_a_hot_key(spark):
     rng = random.Random(3)
     rows = [("hot" if rng.random() < 0.7 else f"k{i % 9}", i, i if rng.random() < 0.1 else None) for i in range(600)]
