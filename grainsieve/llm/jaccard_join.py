@@ -2,16 +2,17 @@
 
 Documents with one shingle set are one class.  A class's shingles are ordered by how common they are
 (a fixed-size count sketch over all documents) and by their hash; two sets that reach the threshold
-share a shingle among their first ones.  Classes that meet in a bucket are collapsed into groups of one
-size and one place of the shingle, group pairs are filtered by what these allow, and only the members of the remaining pairs are verified, first
-by what their prefixes allow at most, then by their whole sets.
+share a shingle among their first ones, their prefix.  Classes with identical prefixes and sizes are one
+group, and all that a prefix can tell is told once for a group: groups meet in the buckets of their
+shingles, where shingles with the same groups make one bucket, group pairs are filtered by sizes, by the place
+of the shared shingle and by both prefixes, and only the members of the remaining ones are verified by their whole sets.
 
 Components need no pair within a component that is already joined.  So each bucket first offers its
 members to one leader; then only groups of different components are paired.  Every pair that shares a
 prefix shingle is verified or lies in one component, so no link between components is lost.
 
-Links themselves need them all: ``jaccard_links`` and ``link_counts`` verify every candidate pair of
-classes, so their work grows with the number of candidates, in a group of near copies with its square.
+Links lie within components.  There all pairs of classes are verified, block against block: blocks are bounded, a
+set moves once for each block that its own meets, and a task counts the links of two blocks by matrix products.
 """
 
 from __future__ import annotations
@@ -33,6 +34,10 @@ PERCENT = 80
 #: log2 of the number of counters of the sketch, and members of a group that are paired as one.
 SKETCH_BITS = 20
 GROUP_MEMBERS = 256
+#: Shingles and sets of a block of a component, and shingles that a matrix product takes at a time.
+BLOCK_SHINGLES = 1 << 16
+BLOCK_SETS = 512
+PRODUCT_SHINGLES = 4096
 _BLOCK = 1 << 12
 
 
@@ -97,6 +102,30 @@ def most_shared(a: np.ndarray, b: np.ndarray, size_a: int, size_b: int, levels:
     return shared + min(size_a - a_known, size_b - b_known)
 
 
+def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of ``a`` shares with each of ``b``."""
+    rows = [np.repeat(np.arange(len(side)), [len(x) for x in side]) for side in (a, b)]
+    flat = [np.concatenate(side) if side else np.empty(0, dtype=np.uint64) for side in (a, b)]
+    common = np.intersect1d(*flat)
+    out = np.zeros((len(a), len(b)))
+    at = []
+    for row, values in zip(rows, flat, strict=True):
+        place = np.searchsorted(common, values)
+        held = np.flatnonzero(place < len(common))
+        held = held[common[place[held]] == values[held]]
+        order = held[np.argsort(place[held], kind="stable")]
+        at.append((row[order], place[order]))
+    for first in range(0, len(common), PRODUCT_SHINGLES):
+        sides = []
+        for (row, place), count in zip(at, (len(a), len(b)), strict=True):
+            x, y = np.searchsorted(place, [first, first + PRODUCT_SHINGLES])
+            dense = np.zeros((count, min(PRODUCT_SHINGLES, len(common) - first)), dtype=np.float32)
+            dense[row[x:y], place[x:y] - first] = 1
+            sides.append(dense)
+        out += sides[0] @ sides[1].T  # exact: at most PRODUCT_SHINGLES ones
+    return out.astype(np.int64)
+
+
 def _reach(size: Column, place: Column, other: Column, other_place: Column, percent: int) -> Column:
     """Whether two sets can reach the threshold if their first common shingle stands at these places.
 
@@ -110,7 +139,8 @@ class JaccardJoin:
     """One run of the join over a table of texts."""
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, bits: int):
-        self.space = Workspace(docs.sparkSession, "jaccard-join")
+        self.spark = docs.sparkSession
+        self.space = Workspace(self.spark, "jaccard-join")
         self.words, self.percent, self.bits = words, percent, bits
         text = text_or_empty(text_col)
         self.texts = docs.select(field(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
@@ -190,61 +220,132 @@ class JaccardJoin:
         joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b")
         return self.space.write(joined.mapInArrow(verify, "a bigint, b bigint"), f"{name}-links")
 
-    def prepare(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Documents, classes, and the prefix shingles that classes share."""
+    def prepare(self) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+        """Documents, classes with their group, groups, and the buckets in which groups meet.
+
+        A group's id is that of one of its classes, its first.  Shingles whose groups are the same ones make one bucket, named by
+        128 bits; in it a group stands at the first of its places, so no bound gets tighter by that.
+        """
         space = self.space
         docs = space.write(self.sets(), "docs")
         classes = space.write(
             docs.where("n > 0").groupBy("n", "d1", "d2", "prefix")
             .agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.count("*").alias("copies"))
             .withColumn("cid", F.monotonically_increasing_id()), "classes")
-        buckets = classes.select("cid", "n", "copies", F.posexplode("prefix").alias("place", "token"))
-        shared = space.write(buckets.groupBy("token").agg(F.count("*").alias("size")).where("size > 1"), "shared")
-        return docs, classes, space.write(buckets.join(shared, "token").select("token", "cid", "n", "place", "copies", "size"), "buckets")
+        groups = space.write(classes.groupBy("n", "prefix").agg(F.min("cid").alias("gid"), F.count("*").alias("members"), F.sum("copies").alias("copies")), "groups")
+        same = space.write(
+            classes.join(groups.where("members > 1").select("n", "prefix", "gid"), ["n", "prefix"]).select("cid", "gid"), "same-prefix")
+        classes = classes.join(same, "cid", "left").withColumn("gid", F.coalesce("gid", "cid"))
+        places = groups.select("gid", "n", "copies", F.posexplode("prefix").alias("place", "shingle"))
+        mark = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), F.col("gid")))
+        shared = space.write(places.groupBy("shingle").agg(F.count("*").alias("size"), F.struct(mark(1), mark(2)).alias("token")).where("size > 1"), "shared")
+        buckets = places.join(shared, "shingle").groupBy("token", "gid").agg(
+            F.min("place").alias("place"), F.max("size").alias("size"), F.max("n").alias("n"), F.max("copies").alias("copies"))
+        return docs, classes, groups, space.write(buckets, "buckets")
+
+    def expanded(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+        """Pairs of classes (a, b) of pairs of groups' first classes; a group is paired with itself by its first class only."""
+        own = classes.select(F.col("gid").alias("a"), F.col("cid").alias("x"))
+        other = classes.select(F.col("gid").alias("b"), F.col("cid").alias("y"))
+        both = pairs.join(own, "a").join(other, "b").where("x != y")
+        return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+    def component_links(self, members: DataFrame, sets: DataFrame, count: bool) -> DataFrame:
+        """All links within components: ``a, b``, or with ``count`` the rows of other classes linked to a class, ``cid, others``.
+
+        ``members`` has ``cid, root, n, copies`` of classes in components of two or more, ``sets`` their shingles.
+        """
+        percent = self.percent
+        band = F.floor(F.log("n") / float(np.log(100 / percent)))
+        spread = members.withColumn("band", band)
+        weight = F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_SETS)).cast("long")
+        parts = spread.groupBy("root", "band").agg(weight.alias("parts"))
+        placed = spread.join(parts, ["root", "band"]).withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts"))).join(sets, "cid")
+        blocks = self.space.write(placed.groupBy("root", "band", "part").agg(
+            F.collect_list(F.struct("cid", "copies", "shingles")).alias("sets")), "blocks")  # bounded by BLOCK_SHINGLES and BLOCK_SETS
+        # sets that reach the threshold differ by one band at most
+        sides = [blocks.select(F.col("root"), F.struct("band", "part").alias(f"block_{x}"), F.col("sets").alias(f"sets_{x}")) for x in "ab"]
+        met = sides[0].join(sides[1], "root").where((F.col("block_a") <= F.col("block_b")) & (F.col("block_b.band") - F.col("block_a.band") <= 1))
 
-    def all_links(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Documents, classes, and every pair (a, b) of different classes that reaches the threshold."""
-        space, percent = self.space, self.percent
-        docs, classes, buckets = self.prepare()
-        part = F.pmod(F.xxhash64("cid"), F.ceil(F.col("size") / GROUP_MEMBERS).cast("long"))
-        groups = space.write(buckets.groupBy("token", "n", "place", part.alias("part")).agg(F.collect_list("cid").alias("members")), "link-groups")
-        left, right = (groups.select("token", F.struct("n", "place", "part").alias(f"group_{x}"), F.col("members").alias(f"members_{x}")) for x in "ab")
-        near = _reach(F.col("group_a.n"), F.col("group_a.place"), F.col("group_b.n"), F.col("group_b.place"), percent)
-        paired = left.join(right, "token").where((F.col("group_a") <= F.col("group_b")) & near)
-        pairs = paired.select(F.explode("members_a").alias("x"), "members_b").select("x", F.explode("members_b").alias("y")).where("x != y")
-        pairs = space.write(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "link-candidates")
-        allowed = space.write(self.allowed(pairs, classes), "link-allowed")
-        return docs, classes, self.linked(allowed, classes, "link")
-
-    def run(self) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in range(batch.num_rows):
+                    same, *sides = (batch.column(i)[row] for i in range(3))
+                    cids, copies, found = zip(*[(
+                        np.array([m["cid"].as_py() for m in side], dtype=np.int64), np.array([m["copies"].as_py() for m in side], dtype=np.int64),
+                        [np.frombuffer(m["shingles"].as_buffer(), dtype=np.uint64) for m in side]) for side in sides], strict=True)
+                    both = shared_counts(*found)
+                    sizes = [np.array([len(x) for x in side]) for side in found]
+                    near = 100 * both >= percent * (sizes[0][:, None] + sizes[1][None] - both)
+                    if same.as_py():
+                        near = np.triu(near, 1)
+                    if count:
+                        others = [near @ copies[1], copies[0] @ near]
+                        ids, sums = np.concatenate(cids), np.concatenate(others)
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[sums > 0]), pa.array(sums[sums > 0])], ["cid", "others"])
+                    else:
+                        x, y = np.nonzero(near)
+                        ends = cids[0][x], cids[1][y]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(*ends)), pa.array(np.maximum(*ends))], ["a", "b"])
+
+        pairs = met.select((F.col("block_a") == F.col("block_b")).alias("same"), "sets_a", "sets_b")
+        # a row holds two blocks: a few of them are a batch
+        found = pairs.mapInArrow(run, "cid bigint, others bigint" if count else "a bigint, b bigint")
+        return found.groupBy("cid").agg(F.sum("others").alias("others")) if count else found
+
+    def classes_with_roots(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Documents, classes with the component of each, and the sets of the classes that any link was found for."""
         space, percent = self.space, self.percent
-        docs, classes, buckets = self.prepare()
-        # the members of a bucket that are close in size meet a leader: the one with the fewest rare shingles, so most like the others
+        docs, classes, groups, buckets = self.prepare()
+        prefixes = groups.select(F.col("gid").alias("cid"), "n", "prefix")
+        # the groups of a bucket that are close in size meet a leader: the one with the fewest rare shingles, so most like the others
         band = F.floor(F.log("n") / float(np.log(100 / percent))).alias("band")
         leaders = space.write(
-            buckets.groupBy("token", band).agg(F.min(F.struct("place", -F.col("copies"), "cid", "n")).alias("top"))
-            .select("token", "band", F.col("top.cid").alias("leader"), F.col("top.n").alias("leader_n"), F.col("top.place").alias("leader_place")), "leaders")
+            buckets.groupBy("token", band).agg(F.min(F.struct("place", -F.col("copies"), "gid", "n")).alias("top"))
+            .select("token", "band", F.col("top.gid").alias("leader"), F.col("top.n").alias("leader_n"), F.col("top.place").alias("leader_place")), "leaders")
         buckets = buckets.withColumn("band", band)
-        star = buckets.join(leaders, ["token", "band"]).where((F.col("cid") != F.col("leader")) & _reach(F.col("n"), F.col("place"), F.col("leader_n"), F.col("leader_place"), percent))
-        star = space.write(star.select(F.least("cid", "leader").alias("a"), F.greatest("cid", "leader").alias("b")).distinct(), "star")
-        first = self.linked(space.write(self.allowed(star, classes), "star-allowed"), classes, "star")
+        star = buckets.join(leaders, ["token", "band"]).where((F.col("gid") != F.col("leader")) & _reach(F.col("n"), F.col("place"), F.col("leader_n"), F.col("leader_place"), percent))
+        star = space.write(self.allowed(star.select(F.col("leader").alias("a"), F.col("gid").alias("b")).distinct(), prefixes), "star-groups")
+        # the leader's first class meets all classes of the other group, and each group's first class the group's others
+        members = classes.where("cid != gid").select(F.col("gid").alias("g"), F.col("cid").alias("x"))
+        heads = star.select("a", "b").union(star.join(members, F.col("b") == F.col("g")).select("a", "x")).union(members.select("g", "x"))
+        star = space.write(heads.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "star")
+        first = self.linked(star, classes, "star")
         roots = space.write(components(space, first, "first").select(F.col("id").alias("cid"), "root"), "first-roots")
-        # groups of one bucket, component, size and place; only groups of different components are paired
-        labelled = space.write(buckets.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid")), "labelled")
+        # groups of one bucket, component, size and place; only those of different components are paired
+        rooted = space.write(classes.join(roots, "cid", "left").select("cid", "gid", F.coalesce("root", "cid").alias("root")), "rooted")
+        labelled = space.write(buckets.join(rooted.select("gid", "root").distinct(), "gid"), "labelled")
         mixed = space.write(labelled.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("token"), "mixed")
-        part = F.pmod(F.xxhash64("cid"), F.ceil(F.col("size") / GROUP_MEMBERS).cast("long"))
-        groups = space.write(labelled.join(mixed, "token").groupBy("token", "root", "n", "place", part.alias("part")).agg(F.collect_list("cid").alias("members")), "groups")
-        left, right = (groups.select("token", F.col("root").alias(f"root_{x}"), F.col("n").alias(f"n_{x}"), F.col("place").alias(f"place_{x}"), F.col("members").alias(f"members_{x}")) for x in "ab")
+        part = F.pmod(F.xxhash64("gid"), F.ceil(F.col("size") / GROUP_MEMBERS).cast("long"))
+        packs = space.write(labelled.join(mixed, "token").groupBy("token", "root", "n", "place", part.alias("part")).agg(F.collect_list("gid").alias("members")), "packs")
+        left, right = (packs.select("token", F.col("root").alias(f"root_{x}"), F.col("n").alias(f"n_{x}"), F.col("place").alias(f"place_{x}"), F.col("members").alias(f"members_{x}")) for x in "ab")
         paired = left.join(right, "token").where((F.col("root_a") < F.col("root_b")) & _reach(F.col("n_a"), F.col("place_a"), F.col("n_b"), F.col("place_b"), percent))
         pairs = paired.select(F.explode("members_a").alias("x"), "members_b").select("x", F.explode("members_b").alias("y"))
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-        second = self.linked(space.write(self.allowed(pairs, classes), "pairs-allowed"), classes, "pairs")
+        pairs = space.write(self.allowed(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), prefixes), "group-pairs")
+        apart = [rooted.select(F.col("cid").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab"]
+        wanted = self.expanded(pairs, classes).join(apart[0], "a").join(apart[1], "b").where("root_a != root_b").select("a", "b").join(star, ["a", "b"], "left_anti")
+        second = self.linked(space.write(wanted, "pairs"), classes, "pairs")
         roots = space.write(components(space, first.union(second), "all").select(F.col("id").alias("cid"), "root"), "all-roots")
+        sets = [self.spark.read.parquet(f"{space.root}/{x}-sets") for x in ("star", "pairs")]
         whole = classes.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-        least = space.write(whole.groupBy("root").agg(F.min("least").alias("component_id")), "least")
-        member = space.write(whole.join(least, "root").select("n", "d1", "d2", "root", "component_id"), "members")
+        return docs, space.write(whole, "rooted-classes"), sets[0].unionByName(sets[1]).dropDuplicates(["cid"])
+
+    def linked_members(self, whole: DataFrame) -> DataFrame:
+        """The classes in components of two or more."""
+        many = whole.groupBy("root").agg(F.count("*").alias("classes")).where("classes > 1").select("root")
+        return self.space.write(whole.join(many, "root").select("cid", "root", "n", "copies"), "linked-members")
+
+    def run(self, links: bool = True) -> DataFrame:
+        docs, whole, sets = self.classes_with_roots()
+        least = whole.groupBy("root").agg(F.min("least").alias("component_id"))
+        member = whole.join(least, "root").select("cid", "n", "d1", "d2", "root", "component_id", "copies")
+        if links:
+            around = self.component_links(self.linked_members(whole), sets, count=True)
+            member = member.join(around, "cid", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("others", F.lit(0)))
+        shown = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if links else []
+        member = self.space.write(member.drop("cid", "copies", "others"), "members")
         return docs.join(member, ["n", "d1", "d2"], "left").select(
-            "doc_id", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "root")
+            "doc_id", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "root", *shown)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -253,7 +354,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Texts without words are in no component and stay.  Of rows of a component that share the smallest
     id the one with the smallest text hash stays.
     """
-    found = jaccard_join(docs, id_col, text_col, **options)
+    found = jaccard_join(docs, id_col, text_col, links=False, **options)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash")).alias("first")
     kept = found.where("root is not null").groupBy("root").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
     kept = kept.union(found.where("root is null").select("doc_id", "text_hash")).distinct()
@@ -263,19 +364,20 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
-                 percent: int = PERCENT, sketch_bits: int = SKETCH_BITS) -> DataFrame:
+                 percent: int = PERCENT, sketch_bits: int = SKETCH_BITS, links: bool = True) -> DataFrame:
     """Link documents whose shingle sets have a Jaccard similarity of ``percent`` / 100 or more.
 
     Words are lower-cased in A-Z; a set holds the distinct shingles of ``words`` words, or the whole
     sequence of a shorter text.  Returns one row per row: ``doc_id, n_shingles, component_id`` (the
-    smallest id of its component), ``text_hash``, which tells rows of one id apart, and ``root``, which
-    tells components apart where ids are null (itself null for a text without words).
+    smallest id of its component), ``text_hash``, which tells rows of one id apart, ``root``, which
+    tells components apart where ids are null (itself null for a text without words), and with ``links``
+    ``n_links``, the number of other rows that reach the threshold with it.
 
     A null or empty text has no shingles and no links.  A null id never becomes a component's id unless
     all ids of the component are null; rows that repeat an id or a text are members of one class.  An
     empty table gives no rows.  Sets are told apart by 128-bit digests, shingles by 64-bit hashes.
     """
-    return JaccardJoin(docs, id_col, text_col, words, percent, sketch_bits).run()
+    return JaccardJoin(docs, id_col, text_col, words, percent, sketch_bits).run(links)
 
 
 def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
@@ -286,20 +388,8 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     The representative has the smallest id, a null one first.  Documents of one set are links of each
     other that are not listed.  Nulls, empty texts and repeated rows are taken as by ``jaccard_join``.
     """
-    _, classes, links = JaccardJoin(docs, id_col, text_col, words, percent, sketch_bits).all_links()
-    side = lambda x: classes.select(F.col("cid").alias(x), F.col("rep.doc_id").alias(f"doc_id_{x}"), F.col("rep.text_hash").alias(f"text_hash_{x}"), F.col("copies").alias(f"copies_{x}"))
-    return links.join(side("a"), "a").join(side("b"), "b").drop("a", "b")
-
-
-def link_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
-                percent: int = PERCENT, sketch_bits: int = SKETCH_BITS) -> DataFrame:
-    """One row per row: ``doc_id, text_hash, n_shingles, n_links``, the number of other rows that reach the threshold with it."""
     join = JaccardJoin(docs, id_col, text_col, words, percent, sketch_bits)
-    rows, classes, links = join.all_links()
-    ends = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    other = classes.select(F.col("cid").alias("b"), F.col("copies").alias("others"))
-    around = ends.join(other, "b").groupBy("a").agg(F.sum("others").alias("others")).withColumnRenamed("a", "cid")
-    counted = classes.join(around, "cid", "left").select("n", "d1", "d2", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    counted = join.space.write(counted, "link-counts")
-    return rows.join(counted, ["n", "d1", "d2"], "left").select(
-        "doc_id", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    _, whole, sets = join.classes_with_roots()
+    links = join.component_links(join.linked_members(whole), sets, count=False)
+    side = lambda x: whole.select(F.col("cid").alias(x), F.col("rep.doc_id").alias(f"doc_id_{x}"), F.col("rep.text_hash").alias(f"text_hash_{x}"), F.col("copies").alias(f"copies_{x}"))
+    return links.join(side("a"), "a").join(side("b"), "b").drop("a", "b")

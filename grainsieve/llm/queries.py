@@ -50,7 +50,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard_join.jaccard_join(_table(spark, sf_dir, "documents"), words=4, percent=85)
-    return found.select("doc_id", "n_shingles", "component_id")
+    return found.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

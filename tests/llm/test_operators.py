@@ -117,8 +117,10 @@ def test_jaccard_join(name, words, percent, request):
     assert as_bag((r.doc_id, r.n_shingles, r.component_id) for r in out) == as_bag(components_of(texts_of(frame), words, percent))
 
 
-@pytest.mark.parametrize(("name", "words", "percent"), [("documents", 4, 85), ("odd", 4, 85), ("near", 2, 60)])
-def test_jaccard_links(name, words, percent, request, session):
+@pytest.mark.parametrize(("name", "words", "percent"), [("documents", 4, 85), ("odd", 4, 85), ("near", 2, 60), ("near", 2, 80)])
+@pytest.mark.parametrize("block", [9, 512])
+def test_jaccard_links(name, words, percent, block, request, session, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", block)
     random = np.random.default_rng(7)
     near = [(i, " ".join(f"w{j}" if random.random() > 0.06 else f"x{random.integers(99)}" for j in range(30))) for i in range(60)]
     frame = session.createDataFrame([*near, *near[:5]], "doc_id long, text string") if name == "near" else request.getfixturevalue(name)
@@ -129,7 +131,7 @@ def test_jaccard_links(name, words, percent, request, session):
         sets.append(frozenset(tuple(w[i : i + words]) for i in range(len(w) - words + 1)) or (frozenset([tuple(w)]) if w else frozenset()))
     reach = lambda a, b: bool(a & b) and 100 * len(a & b) >= percent * len(a | b)
     counts = [sum(reach(a, b) for j, b in enumerate(sets) if i != j) for i, a in enumerate(sets)]
-    out = jaccard_join.link_counts(frame, words=words, percent=percent, sketch_bits=10).collect()
+    out = jaccard_join.jaccard_join(frame, words=words, percent=percent, sketch_bits=10).collect()
     assert as_bag((r.doc_id, r.n_shingles, r.n_links) for r in out) == as_bag((d, len(s), c) for (d, _), s, c in zip(rows, sets, counts, strict=True))
     classes = list(set(sets))
     links = jaccard_join.jaccard_links(frame, words=words, percent=percent, sketch_bits=10).collect()
