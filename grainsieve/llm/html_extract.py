@@ -29,7 +29,11 @@ RATE = 0.3
 
 # Elements of HTML by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object select button option label legend noframes canvas audio video".split())
+#: Elements that hold text and no elements, and elements that hold no text of the page: left out from tag to end tag.
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
+SKIPPED = frozenset("noscript template svg object select datalist canvas audio video".split())
+#: Inline controls: left out where they end before the next block starts or ends.
+CONTROLS = frozenset("button option label legend".split())
 BLOCK = frozenset(
     "html body head main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd nav aside header footer form fieldset table thead "
     "tbody tfoot tr td th caption blockquote pre figure figcaption address details summary dialog hgroup menu center".split())
@@ -45,6 +49,8 @@ OTHER_TOKENS = frozenset(
     "replies disqus form search login pagination pager toolbar tags meta legal copyright".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)", re.S)
+_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I) for tag in RAW | SKIPPED | CONTROLS}
+_NEXT_BLOCK = re.compile(rf"</?(?:{'|'.join(sorted(BLOCK, key=len, reverse=True))})(?=[\s/>])", re.I)
 _ATTRIBUTE = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
@@ -68,10 +74,16 @@ class Node:
 
 
 def parse(page: str) -> Node:
-    """The block tree of a page; text of scripts, styles and controls is left out, references are decoded."""
+    """The block tree of a page; text of scripts, styles and controls is left out, references are decoded.
+
+    An element of ``RAW``, ``SKIPPED`` or ``CONTROLS`` without its end tag takes no more with it than its own text up
+    to the next tag (an option or a raw element) or nothing (any other): what follows stays in the page.  A slash before
+    the end of such a tag closes nothing.
+    """
     root = Node("root", frozenset(), None)
     stack: list[tuple[str, Node | None]] = [("root", root)]
     node, pieces, links, linked = root, [], 0, 0
+    ends: dict[str, re.Match | None] = {}
 
     def flush() -> None:
         nonlocal pieces, linked
@@ -124,11 +136,20 @@ def parse(page: str) -> Node:
                     if stack[i][1] is not None:
                         break
             continue
-        if tag in RAW:
-            if not attributes.endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
-                at = end.end() if end else len(page)
+        if tag in _END:
             pieces.append(" ")
+            # the next end tag of a kind is looked for once, not for each start before it
+            if tag not in ends or (ends[tag] is not None and ends[tag].start() < at):
+                ends[tag] = _END[tag].search(page, at)
+            end = ends[tag]
+            if end is not None and tag in CONTROLS:
+                block = _NEXT_BLOCK.search(page, at, end.start())
+                end = None if block else end
+            if end is not None:
+                at = end.end()
+            elif tag in RAW or tag == "option":
+                following = page.find("<", at)
+                at = following if following >= 0 else len(page)
             continue
         if tag in VOID:
             pieces.append(" ")

@@ -343,6 +343,46 @@ def test_html_extract(session):
         assert r.text == "\n".join(x for x in lines if x)
 
 
+OPEN_ELEMENTS = [
+    "<datalist><option value=a><option value=b></datalist>", "<datalist><option value=a>", "<select><option>One<option>Two</select>", "<select><option>One",
+    "<label>", "<label for=x>Name", "<button type=button>", "<svg width=1 height=1><path d='M0 0'>", "<svg/>", "<script src=x/></script>", "<script src=x/>",
+    "<script>var a = 1;</script>", "<script src=x/>var a = 1;</script>", "<style>", "<canvas>", "<audio controls>", "<video src=v>", "<object data=o>", "<template>",
+    "<noscript>", "<iframe src=i>", "<title>", "<textarea>", "<math>", "<legend>", "<button>Press</button>", "<label>Tick</label>",
+]
+
+
+@pytest.mark.parametrize("element", OPEN_ELEMENTS)
+def test_html_keeps_what_follows_an_open_element(element):
+    model = html_extract.Boosted()
+    model.start = 1.0  # every node stays
+    page = f"<html><body><article><h1>Head</h1><p>Before it.</p>{element}<p>After it.</p><div><p>And at the end.</p></div></article></body></html>"
+    lines = html_extract.extract_page(page, model).split("\n")
+    for line in ("Head", "Before it.", "After it.", "And at the end."):
+        assert sum(line in x for x in lines) == 1
+    assert "var a" not in " ".join(lines) and "M0" not in " ".join(lines) and "Press" not in " ".join(lines)
+
+
+def test_html_formula_and_hostile_pages():
+    model = html_extract.Boosted()
+    model.start = 1.0
+    assert html_extract.extract_page("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> hold.</p></article>", model) == "Let x=1 hold."
+    many = "<article>" + "<label>a" * 20_000 + "<p>After.</p></label></article>"
+    assert html_extract.extract_page(many, model).endswith("After.")
+
+
+def test_html_without_content_elements(session):
+    """Pages whose article elements are plain divs: nearly all of the article is found, and little else."""
+    pages = session.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    model = html_extract.train(pages)
+    found = wanted = extra = 0
+    for r in pages.collect():
+        plain = re.sub(r"<(/?)(?:article|main)\b[^>]*>", r"<\1div>", r.html)
+        want = collections.Counter(html_extract.extract_page(r.html, model).split())
+        got = collections.Counter(html_extract.extract_page(plain, model).split())
+        found, wanted, extra = found + sum((want & got).values()), wanted + sum(want.values()), extra + sum((got - want).values())
+    assert found >= 0.97 * wanted and extra <= 0.03 * wanted
+
+
 def test_license_scan(session):
     template = license_scan.TEMPLATES["bsd-redistribution"]
     rows = [(1, "x " * 100 + template.upper() + " y" * 50), (2, template.replace("binary", "object")), (3, "Released under the MIT\nLicense."), (3, "Released under the MIT\nLicense."),
