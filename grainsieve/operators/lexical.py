@@ -2,8 +2,9 @@
 
 One plan serves all pattern sets (code rules, literal detectors, identifier detectors):
 
-1. per text, a whole-stage-codegen projection tests a cheap guard per pattern and yields the
-   short list of patterns that can match at all;
+1. per text, one walk over an index of all guard literals (a trie, spelled as a regex) finds those that
+   occur, and with them the short list of patterns that can match at all; the time of a walk depends on the text,
+   not on the number of patterns.  A few patterns, and guards that are no literals, are tested one by one;
 2. the list is exploded, so only (text, candidate pattern) pairs meet a regular expression - the
    full product of texts and patterns never exists;
 3. matches and the gaps between them come from the built-in split and extract functions; start
@@ -16,6 +17,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +43,55 @@ class Pattern:
     gate: str | None = None
 
 
+#: Guard literals from which one walk over an index is cheaper than a test of each.
+INDEX_LITERALS = 150
+#: Branches that a node of the index tries one after the other; more are split by their first characters.
+INDEX_BRANCHES = 6
+
+
+def literal_index(literals: Sequence[str]) -> str:
+    """A regex whose group 1 is the longest of the literals that starts at a place; it consumes nothing.
+
+    Literals share their beginnings, so a place is left after a character or two; a literal that others begin with is told
+    from the one that was found.
+    """
+    tree: dict = {}
+    for literal in literals:
+        node = tree
+        for c in literal:
+            node = node.setdefault(c, {})
+        node[""] = {}
+    plain = lambda c: c if c.isalnum() or c == "_" else f"\\x{{{ord(c):x}}}"
+
+    def spell(node: dict) -> str:
+        chars = sorted(c for c in node if c)
+        if not chars:
+            return ""
+        body = branch(node, chars)
+        if "" in node:
+            return f"(?:{body})?+"
+        return body if len(chars) == 1 else f"(?:{body})"
+
+    def branch(node: dict, chars: list[str]) -> str:
+        if len(chars) <= INDEX_BRANCHES:
+            return "|".join(plain(c) + spell(node[c]) for c in chars)
+        half = len(chars) // 2
+        return "|".join(f"(?=[{''.join(map(plain, part))}])(?:{branch(node, part)})" for part in (chars[:half], chars[half:]))
+
+    return f"(?=({spell(tree)}))"
+
+
+def _indexed(src: Column, owners: dict[str, list[int]]) -> tuple[Column, Column]:
+    """Whether any literal occurs in a text, and the numbers of the patterns whose literals do."""
+    found = {w: sorted({i for other, own in owners.items() if w.startswith(other) for i in own}) for w in owners}
+    words = sorted(owners)
+    index = literal_index(words)
+    of = lambda w: F.split(F.element_at(
+        string_array(",".join(map(str, found[x])) for x in words), F.array_position(string_array(words), w).cast("int")), ",", -1)
+    seen = F.array_distinct(F.regexp_extract_all(src, F.lit(index), F.lit(1)))
+    return F.rlike(src, F.lit(index)), F.array_distinct(F.flatten(F.transform(seen, of))).cast("array<int>")
+
+
 def _guard(text: str, p: Pattern) -> str:
     """The guard as an expression string: a pack of rules then costs one parse, not many calls."""
     parts = []
@@ -67,17 +119,45 @@ def find_matches(
     """
     patterns = list(patterns)
     src = F.col(text)
+    patterns_left = set(range(len(patterns)))
+    no_ids = F.array().cast("array<int>")
+    possible, lists = F.lit(False), []
+
+    def gated(gate: str | None, ids: Column) -> Column:
+        return ids if gate is None else F.when(gates[gate], ids).otherwise(no_ids)
+
+    # literal guards by one walk; "" and characters that a regex may not see alone are tested one by one
+    for folded in (False, True):
+        own = [i for i, p in enumerate(patterns) if p.any_of and p.ignore_case_guard == folded and all(p.any_of)]
+        owners: dict[str, list[int]] = {}
+        for i in own:
+            for w in patterns[i].any_of:
+                owners.setdefault(w, []).append(i)
+        if len(owners) < INDEX_LITERALS:
+            continue
+        some, ids = _indexed(F.lower(src) if folded else src, owners)
+        gates_of = sorted({patterns[i].gate or "" for i in own})
+        if "" not in gates_of:
+            some = reduce(or_, (gates[g] for g in gates_of)) & some
+        possible = possible | some
+        for gate in gates_of:
+            # a constant array, read by number: a set of this gate's patterns would be built anew for each text
+            mine = string_array("1" if (p.gate or "") == gate else "0" for p in patterns)
+            lists.append(gated(gate or None, ids if len(gates_of) == 1 else F.filter(ids, lambda i: F.element_at(mine, i + 1) == "1")))  # noqa: B023
+        guards = {i: java_pattern(patterns[i].guard) for i in own if patterns[i].guard}
+        if guards:
+            lists[-len(gates_of):] = [F.filter(x, lambda i: ~i.isin(*guards) | reduce(or_, (
+                (i == k) & F.rlike(src, F.lit(g)) for k, g in guards.items()))) for x in lists[-len(gates_of):]]  # noqa: B023
+        patterns_left -= set(own)
     by_gate: dict[str | None, list[tuple[int, str]]] = {}
-    for i, p in enumerate(patterns):
-        by_gate.setdefault(p.gate, []).append((i, _guard(f"`{text}`", p)))
+    for i in sorted(patterns_left):
+        by_gate.setdefault(patterns[i].gate, []).append((i, _guard(f"`{text}`", patterns[i])))
     # drop the texts no pattern can match in generated code, before any array is built
-    possible = F.lit(False)
-    lists = []
-    for gate, guards in by_gate.items():
-        some = F.expr(" OR ".join(f"({g})" for _, g in guards))
-        ids = F.expr("array_compact(array(" + ", ".join(f"CASE WHEN {g} THEN {i} END" for i, g in guards) + "))")
+    for gate, guarded in by_gate.items():
+        some = F.expr(" OR ".join(f"({g})" for _, g in guarded))
+        ids = F.expr("array_compact(array(" + ", ".join(f"CASE WHEN {g} THEN {i} END" for i, g in guarded) + "))")
         possible = possible | (some if gate is None else gates[gate] & some)
-        lists.append(ids if gate is None else F.when(gates[gate], ids).otherwise(F.array().cast("array<int>")))
+        lists.append(gated(gate, ids))
     candidates = units.filter(possible).withColumn("_pid", F.explode(F.concat(*lists)))
 
     at = F.col("_pid") + 1
