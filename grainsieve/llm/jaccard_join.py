@@ -170,11 +170,11 @@ class JaccardJoin:
 
         return self.texts.mapInArrow(run, f"doc_id {kind}, text_hash bigint, n bigint, d1 bigint, d2 bigint, prefix array<bigint>")
 
-    def allowed(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose prefixes allow the threshold."""
+    def allowed(self, pairs: DataFrame, groups: DataFrame) -> DataFrame:
+        """The pairs of groups (a, b) whose prefixes allow the threshold."""
         percent, bits = self.percent, self.bits
         shared = self.texts.sparkSession.sparkContext.broadcast(self.levels)
-        side = lambda x: classes.select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}"), F.col("prefix").alias(f"prefix_{x}"))
+        side = lambda x: groups.select(F.col("gid").alias(x), F.col("n").alias(f"n_{x}"), F.col("prefix").alias(f"prefix_{x}"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             levels = shared.value
@@ -195,7 +195,7 @@ class JaccardJoin:
         """The pairs whose whole sets reach the threshold; texts are read again for their members only."""
         words, percent = self.words, self.percent
         ids = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
-        wanted = self.space.write(classes.join(ids, "cid", "left_semi").select("cid", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash")), f"{name}-wanted")
+        wanted = classes.join(ids, "cid", "left_semi").select("cid", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -223,28 +223,26 @@ class JaccardJoin:
     def prepare(self) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
         """Documents, classes with their group, groups, and the buckets in which groups meet.
 
-        A group's id is that of one of its classes, its first.  Shingles whose groups are the same ones make one bucket, named by
-        128 bits; in it a group stands at the first of its places, so no bound gets tighter by that.
+        A group's id is a hash of its size and prefix; groups that shared one would be paired as one, and their members be
+        verified as any others.  Shingles whose groups are the same ones make one bucket, named by 128 bits; in it a group
+        stands at the first of its places, so no bound gets tighter by that.
         """
         space = self.space
         docs = space.write(self.sets(), "docs")
         classes = space.write(
             docs.where("n > 0").groupBy("n", "d1", "d2", "prefix")
             .agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.count("*").alias("copies"))
-            .withColumn("cid", F.monotonically_increasing_id()), "classes")
-        groups = space.write(classes.groupBy("n", "prefix").agg(F.min("cid").alias("gid"), F.count("*").alias("members"), F.sum("copies").alias("copies")), "groups")
-        same = space.write(
-            classes.join(groups.where("members > 1").select("n", "prefix", "gid"), ["n", "prefix"]).select("cid", "gid"), "same-prefix")
-        classes = classes.join(same, "cid", "left").withColumn("gid", F.coalesce("gid", "cid"))
+            .withColumns({"cid": F.monotonically_increasing_id(), "gid": F.xxhash64("n", "prefix")}), "classes")
+        groups = space.write(classes.groupBy("gid", "n", "prefix").agg(F.min("cid").alias("head"), F.count("*").alias("members"), F.sum("copies").alias("copies")), "groups")
         places = groups.select("gid", "n", "copies", F.posexplode("prefix").alias("place", "shingle"))
         mark = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), F.col("gid")))
-        shared = space.write(places.groupBy("shingle").agg(F.count("*").alias("size"), F.struct(mark(1), mark(2)).alias("token")).where("size > 1"), "shared")
+        shared = places.groupBy("shingle").agg(F.count("*").alias("size"), F.struct(mark(1), mark(2)).alias("token")).where("size > 1")
         buckets = places.join(shared, "shingle").groupBy("token", "gid").agg(
             F.min("place").alias("place"), F.max("size").alias("size"), F.max("n").alias("n"), F.max("copies").alias("copies"))
         return docs, classes, groups, space.write(buckets, "buckets")
 
     def expanded(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-        """Pairs of classes (a, b) of pairs of groups' first classes; a group is paired with itself by its first class only."""
+        """Pairs of classes (a, b) of pairs of groups; a group may be paired with itself."""
         own = classes.select(F.col("gid").alias("a"), F.col("cid").alias("x"))
         other = classes.select(F.col("gid").alias("b"), F.col("cid").alias("y"))
         both = pairs.join(own, "a").join(other, "b").where("x != y")
@@ -297,35 +295,36 @@ class JaccardJoin:
         """Documents, classes with the component of each, and the sets of the classes that any link was found for."""
         space, percent = self.space, self.percent
         docs, classes, groups, buckets = self.prepare()
-        prefixes = groups.select(F.col("gid").alias("cid"), "n", "prefix")
         # the groups of a bucket that are close in size meet a leader: the one with the fewest rare shingles, so most like the others
         band = F.floor(F.log("n") / float(np.log(100 / percent))).alias("band")
-        leaders = space.write(
+        leaders = (
             buckets.groupBy("token", band).agg(F.min(F.struct("place", -F.col("copies"), "gid", "n")).alias("top"))
-            .select("token", "band", F.col("top.gid").alias("leader"), F.col("top.n").alias("leader_n"), F.col("top.place").alias("leader_place")), "leaders")
+            .select("token", "band", F.col("top.gid").alias("leader"), F.col("top.n").alias("leader_n"), F.col("top.place").alias("leader_place")))
         buckets = buckets.withColumn("band", band)
         star = buckets.join(leaders, ["token", "band"]).where((F.col("gid") != F.col("leader")) & _reach(F.col("n"), F.col("place"), F.col("leader_n"), F.col("leader_place"), percent))
-        star = space.write(self.allowed(star.select(F.col("leader").alias("a"), F.col("gid").alias("b")).distinct(), prefixes), "star-groups")
-        # the leader's first class meets all classes of the other group, and each group's first class the group's others
-        members = classes.where("cid != gid").select(F.col("gid").alias("g"), F.col("cid").alias("x"))
-        heads = star.select("a", "b").union(star.join(members, F.col("b") == F.col("g")).select("a", "x")).union(members.select("g", "x"))
-        star = space.write(heads.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "star")
+        star = self.allowed(star.select(F.col("leader").alias("a"), F.col("gid").alias("b")).distinct(), groups)
+        # the first class of a leader meets all classes of another group, and that of any group the group's others
+        heads = groups.select(F.col("gid").alias("a"), F.col("head").alias("x"))
+        own = classes.select(F.col("gid").alias("b"), F.col("cid").alias("y"))
+        within = heads.join(groups.where("members > 1").select(F.col("gid").alias("a"), F.col("gid").alias("b")), "a").join(own, "b").select("x", "y")
+        across = star.join(heads, "a").join(own, "b").select("x", "y")
+        star = space.write(across.unionByName(within).where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "star")
         first = self.linked(star, classes, "star")
-        roots = space.write(components(space, first, "first").select(F.col("id").alias("cid"), "root"), "first-roots")
+        roots = components(space, first, "first").select(F.col("id").alias("cid"), "root")
         # groups of one bucket, component, size and place; only those of different components are paired
         rooted = space.write(classes.join(roots, "cid", "left").select("cid", "gid", F.coalesce("root", "cid").alias("root")), "rooted")
         labelled = space.write(buckets.join(rooted.select("gid", "root").distinct(), "gid"), "labelled")
-        mixed = space.write(labelled.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("token"), "mixed")
+        mixed = labelled.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("token")
         part = F.pmod(F.xxhash64("gid"), F.ceil(F.col("size") / GROUP_MEMBERS).cast("long"))
         packs = space.write(labelled.join(mixed, "token").groupBy("token", "root", "n", "place", part.alias("part")).agg(F.collect_list("gid").alias("members")), "packs")
         left, right = (packs.select("token", F.col("root").alias(f"root_{x}"), F.col("n").alias(f"n_{x}"), F.col("place").alias(f"place_{x}"), F.col("members").alias(f"members_{x}")) for x in "ab")
         paired = left.join(right, "token").where((F.col("root_a") < F.col("root_b")) & _reach(F.col("n_a"), F.col("place_a"), F.col("n_b"), F.col("place_b"), percent))
         pairs = paired.select(F.explode("members_a").alias("x"), "members_b").select("x", F.explode("members_b").alias("y"))
-        pairs = space.write(self.allowed(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), prefixes), "group-pairs")
+        pairs = self.allowed(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), groups)
         apart = [rooted.select(F.col("cid").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab"]
         wanted = self.expanded(pairs, classes).join(apart[0], "a").join(apart[1], "b").where("root_a != root_b").select("a", "b").join(star, ["a", "b"], "left_anti")
         second = self.linked(space.write(wanted, "pairs"), classes, "pairs")
-        roots = space.write(components(space, first.union(second), "all").select(F.col("id").alias("cid"), "root"), "all-roots")
+        roots = components(space, first.union(second), "all").select(F.col("id").alias("cid"), "root")
         sets = [self.spark.read.parquet(f"{space.root}/{x}-sets") for x in ("star", "pairs")]
         whole = classes.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
         return docs, space.write(whole, "rooted-classes"), sets[0].unionByName(sets[1]).dropDuplicates(["cid"])
