@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from grainsieve.functions.bloom import build_bloom
 from grainsieve.functions.text import is_blank, trim_space
+from grainsieve.session import cut_lineage
 
 
 def parse_baseline(docs: DataFrame, text: str = "value") -> DataFrame:
@@ -55,11 +57,14 @@ def split_by_baseline(findings: DataFrame, baseline: DataFrame) -> tuple[DataFra
     """(kept, matched): findings outside and inside the baseline.
 
     Findings without a fingerprint are always kept; they bypass the join, so blanks never gather
-    in one task.
+    in one task.  A bounded filter of the baseline's fingerprints comes before the join, so of the findings that
+    are new only the few that it mistakes for known ones are shuffled.
     """
     blank = is_blank(F.col("fingerprint"))
-    keys = baseline.select(trim_space(F.col("fingerprint")).alias("_known")).distinct()
+    keys = cut_lineage(baseline.select(trim_space(F.col("fingerprint")).alias("_known")).distinct())
     named = findings.filter(~blank)
-    on = trim_space(F.col("fingerprint")) == F.col("_known")
-    kept = named.join(keys, on, "left_anti").unionByName(findings.filter(blank))
-    return kept, named.join(keys, on, "left_semi")
+    own = trim_space(F.col("fingerprint"))
+    known = F.coalesce(build_bloom(keys, "_known").might_contain(own), F.lit(False))
+    maybe, on = named.filter(known), own == F.col("_known")
+    kept = maybe.join(keys, on, "left_anti").unionByName(named.filter(~known)).unionByName(findings.filter(blank))
+    return kept, maybe.join(keys, on, "left_semi")
