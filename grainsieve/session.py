@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -56,6 +57,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
 
 
+def share_package(spark: SparkSession) -> None:
+    """Let Python workers on this machine import this package from where the driver has it.
+
+    A cluster whose machines lack the folder gets the package by ``--py-files`` or an installation.
+    """
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if top not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([top, *paths])
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and continue from the written table.
 

@@ -2,32 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainsieve.functions.paths import extension, language_for_path, relative_path
+from grainsieve.functions.paths import PRUNED_VENDORED_DIRS, extension, language_for_path, relative_path
 from grainsieve.functions.text import let
+from grainsieve.sources.listing import list_tree, read_contents
 
 
-def scan_files(spark: SparkSession, root: str, glob: str | None = None, max_bytes: int | None = None) -> DataFrame:
+def scan_files(spark: SparkSession, root: str, glob: str | None = None, max_bytes: int | None = None,
+               prune: Sequence[str] = PRUNED_VENDORED_DIRS) -> DataFrame:
     """Read every file below ``root``; unreadable files are skipped.
 
-    The size limit is pushed down to the listing, so larger files are never opened; a query that
-    does not use ``content`` does not read it.
+    Folders named in ``prune`` are never listed (a scan that wants vendored files gives none), files that ``glob`` or the size
+    limit leaves out are never opened.  Executors list the tree level by level; the driver sees no file names.
     """
-    reader = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("ignoreCorruptFiles", "true")
-        .option("ignoreMissingFiles", "true")
-    )
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    df = reader.load(root)
-    if max_bytes is not None:
-        df = df.filter(F.col("length") <= max_bytes)
+    df = read_contents(list_tree(spark, root, prune, glob, max_bytes))
     path = F.regexp_replace("path", r"^[a-z0-9]+:(//)?", "")
-    return _as_files(df, path, F.make_valid_utf8(F.col("content").cast("string")), F.col("length"),
+    return _as_files(df, path, F.make_valid_utf8(F.col("content").cast("string")), F.col("size"),
                      F.regexp_replace(F.lit(root), r"^[a-z0-9]+:(//)?", ""))
 
 
