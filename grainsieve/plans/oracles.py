@@ -13,7 +13,7 @@ from grainsieve.functions.normalize import CONFIDENCE_RANK, SEVERITY_RANK
 from grainsieve.functions.text import SPACE_CLASS
 from grainsieve.operators import taint as TA
 from grainsieve.operators.packages import FRAMEWORK_PACKAGES
-from grainsieve.operators.proto import EVENT_PATTERNS
+from grainsieve.operators.proto import EVENT_PATTERNS, PROTO_RULE
 from grainsieve.plans import derived as D
 from grainsieve.plans import reports as R
 from grainsieve.plans.derived import quote as q
@@ -472,6 +472,25 @@ ORACLES["proto_assignment"] = (
     f"(SELECT *, {_last('proto declare')} AS d, {_last('proto sanitize')} AS z FROM ev s WHERE s.rule_id = 'proto sink') WHERE d IS NOT NULL AND (z IS NULL OR z < d)"
 )
 
+# --- the composed scan ----------------------------------------------------------------------
+
+_SCANNED = f"{_lang} IS NOT NULL AND NOT {_is_test} AND NOT {_is_vendored} AND NOT {_pruned(_V + _T)}"
+_PROTO_ROWS = (
+    f"SELECT * EXCLUDE (d, z) REPLACE ({q(PROTO_RULE.id)} AS rule_id) FROM (SELECT *, {_last('proto declare')} AS d, {_last('proto sanitize')} AS z FROM ev s WHERE s.rule_id = 'proto sink') "
+    "WHERE d IS NOT NULL AND (z IS NULL OR z < d)"
+)
+_SCAN_SOURCE = f"SELECT *, {named('literal[1]')} AS lit_expr FROM (SELECT * FROM matches UNION ALL BY NAME {_PROTO_ROWS}) JOIN {rule_values([*_RULES, PROTO_RULE])} ON rid = rule_id"
+_SCAN_KEPT = (
+    f"SELECT * FROM ({facts(_SCAN_SOURCE, 'lit_expr')}) WHERE (lit_expr IS NULL OR NOT {_literal}) AND (ignore_name = '' OR NOT coalesce(regexp_matches({named('ignore_name')}, ignore_re), false)) "
+    f"AND (require_name = '' OR coalesce(regexp_matches({named('require_name')}, require_re), false)) AND NOT ({covers('line', False)} OR coalesce({covers('prev_line', True)}, false)) AND {_gate(2, 2)}"
+)
+_scan_columns = _enriched | {"fingerprint": fp("rule_id", "CASE WHEN starts_with(path, 'src/') THEN substr(path, 5) ELSE path END", "matched_code", "prev_line", "next_line")}
+ORACLES["rule_scan_findings"] = (
+    with_lines(f"SELECT * FROM ({CODE}) WHERE {_SCANNED}") + f", matches AS MATERIALIZED ({rule_matches(_RULES)}), ev AS MATERIALIZED ({_events}) SELECT "
+    + ", ".join(f"{_scan_columns.get(c, c)} AS \"{c}\"" for c in FINDING_KEYS) + ", array_to_string(cwe, ';') AS cwe FROM "
+    f"(SELECT *, {_code} AS matched_code, {_col0} AS c0, {_end0} AS e0, {cut('line', 120)} AS snippet FROM ({_SCAN_KEPT}))"
+)
+
 # --- propagation ----------------------------------------------------------------------------
 
 _FACTS = f"facts AS MATERIALIZED (SELECT file, pos, base, ids, pass_ids, all_ids, {names_sql('target')} AS targets FROM ({facts(D.STATEMENTS.sql)}))"
@@ -577,6 +596,10 @@ ORACLES["sarif_rules"] = (
     f"CASE {_native_conf} WHEN 'HIGH' THEN 'high' WHEN 'LOW' THEN 'low' ELSE 'medium' END AS p FROM ({D.NATIVE_RULES.sql})) GROUP BY 1"
 )
 ORACLES["sarif_rules"] = f"SELECT * REPLACE (nullif(tags, chr(1)) AS tags) FROM ({ORACLES['sarif_rules']})"
+ORACLES["sarif_document"] = (
+    "SELECT rule_id, level, message, uri, start_line, end_column, snippet, framework, severity, tags, fingerprint, count(*) AS results "
+    f"FROM ({ORACLES['sarif_results']}) GROUP BY ALL"
+)
 
 # --- versions and packages ------------------------------------------------------------------
 
@@ -708,6 +731,10 @@ ORACLES["intel_merge"] = (
     f"SELECT id, ecosystem, package, source FROM feed UNION ALL SELECT id, ecosystem, package, 'seed' FROM ({D.ADVISORIES_A.sql}) WHERE id NOT IN (SELECT id FROM feed)"
 )
 ORACLES["package_table"] = f"SELECT '| ' || concat_ws(' | ', project_path, scope, package, declared_version) || ' |' AS line FROM ({D.PACKAGES.sql})"
+ORACLES["intel_written"] = ORACLES["intel_merge"]
+_json_texts = lambda columns, lists: ", ".join(f"coalesce(\"{c}\", '') AS \"{c}\"" for c in columns if c not in lists)
+ORACLES["advisory_json_rows"] = f"{_MATCHES} SELECT {_json_texts(R.ADVISORY_CSV, ('aliases', 'references'))} FROM mt"
+ORACLES["compromised_json_rows"] = f"SELECT {_json_texts(R.COMPROMISED_CSV, ('iocs',))} FROM ({_CM})"
 
 # --- manifests ------------------------------------------------------------------------------
 

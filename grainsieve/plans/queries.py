@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,11 +32,12 @@ from grainsieve.operators.rule_scan import (
 from grainsieve.operators.scripts import manifest_documents, name_scripts, saved_counts, script_manifest
 from grainsieve.operators.suppression import is_suppressed
 from grainsieve.plans import derived as D
-from grainsieve.session import cut_lineage, spread
+from grainsieve.session import checkpoint_dir, cut_lineage, spread
 from grainsieve.plans import gates as G
 from grainsieve.plans import reports as R
 from grainsieve.plans import summaries as S
-from grainsieve.plans.scan import page_sources
+from grainsieve.plans.scan import ScanOptions, page_sources
+from grainsieve.plans.scan import rule_scan as composed_scan
 from grainsieve.sources import intel as I
 from grainsieve.sources import manifests as M
 from grainsieve.sources.corpus import files_from_table, to_lines
@@ -259,6 +261,15 @@ ARG_RULE = Rule("CALL-ARGS", "LOW", language="JavaScript", pattern=r"\b(\w+)\(([
                 capture_names=["fn", "args"], requires_literal=["("], min_arg_count=1, max_arg_count=2)
 
 
+SCAN_OPTIONS = ScanOptions(min_severity="MEDIUM", min_confidence="MEDIUM", root="src")
+
+
+def rule_scan_findings(spark, d):
+    """The composed scan: files, rules and events in one pass, capture filters, prototype keys, suppressions, thresholds."""
+    found = composed_scan(code_files(spark, d), options=SCAN_OPTIONS, taint=False)
+    return _long_ints(found.select(*FINDING_KEYS, _cat("cwe")))
+
+
 def arg_count(spark, d):
     matches = with_rule(scan_rules(code_files(spark, d), [ARG_RULE]), rules_table(spark, [ARG_RULE]))
     n = TA.argument_count(F.try_element_at(F.col("captured"), F.lit("args")))
@@ -387,6 +398,49 @@ def all_findings(spark, d):
     return both.groupBy(N.default_kind(F.col("kind")).alias("kind"), "severity").count()
 
 
+def sarif_document(spark, d):
+    """The results of a written SARIF document, read back from its lines."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/sarif-{uuid.uuid4().hex}"
+    R.write_sarif(findings(spark, d), rules_table(spark, builtin_rules()), path, "src")
+    text = "struct<text:string>"
+    place = f"array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:bigint,startColumn:bigint,endLine:bigint,endColumn:bigint,snippet:{text}>>>>"
+    schema = f"ruleId string, level string, message {text}, locations {place}, properties struct<framework:string,severity:string,confidence:string,tags:array<string>>, partialFingerprints map<string,string>"
+    lines = spark.read.text(path).filter(F.startswith("value", F.lit('{"ruleId"')))
+    # a row ends the document's list without a comma, all others with one
+    ended = F.endswith("value", F.lit(","))
+    r = lines.select(ended.alias("goes_on"), F.from_json(F.regexp_replace("value", ",$", ""), schema).alias("r")).select("goes_on", "r.*")
+    at = F.col("locations")[0]["physicalLocation"]
+    zero = lambda c: F.coalesce(at["region"][c], F.lit(0))
+    return r.groupBy(
+        F.col("ruleId").alias("rule_id"), "level", F.col("message.text").alias("message"), at["artifactLocation"]["uri"].alias("uri"),
+        zero("startLine").alias("start_line"), zero("endColumn").alias("end_column"), at["region"]["snippet"]["text"].alias("snippet"),
+        F.col("properties.framework").alias("framework"), F.col("properties.severity").alias("severity"), F.array_join("properties.tags", ";").alias("tags"),
+        F.try_element_at("partialFingerprints", F.lit(R.FINGERPRINT_KEY)).alias("fingerprint")).agg(F.count("*").alias("results"))
+
+
+def _parsed(rows: DataFrame, source: DataFrame, columns) -> DataFrame:
+    """JSON rows read back; left-out texts are empty."""
+    texts = [c for c in columns if source.schema[c].dataType.typeName() == "string"]
+    return rows.select(F.from_json("row", ", ".join(f"`{c}` string" for c in texts)).alias("r")).select(*[F.coalesce(F.col(f"r.{c}"), F.lit("")).alias(c) for c in texts])
+
+
+def advisory_json_rows(spark, d):
+    matches = advisory_matches_df(spark, d)
+    return _parsed(R.matches_json_rows(matches, R.ADVISORY_CSV), matches, R.ADVISORY_CSV)
+
+
+def compromised_json_rows(spark, d):
+    matches = compromised_matches_df(spark, d)
+    return _parsed(R.matches_json_rows(matches, R.COMPROMISED_CSV), matches, R.COMPROMISED_CSV)
+
+
+def intel_written(spark, d):
+    """The merged intel as its writer leaves it."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/intel-{uuid.uuid4().hex}"
+    R.write_intel(intel_merge(spark, d), path)
+    return spark.read.schema("id string, ecosystem string, package string, source string").json(path)
+
+
 def gates(spark, d):
     kept, _ = B.split_by_baseline(findings(spark, d), _baseline(spark, d))
     return _long_ints(G.all_gates(
@@ -595,6 +649,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rule_scan": rule_scan,
     "rule_scan_pages": rule_scan_pages,
     "findings_enriched": findings_enriched,
+    "rule_scan_findings": rule_scan_findings,
     "capture_filters": capture_filters_q,
     "arg_count": arg_count,
     "suppressions": suppressions,
@@ -619,6 +674,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "findings_csv_rows": lambda s, d: _long_ints(R.findings_csv(findings(s, d))),
     "sarif_results": sarif_results,
     "sarif_rules": sarif_rules,
+    "sarif_document": sarif_document,
     "all_findings": all_findings,
     "gates": gates,
     "gate_categories": lambda s, d: _long_ints(G.category_gate(findings(s, d), "Secrets Exposure, Injection , ,privacy risk")),
@@ -640,11 +696,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "advisory_ranges": advisory_ranges,
     "compromised_rules": compromised_rules,
     "intel_merge": intel_merge,
+    "intel_written": intel_written,
     "advisory_matches": lambda s, d: _light(advisory_matches_df(s, d)),
     "advisory_policy": advisory_policy,
     "advisory_summary": lambda s, d: S.advisory_summary(advisory_matches_df(s, d)),
     "advisory_csv_rows": lambda s, d: R.advisory_csv(advisory_matches_df(s, d)),
     "compromised_matches": lambda s, d: compromised_matches_df(s, d).drop("iocs"),
+    "advisory_json_rows": advisory_json_rows,
+    "compromised_json_rows": compromised_json_rows,
     "compromised_csv_rows": lambda s, d: R.compromised_csv(compromised_matches_df(s, d)),
     "dependency_findings": dependency_findings,
     "page_scripts": page_scripts,

@@ -7,7 +7,9 @@ part files concatenate to the document.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from grainsieve.functions.normalize import (
@@ -18,6 +20,7 @@ from grainsieve.functions.paths import relative_path
 from grainsieve.functions.text import is_blank, trim_space
 from grainsieve.operators.baseline import build_baseline
 from grainsieve.operators.rule_scan import FINDING_COLUMNS
+from grainsieve.session import cut_lineage
 from grainsieve.plans.summaries import category_counts, framework_counts, inventory_by, inventory_totals, report_totals
 
 # Report columns, SARIF version and schema.
@@ -138,6 +141,17 @@ def _omit_empty(df: DataFrame, columns) -> Column:
     return F.to_json(F.struct(*fields))
 
 
+def matches_json_rows(matches: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Advisory or compromised matches as JSON, without empty fields."""
+    return matches.select(_omit_empty(matches, columns).alias("row"))
+
+
+def write_matches_report(matches: DataFrame, columns: Sequence[str], path: str, target: str, timestamp: str) -> None:
+    """Header JSON and one JSON line for each advisory or compromised match, next to each other."""
+    matches_header(matches, target, timestamp).withColumnRenamed("header", "value").write.mode("overwrite").text(path + "/header")
+    matches_json_rows(matches, columns).withColumnRenamed("row", "value").write.mode("overwrite").text(path + "/findings")
+
+
 def findings_json_rows(findings: DataFrame) -> DataFrame:
     return findings.select(_omit_empty(findings, FINDING_COLUMNS).alias("row"))
 
@@ -213,8 +227,9 @@ def sarif_rule_json(rules: DataFrame) -> DataFrame:
 def document_lines(sections: list[tuple[str, DataFrame | None, str]]) -> DataFrame:
     """Ordered lines (part, key, line) of one document.
 
-    Each section is (opening line, rows or None, key column); rows have the key column and ``row``.
-    All rows but the last of a section end with a comma; the last one is found by its key.
+    Each section is (opening line, rows or None, key column); rows have the key column, whose values differ, and ``row``.
+    All rows but the last of a section end with a comma.  Rows are computed and written once; the last key is a maximum
+    over the written key column, so neither finding it nor sorting the lines computes a row again.
     """
     out: DataFrame | None = None
     spark = next(rows for _, rows, _ in sections if rows is not None).sparkSession
@@ -224,12 +239,12 @@ def document_lines(sections: list[tuple[str, DataFrame | None, str]]) -> DataFra
         out = head if out is None else out.unionByName(head)
         part += 1
         if rows is not None:
-            last = rows.agg(F.max(key).alias("_last"))
-            body = rows.crossJoin(last).select(
-                F.lit(part).alias("part"), F.col(key).alias("key"),
-                F.concat("row", F.when(F.col(key) == F.col("_last"), F.lit("")).otherwise(F.lit(","))).alias("line"),
-            )
-            out = out.unionByName(body)
+            written = cut_lineage(rows.select(F.col(key).cast("string").alias("key"), "row"))
+            last = written.agg(F.max("key")).first()[0]
+            out = out.unionByName(written.select(
+                F.lit(part).alias("part"), "key",
+                F.concat("row", F.when(F.col("key") == F.lit(last), F.lit("")).otherwise(F.lit(","))).alias("line"),
+            ))
             part += 1
     return out
 
@@ -243,9 +258,23 @@ def baseline_document(findings: DataFrame, generated_at: str) -> DataFrame:
     ])
 
 
-def write_document(lines: DataFrame, path: str) -> None:
-    """Write ordered lines; the part files, in name order, concatenate to the document."""
+def write_document(lines: DataFrame, path: str) -> DataFrame:
+    """Write ordered lines; the part files, in the order of the manifest, concatenate to the document.
+
+    The manifest (``part, file, bytes, start``, the place in the whole document of each file's first byte) comes from the
+    listing of what was committed, so a copy by ranges can put the files together without reading them twice.
+    """
     lines.orderBy("part", "key").select(F.col("line").alias("value")).write.mode("overwrite").text(path)
+    return document_manifest(lines.sparkSession, path)
+
+
+def document_manifest(spark: SparkSession, path: str) -> DataFrame:
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(
+        F.substring_index("path", "/", -1).alias("file"), F.col("length").alias("bytes"))
+    along = Window.orderBy("file")  # one row for each part file
+    return files.select(
+        F.row_number().over(along).alias("part"), "file", "bytes",
+        F.coalesce(F.sum("bytes").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -260,13 +289,12 @@ def write_findings_report(findings: DataFrame, path: str, target: str, timestamp
     findings_json_rows(findings).withColumnRenamed("row", "value").write.mode("overwrite").text(path + "/findings")
 
 
-def write_sarif(findings: DataFrame, rules: DataFrame, path: str, root: str | None = None) -> None:
-    """A SARIF document as ordered lines."""
+def write_sarif(findings: DataFrame, rules: DataFrame, path: str, root: str | None = None) -> DataFrame:
+    """A SARIF document as ordered lines; returns its manifest."""
     results = sarif_results(findings, rules, root)
-    # equal rows are numbered, so a row's key is the same however often and wherever it is computed
-    counted = sarif_result_json(results).groupBy("row").agg(F.count("*").alias("n"))
-    keyed = counted.select("row", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i")).select(
-        F.concat_ws("-", F.sha2("row", 256), F.lpad(F.col("i").cast("string"), 19, "0")).alias("k"), "row")
+    # a row's key is its digest, so the order is the same however the rows are dealt, and a number that tells equal rows apart
+    keyed = cut_lineage(sarif_result_json(results).withColumn("i", F.monotonically_increasing_id())).select(
+        F.concat_ws("-", F.sha2("row", 256), F.lpad(F.col("i").cast("string"), 20, "0")).alias("k"), "row")
     head = (
         '{"version":"' + SARIF_VERSION + '","$schema":"' + SARIF_SCHEMA
         + '","runs":[{"tool":{"driver":{"name":"grainsieve","rules":['
@@ -276,7 +304,7 @@ def write_sarif(findings: DataFrame, rules: DataFrame, path: str, root: str | No
         (']}},"results":[', keyed, "k"),
         ("]}]}", None, ""),
     ])
-    write_document(lines, path)
+    return write_document(lines, path)
 
 
 def write_intel(merged: DataFrame, path: str) -> None:

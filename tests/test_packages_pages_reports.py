@@ -9,7 +9,7 @@ from grainsieve.operators.packages import apply_policy, dependency_findings, mat
 from grainsieve.operators.scripts import name_scripts, script_manifest
 from grainsieve.plans.gates import advisory_severity_gate, all_gates, category_gate, new_findings_gate, parse_categories
 from grainsieve.operators.filters import rules_for_project
-from grainsieve.plans.reports import baseline_document, findings_csv, write_csv, write_document, write_findings_report, write_sarif
+from grainsieve.plans.reports import baseline_document, document_manifest, findings_csv, write_csv, write_document, write_findings_report, write_sarif
 from grainsieve.plans.scan import inventory_scan, page_sources, rule_scan
 from grainsieve.sources.corpus import files_from_table, scan_files
 from grainsieve.sources.intel import advisory_ranges, compromised_versions, merge_intel
@@ -133,6 +133,9 @@ def test_reports_on_disk(spark, tmp_path):
     assert [r.match for r in inventory_scan(files).filter("match_kind = 'literal'").collect()] == ["a@b.org"]
     write_sarif(found, rules_table(spark, builtin_rules()), str(tmp_path / "sarif"), str(tmp_path / "src"))
     doc = json.loads("".join(open(p).read() for p in sorted(glob.glob(str(tmp_path / "sarif" / "part-*")))))
+    manifest = document_manifest(spark, str(tmp_path / "sarif")).orderBy("part").collect()
+    whole = "".join(open(tmp_path / "sarif" / r.file).read() for r in manifest)
+    assert json.loads(whole) == doc and [r.start for r in manifest] == [sum(m.bytes for m in manifest[:k]) for k in range(len(manifest))]
     run = doc["runs"][0]
     assert len(run["tool"]["driver"]["rules"]) == 87 and len(run["results"]) == 2
     assert {r["locations"][0]["physicalLocation"]["artifactLocation"]["uri"] for r in run["results"]} == {"a.js"}
