@@ -384,15 +384,23 @@ ARGUMENT_PIECES = rf"""{_QUOTED}|[()\[\]{{}},"'`]|[^()\[\]{{}},"'`]+"""
 
 
 def _arguments(expr: Column) -> Column:
-    """Top-level arguments of an argument list, in order, at any depth of nesting."""
-    first = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("i"), F.array(F.lit(0)).alias("at"))
+    """Top-level arguments of an argument list, in order, at any depth of nesting.
+
+    One walk over the pieces with a stack of the brackets that are open.  A closing bracket ends the last open one of its
+    own kind and those inside it, which then had no partner; without one of its kind it is text.
+    """
+    closers = {"(": ")", "[": "]", "{": "}"}
+    first = F.struct(F.lit("").alias("open"), F.lit(0).alias("i"), F.array(F.lit(0)).alias("at"))
 
     def step(acc: Column, t: Column) -> Column:
-        """``at``: the places of the commas outside all brackets."""
-        depth = F.when(t.isin("(", "[", "{"), acc["depth"] + 1).when(
-            t.isin(")", "]", "}"), F.greatest(acc["depth"] - 1, F.lit(0))).otherwise(acc["depth"])
-        at = F.when((t == ",") & (acc["depth"] == 0), F.concat(acc["at"], F.array(acc["i"] + 1))).otherwise(acc["at"])
-        return F.struct(depth.alias("depth"), (acc["i"] + 1).alias("i"), at.alias("at"))
+        """``open``: what the open brackets wait for; ``at``: the places of the commas outside all brackets."""
+        stack = acc["open"]
+        for opening, closing in closers.items():
+            stack = F.when(t == opening, F.concat(acc["open"], F.lit(closing))).otherwise(stack)
+        partner = F.call_function("instr", F.reverse(acc["open"]), t)
+        stack = F.when(t.isin(*closers.values()) & (partner > 0), F.substring(acc["open"], F.lit(1), F.length(acc["open"]) - partner)).otherwise(stack)
+        at = F.when((t == ",") & (acc["open"] == ""), F.concat(acc["at"], F.array(acc["i"] + 1))).otherwise(acc["at"])
+        return F.struct(stack.alias("open"), (acc["i"] + 1).alias("i"), at.alias("at"))
 
     def cut(tokens: Column) -> Column:
         """The tokens between one comma and the next."""
@@ -403,6 +411,11 @@ def _arguments(expr: Column) -> Column:
     return F.filter(let(tokens, cut), lambda a: a != "")
 
 
+def split_arguments(expr: Column) -> Column:
+    """The arguments of an argument list text, trimmed; empty ones are left out."""
+    return _arguments(expr)
+
+
 def argument_count(args: Column) -> Column:
     """Number of arguments in an argument list text."""
     return F.size(_arguments(args))

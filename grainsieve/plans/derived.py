@@ -429,6 +429,8 @@ _TAGS = (
     "<script data-src=\"/no.js\">inline#K#();</script><script src=\"../../up/%2e%2e/%C3%A9.js\"></script>",
     "<script><!-- hidden#K#(); //--></script><script>var a = '<!--';</script><script src=\"/after.js\"></script><!-- x -->",
     "<script src=\"/\"></script><script src=\"/dir/\"></script><script src=\"/bad%zz.js\"></script>",
+    "<textarea><script src=\"/no-text.js\"></script></textarea><TITLE>a <script>no#K#()</script></TITLE><script src=\"/q.js?a=1&#x26;b=&#50;&amp;#51;&#38;lt;&apos;&nbsp;&#0;&#x1F600;&bogus;\"></script>",
+    "<style>.a { content: '<script>no()</script>' }</style><script src='/&#x2f;&#47;x#K#.js'></script><script>open#K#(); // never closed",
 )
 PAGES = Derived("pages", {
     "page_id": raw("page_id"),
@@ -456,6 +458,15 @@ STATEMENTS = Derived("events", {
         A=pick(_VARS, "(event_id * 4 + user_id) % 9"), B=pick(_VARS, "(event_id * 2 + user_id * 5) % 9"),
     ),
 })
+#: Nested, mixed and unbalanced brackets, and brackets in texts.
+_ARGUMENTS = (
+    "#A#, f(g([1, 2], {k: [3, (4, 5)]}), 6)", "([#A#), #B#", "#A#], #B#", "f(#A#, #B#", "{[(#A#, 1)], 2}, #B#", "'(', #A#, \"]\", `{`", "((((#A#, 1), 2), 3), 4), #B#",
+    "", " , #A#,, ", "[#A#, (1, 2], 3), #B#", "(#A#}, 1), #B#", "}{, #A#", "f(#A#)(#B#, 2)[3, 4], 5",
+)
+ARGUMENTS = Derived("events", {
+    "event_id": raw("event_id"),
+    "args": fill(pick(_ARGUMENTS, f"(event_id + user_id) % {len(_ARGUMENTS)}"), A=pick(_VARS, "(event_id * 5 + 1) % 9"), B=string("event_id")),
+})
 _SINKS = ("#A#", "#A#, 'x'", "\"lit\", #A#", "", "'a', 'b'", "encodeURI(#A#)", "req.query.q", "#A# + #B#", "foo(#A#), [#B#, 1]")
 SINKS = Derived("events", {
     "sink_id": string("event_id"),

@@ -440,6 +440,19 @@ ORACLES["arg_count"] = (
     f"FROM ({all_matches('lines', ARG_RULE.id, ARG_RULE.pattern, 2, where='language = ' + q('javascript'))}) "
     f"WHERE {trim('captures[2]')} = '' OR len({_args}) BETWEEN 1 AND 2"
 )
+_closer = "CASE t[i] WHEN '(' THEN ')' WHEN '[' THEN ']' WHEN '{' THEN '}' END"
+ORACLES["argument_split"] = f"""
+WITH RECURSIVE src AS (SELECT args, regexp_extract_all(args, {q(TA.ARGUMENT_PIECES)}) AS t FROM (SELECT DISTINCT args FROM ({D.ARGUMENTS.sql}))),
+walk AS (
+  SELECT args, t, 0 AS i, '' AS open, 1 AS arg, '' AS piece FROM src
+  UNION ALL
+  SELECT args, t, i, CASE WHEN {_closer} IS NOT NULL THEN open || {_closer} WHEN t[i] IN (')', ']', '}}') AND contains(open, t[i]) THEN left(open, length(open) - instr(reverse(open), t[i])) ELSE open END,
+    CASE WHEN t[i] = ',' AND open = '' THEN arg + 1 ELSE arg END, CASE WHEN t[i] = ',' AND open = '' THEN '' ELSE t[i] END
+  FROM (SELECT args, t, i + 1 AS i, open, arg FROM walk WHERE i < len(t))
+), parts AS (
+  SELECT args, arg, {trim("string_agg(piece, '' ORDER BY i)")} AS argument FROM walk GROUP BY args, arg
+)
+SELECT event_id, row_number() OVER (PARTITION BY event_id ORDER BY arg) AS place, argument FROM ({D.ARGUMENTS.sql}) JOIN parts USING (args) WHERE argument <> ''"""
 _DIR = r"(?i)scanner-(disable-(line|next-line)|expected(?:-next-line)?)\b([^*\n\r]*)"
 
 
@@ -842,13 +855,15 @@ UNION ALL SELECT * FROM locked WHERE relationship = 'transitive'"""
 def attribute(name: str) -> str:
     p = q(PG.attribute_pattern(name))
     value = " || ".join(f"coalesce(regexp_extract(attrs, {p}, {k}), '')" for k in (1, 2, 3))
-    value = f"({value})"
-    for entity, char in PG.ENTITIES:
-        value = f"replace({value}, {q(entity)}, {q(char)})"
-    return trim(value)
+    name = "r[2:-2]"
+    number = f"CASE WHEN starts_with(lower({name}), '#x') THEN CAST('0x' || {name}[3:] AS BIGINT) ELSE CAST({name}[2:] AS BIGINT) END"
+    spelled = f"CASE WHEN starts_with({name}, '#') THEN (CASE WHEN {number} BETWEEN 1 AND 55295 OR {number} BETWEEN 57344 AND 1114111 THEN chr(CAST({number} AS INTEGER)) ELSE chr(65533) END) ELSE {case_map(name, list(PG.ENTITIES.items()))} END"
+    refs, pieces = f"list_transform(regexp_extract_all(({value}), {q(PG.REFERENCE)}), lambda r: {spelled})", f"regexp_split_to_array(({value}), {q(PG.REFERENCE)})"
+    return trim(f"array_to_string(list_transform(list_zip({pieces}, {refs}), lambda z: z[1] || coalesce(z[2], '')), '')")
 
 
-_script = q(r"""(?is)<!--.*?-->|<script\b((?:[^>"']|"[^"]*"|'[^']*')*)>(.*?)</script\s*>""")
+_texts = "|".join(rf"<{t}\b[^>]*>.*?(?:</{t}\s*>|\z)" for t in PG.TEXT_ELEMENTS)
+_script = q(rf"""(?is)<!--.*?(?:-->|\z)|{_texts}|<script\b((?:[^>"']|"[^"]*"|'[^']*')*)>(.*?)(?:</script\s*>|\z)""")
 _TAGS_SQL = (
     f"SELECT page_id, url, as_[i] AS attrs, bs[i] AS raw_body, i FROM (SELECT *, unnest(range(1, len(as_) + 1)) AS i FROM (SELECT page_id, url, regexp_extract_all(doc, {_script}, 1) AS as_, "
     f"regexp_extract_all(doc, {_script}, 2) AS bs FROM (SELECT page_id, url, html AS doc FROM ({D.PAGES.sql}) WHERE regexp_matches(url, '^(?i)https?:'))))"

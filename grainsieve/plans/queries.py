@@ -278,6 +278,11 @@ def arg_count(spark, d):
     )
 
 
+def argument_split(spark, d):
+    args = D.ARGUMENTS.frame(spark, d).select("event_id", F.posexplode(TA.split_arguments(F.col("args"))).alias("i", "argument"))
+    return args.select("event_id", (F.col("i") + 1).cast("long").alias("place"), "argument")
+
+
 def suppressions(spark, d):
     return code_matches(spark, d).select(
         "path", "rule_id", F.col("line_no").cast("long").alias("line_no"), (F.col("start") + 1).cast("long").alias("column"),
@@ -652,6 +657,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rule_scan_findings": rule_scan_findings,
     "capture_filters": capture_filters_q,
     "arg_count": arg_count,
+    "argument_split": argument_split,
     "suppressions": suppressions,
     "proto_assignment": proto_assignment,
     "taint_classify": taint_classify,
