@@ -34,6 +34,8 @@ PERCENT = 80
 #: log2 of the number of counters of the sketch, and members of a group that are paired as one.
 SKETCH_BITS = 20
 GROUP_MEMBERS = 256
+#: Classes up to which a component meets others pair by pair.
+SMALL_COMPONENT = 8
 #: Shingles and sets of a block of a component, and shingles that a matrix product takes at a time.
 BLOCK_SHINGLES = 1 << 16
 BLOCK_SETS = 512
@@ -191,10 +193,11 @@ class JaccardJoin:
         joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "prefix_a", "prefix_b")
         return joined.mapInArrow(run, "a bigint, b bigint")
 
-    def linked(self, pairs: DataFrame, classes: DataFrame, name: str) -> DataFrame:
-        """The pairs whose whole sets reach the threshold; texts are read again for their members only."""
+    def linked(self, pairs: DataFrame, classes: DataFrame, name: str, more: DataFrame | None = None) -> DataFrame:
+        """The pairs whose whole sets reach the threshold; texts are read again for their members, and for classes in ``more``."""
         words, percent = self.words, self.percent
-        ids = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
+        ids = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid")))
+        ids = (ids if more is None else ids.union(more.select("cid"))).distinct()
         wanted = classes.join(ids, "cid", "left_semi").select("cid", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,11 +232,13 @@ class JaccardJoin:
         """
         space = self.space
         docs = space.write(self.sets(), "docs")
+        own = docs.where("n > 0").withColumn("gid", F.xxhash64("n", "prefix"))
         classes = space.write(
-            docs.where("n > 0").groupBy("n", "d1", "d2", "prefix")
+            own.groupBy("n", "d1", "d2", "gid")
             .agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.count("*").alias("copies"))
-            .withColumns({"cid": F.monotonically_increasing_id(), "gid": F.xxhash64("n", "prefix")}), "classes")
-        groups = space.write(classes.groupBy("gid", "n", "prefix").agg(F.min("cid").alias("head"), F.count("*").alias("members"), F.sum("copies").alias("copies")), "groups")
+            .withColumn("cid", F.monotonically_increasing_id()), "classes")
+        sizes = classes.groupBy("gid").agg(F.min("cid").alias("head"), F.count("*").alias("members"), F.sum("copies").alias("copies"))
+        groups = space.write(own.select("gid", "n", "prefix").distinct().join(sizes, "gid"), "groups")
         places = groups.select("gid", "n", "copies", F.posexplode("prefix").alias("place", "shingle"))
         mark = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), F.col("gid")))
         shared = places.groupBy("shingle").agg(F.count("*").alias("size"), F.struct(mark(1), mark(2)).alias("token")).where("size > 1")
@@ -248,22 +253,19 @@ class JaccardJoin:
         both = pairs.join(own, "a").join(other, "b").where("x != y")
         return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
-    def component_links(self, members: DataFrame, sets: DataFrame, count: bool) -> DataFrame:
-        """All links within components: ``a, b``, or with ``count`` the rows of other classes linked to a class, ``cid, others``.
-
-        ``members`` has ``cid, root, n, copies`` of classes in components of two or more, ``sets`` their shingles.
-        """
-        percent = self.percent
-        band = F.floor(F.log("n") / float(np.log(100 / percent)))
+    def blocks(self, members: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+        """The sets of components in bounded blocks: ``root, block (band, part), sets``; ``members`` has ``cid, root, n, copies``."""
+        band = F.floor(F.log("n") / float(np.log(100 / self.percent)))
         spread = members.withColumn("band", band)
         weight = F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_SETS)).cast("long")
         parts = spread.groupBy("root", "band").agg(weight.alias("parts"))
         placed = spread.join(parts, ["root", "band"]).withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts"))).join(sets, "cid")
-        blocks = self.space.write(placed.groupBy("root", "band", "part").agg(
-            F.collect_list(F.struct("cid", "copies", "shingles")).alias("sets")), "blocks")  # bounded by BLOCK_SHINGLES and BLOCK_SETS
-        # sets that reach the threshold differ by one band at most
-        sides = [blocks.select(F.col("root"), F.struct("band", "part").alias(f"block_{x}"), F.col("sets").alias(f"sets_{x}")) for x in "ab"]
-        met = sides[0].join(sides[1], "root").where((F.col("block_a") <= F.col("block_b")) & (F.col("block_b.band") - F.col("block_a.band") <= 1))
+        return self.space.write(placed.groupBy("root", F.struct("band", "part").alias("block")).agg(
+            F.collect_list(F.struct("cid", "copies", "shingles")).alias("sets")), name)  # bounded by BLOCK_SHINGLES and BLOCK_SETS
+
+    def compared(self, met: DataFrame, count: bool) -> DataFrame:
+        """The links between the sets of two blocks, ``same, sets_a, sets_b``: ``a, b``, or with ``count`` the rows linked to a class, ``cid, others``."""
+        percent = self.percent
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -286,11 +288,28 @@ class JaccardJoin:
                         ends = cids[0][x], cids[1][y]
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(*ends)), pa.array(np.maximum(*ends))], ["a", "b"])
 
-        pairs = met.select((F.col("block_a") == F.col("block_b")).alias("same"), "sets_a", "sets_b")
-        # a row holds two blocks: a few of them are a batch
-        found = pairs.mapInArrow(run, "cid bigint, others bigint" if count else "a bigint, b bigint")
+        found = met.select("same", "sets_a", "sets_b").mapInArrow(run, "cid bigint, others bigint" if count else "a bigint, b bigint")
         return found.groupBy("cid").agg(F.sum("others").alias("others")) if count else found
 
+    def component_links(self, members: DataFrame, sets: DataFrame, count: bool) -> DataFrame:
+        """All links within components: ``a, b``, or with ``count`` the rows of other classes linked to a class, ``cid, others``.
+
+        ``members`` has ``cid, root, n, copies`` of classes in components of two or more, ``sets`` their shingles.
+        """
+        blocks = self.blocks(members, sets, "blocks")
+        sides = [blocks.select("root", F.col("block").alias(f"block_{x}"), F.col("sets").alias(f"sets_{x}")) for x in "ab"]
+        # sets that reach the threshold differ by one band at most
+        met = sides[0].join(sides[1], "root").where((F.col("block_a") <= F.col("block_b")) & (F.col("block_b.band") - F.col("block_a.band") <= 1))
+        return self.compared(met.withColumn("same", F.col("block_a") == F.col("block_b")), count)
+
+    def links_across(self, met_roots: DataFrame, rooted: DataFrame, sets: DataFrame) -> DataFrame:
+        """Links between components (root_a, root_b) of which some groups met, block against block."""
+        ids = met_roots.select(F.col("root_a").alias("root")).union(met_roots.select("root_b")).distinct()
+        blocks = self.blocks(rooted.join(ids, "root").select("cid", "root", "n", "copies"), sets, "blocks-across")
+        sides = [blocks.select(F.col("root").alias(f"root_{x}"), F.col("block").alias(f"block_{x}"), F.col("sets").alias(f"sets_{x}")) for x in "ab"]
+        met = met_roots.join(sides[0], "root_a").join(sides[1], "root_b").where(F.abs(F.col("block_b.band") - F.col("block_a.band")) <= 1)
+        return self.space.write(self.compared(met.withColumn("same", F.lit(False)), False), "links-across")
+
     def classes_with_roots(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Documents, classes with the component of each, and the sets of the classes that any link was found for."""
         space, percent = self.space, self.percent
@@ -312,20 +331,30 @@ class JaccardJoin:
         first = self.linked(star, classes, "star")
         roots = components(space, first, "first").select(F.col("id").alias("cid"), "root")
         # groups of one bucket, component, size and place; only those of different components are paired
-        rooted = space.write(classes.join(roots, "cid", "left").select("cid", "gid", F.coalesce("root", "cid").alias("root")), "rooted")
-        labelled = space.write(buckets.join(rooted.select("gid", "root").distinct(), "gid"), "labelled")
+        rooted = classes.join(roots, "cid", "left").select("cid", "gid", "n", "copies", F.coalesce("root", "cid").alias("root"))
+        rooted = space.write(rooted.join(rooted.groupBy("root").agg((F.count("*") > SMALL_COMPONENT).alias("large")), "root"), "rooted")
+        labelled = space.write(buckets.join(rooted.select("gid", "root", "large").distinct(), "gid"), "labelled")
+        space.drop("buckets")
         mixed = labelled.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("token")
-        part = F.pmod(F.xxhash64("gid"), F.ceil(F.col("size") / GROUP_MEMBERS).cast("long"))
-        packs = space.write(labelled.join(mixed, "token").groupBy("token", "root", "n", "place", part.alias("part")).agg(F.collect_list("gid").alias("members")), "packs")
-        left, right = (packs.select("token", F.col("root").alias(f"root_{x}"), F.col("n").alias(f"n_{x}"), F.col("place").alias(f"place_{x}"), F.col("members").alias(f"members_{x}")) for x in "ab")
+        part = F.when(F.col("large"), 0).otherwise(F.pmod(F.xxhash64("gid"), F.ceil(F.col("size") / GROUP_MEMBERS).cast("long")))
+        packs = space.write(labelled.join(mixed, "token").groupBy("token", "root", "large", "n", "place", part.alias("part")).agg(
+            F.collect_list(F.when(~F.col("large"), F.col("gid"))).alias("members")), "packs")  # the members of a small component at most
+        space.drop("labelled")
+        left, right = (packs.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("root", "large", "n", "place", "members")]) for x in "ab")
         paired = left.join(right, "token").where((F.col("root_a") < F.col("root_b")) & _reach(F.col("n_a"), F.col("place_a"), F.col("n_b"), F.col("place_b"), percent))
-        pairs = paired.select(F.explode("members_a").alias("x"), "members_b").select("x", F.explode("members_b").alias("y"))
+        # small components meet by their groups, pair by pair; where one is large, all of both, block by block
+        met_roots = space.write(paired.where("large_a OR large_b").select("root_a", "root_b").distinct(), "met-roots")
+        pairs = paired.where("NOT large_a AND NOT large_b").select(F.explode("members_a").alias("x"), "members_b").select("x", F.explode("members_b").alias("y"))
         pairs = self.allowed(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), groups)
         apart = [rooted.select(F.col("cid").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab"]
         wanted = self.expanded(pairs, classes).join(apart[0], "a").join(apart[1], "b").where("root_a != root_b").select("a", "b").join(star, ["a", "b"], "left_anti")
-        second = self.linked(space.write(wanted, "pairs"), classes, "pairs")
-        roots = components(space, first.union(second), "all").select(F.col("id").alias("cid"), "root")
+        wanted = space.write(wanted, "pairs")
+        space.drop("packs")
+        ids = met_roots.select(F.col("root_a").alias("root")).union(met_roots.select("root_b")).distinct()
+        second = self.linked(wanted, classes, "pairs", rooted.join(ids, "root", "left_semi"))
         sets = [self.spark.read.parquet(f"{space.root}/{x}-sets") for x in ("star", "pairs")]
+        across = self.links_across(met_roots, rooted, sets[1])
+        roots = components(space, first.union(second).union(across), "all").select(F.col("id").alias("cid"), "root")
         whole = classes.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
         return docs, space.write(whole, "rooted-classes"), sets[0].unionByName(sets[1]).dropDuplicates(["cid"])
 

@@ -121,6 +121,7 @@ def test_jaccard_join(name, words, percent, request):
 @pytest.mark.parametrize("block", [9, 512])
 def test_jaccard_links(name, words, percent, block, request, session, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK_SETS", block)
+    monkeypatch.setattr(jaccard_join, "SMALL_COMPONENT", 2 if block == 9 else 8)
     random = np.random.default_rng(7)
     near = [(i, " ".join(f"w{j}" if random.random() > 0.06 else f"x{random.integers(99)}" for j in range(30))) for i in range(60)]
     frame = session.createDataFrame([*near, *near[:5]], "doc_id long, text string") if name == "near" else request.getfixturevalue(name)
