@@ -390,6 +390,17 @@ MANIFEST_TABLES = {
     for name, body in _MANIFESTS.items()
 }
 
+#: Forms that ordinary manifests have besides those above: tables of their own, targets, renames; replacements.
+_MORE_MANIFESTS = {
+    "Cargo.toml": "[package]\nname = \"c#K#\"\nversion = \"0.1.0\"\n\n[dependencies.tokio]\nversion = \"1.#N#\"\nfeatures = [\"full\"]\n\n[target.'cfg(unix)'.dependencies]\nnix = \"0.#N#\"\n"
+    "old = { version = \"2.#N#\", package = \"renamed-#K#\" }\n\n[target.x86_64-pc-windows-gnu.dev-dependencies.winapi]\npackage = 'winapi-real'\nversion = '0.3.#N#'\n\n[build-dependencies.\"cc\"]\npath = \"../cc\"\n\n[features]\nx = \"1\"\n",
+    "go.mod": "module example.org/m#K#\n\nrequire (\n\tgithub.com/a/b v1.#N#.0\n\tgithub.com/c/d v2.0.#N# // indirect\n\tgolang.org/x/net v0.#N#.1\n)\nrequire gopkg.in/yaml.v3 v3.0.#N#\n"
+    "replace github.com/a/b => github.com/fork/b v9.0.#N#\nreplace (\n\tgithub.com/c/d v2.0.3 => github.com/fork/d v2.0.4\n\tgithub.com/c/d => ../local/d\n\tgolang.org/x/net v9.9.9 => golang.org/x/net v9.9.10\n)\n",
+}
+MORE_MANIFESTS = {
+    name: Derived("customer", {"path": join("more/c", string("c_custkey"), "/", name), "text": fill(text(body), **_K)}) for name, body in _MORE_MANIFESTS.items()
+}
+
 # --- lock files as graphs -------------------------------------------------------------------
 
 #: Nested copies, a cycle and two versions of one package; workspaces that link to each other; the older, nested format; no JSON.

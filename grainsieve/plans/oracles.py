@@ -771,6 +771,29 @@ _sections = f"(SELECT path, project, trim(string_split(s, ']')[1]) AS sec, unnes
 _cargo = manifest_row("cargo", "'cargo:' || sec", f"regexp_extract(l, {q(M.CARGO_LINE)}, 1)", f"regexp_extract(l, {q(M.CARGO_LINE)}, 2) || regexp_extract(l, {q(M.CARGO_LINE)}, 3)",
                       _sections + f" WHERE sec IN ('dependencies', 'dev-dependencies', 'build-dependencies') AND regexp_matches(l, {q(M.CARGO_LINE)})")
 ORACLES["packages_npm"], ORACLES["packages_requirements"], ORACLES["packages_gomod"], ORACLES["packages_cargo"] = _npm, _pip, _go, _cargo
+_more = lambda name: f"SELECT path, text AS content, regexp_replace(path, '/[^/]*$', '') AS project FROM ({D.MORE_MANIFESTS[name].sql})"
+_cargo_parts = (
+    f"(SELECT path, project, s, trim(string_split(s, ']')[1]) AS sec FROM (SELECT path, project, unnest(string_split({NL} || content, {NL} || '[')) AS s FROM ({_more('Cargo.toml')})))"
+)
+_renamed = lambda x, name: f"CASE WHEN regexp_matches({x}, {q(M.CARGO_RENAME)}) THEN regexp_extract({x}, {q(M.CARGO_RENAME)}, 1) ELSE {name} END"
+_cargo_kind = f"'cargo:' || regexp_extract(sec, {q(M.CARGO_SECTION)}, 1)"
+_cargo_table = f"coalesce(regexp_extract(sec, {q(M.CARGO_SECTION)}, 2), '')"
+ORACLES["packages_cargo_tables"] = (
+    manifest_row("cargo", _cargo_kind, _renamed("l", f"regexp_extract(l, {q(M.CARGO_LINE)}, 1)"), f"regexp_extract(l, {q(M.CARGO_LINE)}, 2) || regexp_extract(l, {q(M.CARGO_LINE)}, 3)",
+                 f"(SELECT *, unnest(string_split(s, {NL})) AS l FROM {_cargo_parts} WHERE regexp_matches(sec, {q(M.CARGO_SECTION)}) AND {_cargo_table} = '') WHERE regexp_matches(l, {q(M.CARGO_LINE)})")
+    + " UNION ALL " + manifest_row("cargo", _cargo_kind, _renamed("s", _cargo_table), f"coalesce(regexp_extract(s, {q(M.CARGO_VERSION)}, 1), '')",
+                                   f"{_cargo_parts} WHERE regexp_matches(sec, {q(M.CARGO_SECTION)}) AND {_cargo_table} <> ''")
+)
+_go_lines = f"(SELECT path, project, unnest(string_split(content, {NL})) AS l FROM ({_more('go.mod')}))"
+_gx = lambda p, k: f"coalesce(regexp_extract(l, {q(p)}, {k}), '')"
+_go_rows = (
+    f"(SELECT r.*, s.new, s.v FROM (SELECT path, project, l, {_gx(M.GO_REQUIRE, 1)} AS m, {_gx(M.GO_REQUIRE, 2)} AS mv FROM {_go_lines} WHERE regexp_matches(l, {q(M.GO_REQUIRE)}) AND NOT contains(l, '=>')) r "
+    f"LEFT JOIN (SELECT path, {_gx(M.GO_REPLACE, 1)} AS old, {_gx(M.GO_REPLACE, 2)} AS old_at, {_gx(M.GO_REPLACE, 3)} AS new, {_gx(M.GO_REPLACE, 4)} AS v FROM {_go_lines} WHERE regexp_matches(l, {q(M.GO_REPLACE)})) s "
+    "ON s.path = r.path AND s.old = r.m AND (s.old_at = '' OR s.old_at = r.mv) QUALIFY row_number() OVER (PARTITION BY r.path, r.m, r.mv ORDER BY coalesce(s.old_at, '') <> '' DESC) = 1)"
+)
+ORACLES["packages_go_replaced"] = manifest_row(
+    "go", "'go:dependencies'", "CASE WHEN new IS NULL OR regexp_matches(new, '^[./]') THEN m ELSE new END", "CASE WHEN new IS NULL THEN mv WHEN regexp_matches(new, '^[./]') THEN '' ELSE v END",
+    _go_rows, "CASE WHEN contains(l, '// indirect') THEN 'transitive' ELSE 'direct' END")
 _LOCKS = (
     "SELECT project AS project_path, substr(k, 14) AS package, json_extract_string(content, '$.packages.\"' || k || '\".version') AS locked_version, 'package-lock.json' AS version_source "
     f"FROM (SELECT *, unnest(json_keys(content, '$.packages')) AS k FROM ({_mf('package-lock.json')})) WHERE starts_with(k, 'node_modules/') AND NOT contains(substr(k, 14), '/node_modules/') "

@@ -466,6 +466,10 @@ def manifests(spark, d) -> DataFrame:
     return out
 
 
+def more_manifests(spark, d, name: str) -> DataFrame:
+    return files_from_table(D.MORE_MANIFESTS[name].frame(spark, d), "path", "text")
+
+
 def package_resolution(spark, d):
     m = manifests(spark, d)
     return P.resolve_packages(M.extract_packages(m), M.extract_locks(m))
@@ -689,6 +693,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "packages_requirements": lambda s, d: M.pip_packages(manifests(s, d)),
     "packages_gomod": lambda s, d: M.go_packages(manifests(s, d)),
     "packages_cargo": lambda s, d: M.cargo_packages(manifests(s, d)),
+    "packages_cargo_tables": lambda s, d: M.cargo_packages(more_manifests(s, d, "Cargo.toml")),
+    "packages_go_replaced": lambda s, d: M.go_packages(more_manifests(s, d, "go.mod")),
     "package_locks": lambda s, d: M.extract_locks(manifests(s, d)),
     "package_resolution": package_resolution,
     "package_csv_rows": package_csv_rows,
