@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grainsieve.functions.bloom import build_bloom
 from grainsieve.llm.components import components
 from grainsieve.llm.tables import Workspace, field, text_or_empty
 from grainsieve.llm.words import mix, split, text_chunks
@@ -198,15 +199,18 @@ class JaccardJoin:
         words, percent = self.words, self.percent
         ids = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid")))
         ids = (ids if more is None else ids.union(more.select("cid"))).distinct()
-        wanted = classes.join(ids, "cid", "left_semi").select("cid", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"))
+        wanted = self.space.write(
+            classes.join(ids, "cid", "left_semi").select("cid", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash")), f"{name}-wanted")
+        # a bounded filter of the wanted hashes keeps nearly all other texts out of the shuffle
+        likely = self.texts.where(build_bloom(wanted, "rep_hash").might_contain(F.col("text_hash")))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 sets = [s.tobytes() for s in shingle_sets(batch.column(1), words)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["cid", "shingles"])
 
-        same = self.texts["doc_id"].eqNullSafe(wanted["rep_id"]) & (self.texts["text_hash"] == wanted["rep_hash"])
-        texts = self.texts.join(wanted.hint("merge"), same).select("cid", "text")
+        same = F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("text_hash") == F.col("rep_hash"))
+        texts = likely.join(wanted.hint("merge"), same).select("cid", "text")
         sets = self.space.write(texts.mapInArrow(run, "cid bigint, shingles binary").dropDuplicates(["cid"]), f"{name}-sets")
 
         def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
