@@ -9,6 +9,10 @@ from grainsieve.llm import exact_dedup, jaccard_join, language_id, packing, pii
 from grainsieve.llm.tables import Workspace, field, share_package, text_or_empty
 
 
+#: Bytes of a batch of texts for a Python worker.
+BATCH_BYTES = 4 << 20
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Give every document without a label the predicted language; drop texts that have none.
 
@@ -66,7 +70,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each one's rows are written before the next one reads them."""
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    space = Workspace(spark, "pipeline")
+    space = Workspace(spark, "pipeline", BATCH_BYTES)
     for i, (_, stage) in enumerate(STAGES):
         docs = space.write(stage(spark, docs, sf_dir), f"stage{i}")
     return docs

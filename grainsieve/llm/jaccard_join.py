@@ -26,8 +26,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grainsieve.functions.bloom import build_bloom
+from grainsieve.llm import tables
 from grainsieve.llm.components import components
-from grainsieve.llm.tables import Workspace, field, text_or_empty
+from grainsieve.llm.tables import Workspace, field, settings, text_or_empty
 from grainsieve.llm.words import mix, split, text_chunks
 
 WORDS = 5
@@ -41,6 +42,9 @@ SMALL_COMPONENT = 8
 BLOCK_SHINGLES = 1 << 16
 BLOCK_SETS = 512
 PRODUCT_SHINGLES = 4096
+#: Bytes of a batch of texts or sets for a Python worker, and blocks of one component that a join holds before it may spill.
+BATCH_BYTES = 4 << 20
+HELD_BLOCKS = 32
 _BLOCK = 1 << 12
 
 
@@ -143,11 +147,12 @@ class JaccardJoin:
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, bits: int):
         self.spark = docs.sparkSession
-        self.space = Workspace(self.spark, "jaccard-join")
+        self.space = Workspace(self.spark, "jaccard-join", BATCH_BYTES)
         self.words, self.percent, self.bits = words, percent, bits
         text = text_or_empty(text_col)
         self.texts = docs.select(field(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
-        counts = sketch(self.texts.select("text"), words, bits)
+        with settings(self.spark, {tables.BATCH_BYTES: BATCH_BYTES}):
+            counts = sketch(self.texts.select("text"), words, bits)
         self.levels = np.frexp(counts.astype(np.float64))[1].astype(np.uint8)  # 1 + log2, rounded down; 0 for none
 
     def sets(self) -> DataFrame:
@@ -304,7 +309,7 @@ class JaccardJoin:
         sides = [blocks.select("root", F.col("block").alias(f"block_{x}"), F.col("sets").alias(f"sets_{x}")) for x in "ab"]
         # sets that reach the threshold differ by one band at most
         met = sides[0].join(sides[1], "root").where((F.col("block_a") <= F.col("block_b")) & (F.col("block_b.band") - F.col("block_a.band") <= 1))
-        return self.compared(met.withColumn("same", F.col("block_a") == F.col("block_b")), count)
+        return self.space.write(self.compared(met.withColumn("same", F.col("block_a") == F.col("block_b")), count), "links-within", HELD_BLOCKS)
 
     def links_across(self, met_roots: DataFrame, rooted: DataFrame, sets: DataFrame) -> DataFrame:
         """Links between components (root_a, root_b) of which some groups met, block against block."""
@@ -312,7 +317,7 @@ class JaccardJoin:
         blocks = self.blocks(rooted.join(ids, "root").select("cid", "root", "n", "copies"), sets, "blocks-across")
         sides = [blocks.select(F.col("root").alias(f"root_{x}"), F.col("block").alias(f"block_{x}"), F.col("sets").alias(f"sets_{x}")) for x in "ab"]
         met = met_roots.join(sides[0], "root_a").join(sides[1], "root_b").where(F.abs(F.col("block_b.band") - F.col("block_a.band")) <= 1)
-        return self.space.write(self.compared(met.withColumn("same", F.lit(False)), False), "links-across")
+        return self.space.write(self.compared(met.withColumn("same", F.lit(False)), False), "links-across", HELD_BLOCKS)
 
     def classes_with_roots(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Documents, classes with the component of each, and the sets of the classes that any link was found for."""

@@ -25,6 +25,7 @@ from grainsieve.llm import (
     pii,
     pretokens,
     substring_dedup,
+    tables,
     topk_search,
 )
 from grainsieve.llm.tables import share_package, smallest_hashes
@@ -140,6 +141,21 @@ def test_jaccard_links(name, words, percent, block, request, session, monkeypatc
     assert 2 * sum(r.copies_a * r.copies_b for r in links) == sum(counts) - sum(sets.count(s) - 1 for s in sets if s)
 
 
+def test_workspace_settings_hold_while_it_writes(session):
+    key = tables.BATCH_BYTES
+    before = session.conf.get(key)
+
+    def largest(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["size"])
+
+    # rows large enough that the default would put all of them into one batch
+    rows = session.range(0, 64, 1, 1).select(F.repeat(F.lit("x"), 1 << 18).alias("text")).mapInArrow(largest, "size long")
+    small = tables.Workspace(session, "test", 1 << 20).write(rows, "small").agg(F.max("size")).first()[0]
+    assert small <= 3 << 20 and session.conf.get(key) == before
+    assert jaccard_join.JaccardJoin(session.range(1).selectExpr("id doc_id", "'a b' text"), "doc_id", "text", 4, 85, 10).space.batch_bytes == jaccard_join.BATCH_BYTES
+
+
 def removed_of(rows, window):
     words = [WORD.findall(t) for _, t in rows]
     seen = collections.Counter(tuple(w[i : i + window]) for w in words for i in range(len(w) - window + 1))
