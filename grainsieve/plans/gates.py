@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainsieve.functions.normalize import SEVERITY_RANK, severity_rank
@@ -22,7 +22,7 @@ def category_gate(findings: DataFrame, raw: str) -> DataFrame:
 
 
 def advisory_severity_gate(matches: DataFrame, threshold: str) -> DataFrame:
-    """Fails when a match reaches the threshold; an unknown threshold never fails."""
+    """Fails when a match reaches the threshold; an unknown threshold never fails.  Counted matches do as well."""
     rank = SEVERITY_RANK.get(threshold.strip().upper(), 0)
     return _gate(matches, "advisories", 2, severity_rank(F.col("severity")) >= rank if rank else F.lit(False))
 
@@ -33,7 +33,8 @@ def new_findings_gate(kept: DataFrame, enabled: bool = True) -> DataFrame:
 
 
 def _gate(df: DataFrame, name: str, order: int, hit) -> DataFrame:
-    return df.agg(F.count_if(hit).alias("n")).select(
+    n = F.coalesce(F.sum(F.when(hit, F.col("matches"))), F.lit(0)) if "matches" in df.columns else F.count_if(hit)
+    return df.agg(n.alias("n")).select(
         F.lit(name).alias("gate"), (F.col("n") > 0).alias("failed"), "n", F.lit(order).alias("gate_order")
     )
 
@@ -43,7 +44,8 @@ def all_gates(*gates: DataFrame) -> DataFrame:
     table = gates[0]
     for g in gates[1:]:
         table = table.unionByName(g)
-    first = table.agg(F.min(F.when(F.col("failed"), F.col("gate_order"))).alias("_first"))
-    return table.crossJoin(first).select(
+    everything = Window.partitionBy(F.lit(0))  # one row for each gate; no gate is computed twice
+    first = F.min(F.when(F.col("failed"), F.col("gate_order"))).over(everything)
+    return table.withColumn("_first", first).select(
         "gate", "failed", "n", "gate_order", F.coalesce(F.col("gate_order") == F.col("_first"), F.lit(False)).alias("decides")
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from grainsieve.operators.baseline import build_baseline, parse_baseline, split_by_baseline
 from grainsieve.operators.packages import apply_policy, dependency_findings, match_advisories, match_compromised, resolve_packages
 from grainsieve.operators.scripts import name_scripts, script_manifest
+from grainsieve.plans.summaries import advisory_summary, package_summary
 from grainsieve.plans.gates import advisory_severity_gate, all_gates, category_gate, new_findings_gate, parse_categories
 from grainsieve.operators.filters import rules_for_project
 from grainsieve.plans.reports import baseline_document, document_manifest, findings_csv, write_csv, write_document, write_findings_report, write_sarif
@@ -48,6 +49,22 @@ def test_hot_package_keeps_every_row(spark):
     assert f.select("fingerprint").distinct().count() == 1 and f.first().kind == "dependency"
 
 
+def test_counted_matches_make_no_pairs(spark):
+    texts = ["<2.0.0", ">=1.0.0 <3.0.0", ">1.5.0", "=1.2.0", "<=1.2.0"]
+    rows = [(f"A{i % 7}", "npm", f"p{i % 3}", (None, "LOW", "HIGH")[i % 5 % 3], "t", "d", [texts[i % 5], texts[i * 2 % 5], "<0.5.0"][: 1 + i % 3], "") for i in range(40)]
+    rows += [(None, "npm", "p0", "HIGH", "t", "d", ["<9.0.0"], ""), ("N", None, "p0", "HIGH", "t", "d", ["<9.0.0"], "")] + [("same", "npm", "p1", "HIGH", "t", "d", ["<2.0.0", ">1.0.0"], "")] * 3
+    df = spark.createDataFrame(rows, "id string, ecosystem string, package string, severity string, title string, description string, affected_versions array<string>, fixed_version string")
+    empty = F.array().cast("array<string>")
+    held = advisory_ranges(df.withColumns({"aliases": empty, "cwe": empty, "references": empty, "source": F.lit("s")}))
+    p = packages(spark, *[(f"p{i % 4}", f"{i % 4}.{i % 5}.0", "") for i in range(60)], (None, "1.0.0", ""), ("p1", None, None))
+    full, by = match_advisories(p, held).cache(), match_advisories(p, held, ["package", "version", "severity", "relationship"]).cache()
+    want = full.groupBy("package", "version", "severity", "relationship").count().collect()
+    assert want and sorted(map(str, map(tuple, by.collect()))) == sorted(map(str, map(tuple, want)))
+    for told in (lambda m: advisory_severity_gate(m, "high"), advisory_summary, lambda m: package_summary(p, m)):
+        assert sorted(map(tuple, told(by).collect())) == sorted(map(tuple, told(full).collect()))
+    assert dependency_findings(by).agg(F.sum("matches")).first()[0] == full.count()
+
+
 def test_compromised_and_policy(spark):
     rules = spark.createDataFrame([("C", "npm", "@s/x", ["1.0.0", "1.0.1"], "CRITICAL", "d", "s", [("ip", "1.1.1.1")])],
                                   "id string, ecosystem string, package string, versions array<string>, severity string, description string, source string, iocs array<struct<type:string,value:string>>")
