@@ -7,8 +7,8 @@ One plan serves all pattern sets (code rules, literal detectors, identifier dete
    not on the number of patterns.  A few patterns, and guards that are no literals, are tested one by one;
 2. the list is exploded, so only (text, candidate pattern) pairs meet a regular expression - the
    full product of texts and patterns never exists;
-3. matches and the gaps between them come from the built-in split and extract functions; start
-   bytes are running sums over both, inside the row.
+3. one pass of the pattern marks the matches, the gaps between them and the captures in the text; start bytes are running
+   sums over matches and gaps, inside the row.
 
 Everything is narrow: no shuffle, no join, no Python.
 """
@@ -45,6 +45,8 @@ class Pattern:
 
 #: Guard literals from which one walk over an index is cheaper than a test of each.
 INDEX_LITERALS = 150
+#: Stands before and behind a match and between its captures in a marked text.
+MARK = chr(31)
 #: Branches that a node of the index tries one after the other; more are split by their first characters.
 INDEX_BRANCHES = 6
 
@@ -165,26 +167,48 @@ def find_matches(
     n_caps = F.element_at(string_array(str(p.captures) for p in patterns).cast("array<int>"), at)
     key = F.element_at(string_array(p.key for p in patterns), at)
 
-    matched = candidates.select(
-        *units.columns, regex.alias("_re"), n_caps.alias("_n"), key.alias("pattern_key")
-    ).filter(F.rlike(src, F.col("_re")))
-    max_caps = max((p.captures for p in patterns), default=0)
-    rows = F.explode(F.expr(_match_rows(f"`{text}`", max_caps, multiline))).alias("_row")
+    matched = candidates.select(*units.columns, regex.alias("_re"), n_caps.alias("_n"), key.alias("pattern_key"), "_pid")
+    rows = F.explode(F.expr(_match_rows(f"`{text}`", patterns, multiline))).alias("_row")
     extra = ["match", "start", "captures"] + (["line_offset", "line_start"] if multiline else [])
     return matched.select(*units.columns, "pattern_key", rows).select(
         *units.columns, "pattern_key", *[f"_row.{c}" for c in extra]
     )
 
 
-def _match_rows(text: str, max_caps: int, multiline: bool) -> str:
-    """Array of match structs of one (text, pattern) pair, as an expression string.
+def _marked(text: str, patterns: Sequence[Pattern]) -> str:
+    """The text with ``MARK`` before and behind every match, and behind it the captures, each with a ``MARK`` behind it.
 
-    ``p`` binds the matches ``m``, the gaps ``g`` around them (one more than matches) and the
-    captures; the start of match i is the size of all gaps up to i and all matches before it.
+    Patterns are literals here, so each is compiled once for a task and not once for a text.
     """
-    fields = [f"'m', regexp_extract_all({text}, _re, 0)", f"'g', split({text}, _re, -1)"]
-    fields += [f"'c{k}', IF(_n >= {k}, regexp_extract_all({text}, _re, {k}), NULL)" for k in range(1, max_caps + 1)]
-    parts = "named_struct(" + ", ".join(fields) + ")"
+    def branch(i: int, p: Pattern) -> str:
+        marks = "".join(f"{MARK}${k}" for k in range(p.captures + 1)) + MARK
+        regex, rep = (sql_quote(x).replace("$", "\\u0024") for x in (java_pattern(p.pattern), marks))
+        return f"WHEN {i} THEN regexp_replace({text}, {regex}, {rep})"
+
+    if not patterns:
+        return "CAST(NULL AS STRING)"
+    return "CASE _pid " + " ".join(branch(i, p) for i, p in enumerate(patterns)) + " END"
+
+
+def _match_rows(text: str, patterns: Sequence[Pattern], multiline: bool) -> str:
+    """Array of match structs of one (text, pattern) pair, as an expression string; null when nothing matches.
+
+    ``q`` binds the marked text's pieces: gap, match, captures, gap and so on, ``_n + 2`` pieces for a match.  A single
+    match needs no sums.  Else ``p`` binds the matches ``m``, the gaps ``g`` around them (one more than matches) and the
+    captures; the start of match i is the size of all gaps up to i and all matches before it.  A text that holds the
+    mark itself has its matches, gaps and captures from a pass for each.
+    """
+    max_caps = max((p.captures for p in patterns), default=0)
+
+    def parts(matches: str, gaps: str, capture) -> str:
+        fields = [f"'m', {matches}", f"'g', {gaps}"] + [f"'c{k}', IF(_n >= {k}, {capture(k)}, NULL)" for k in range(1, max_caps + 1)]
+        return "named_struct(" + ", ".join(fields) + ")"
+
+    def every(k: int) -> str:
+        return f"filter(q, (q_x, q_j) -> q_j % (_n + 2) = {k})"
+
+    plain = parts(f"regexp_extract_all({text}, _re, 0)", f"split({text}, _re, -1)", lambda k: f"regexp_extract_all({text}, _re, {k})")
+    pieces = f"IF(q IS NULL, {plain}, {parts(every(1), every(0), lambda k: every(k + 1))})"
     captures = (
         "slice(array(" + ", ".join(f"p.c{k}[i]" for k in range(1, max_caps + 1)) + "), 1, _n)" if max_caps
         else "CAST(array() AS ARRAY<STRING>)"
@@ -192,9 +216,7 @@ def _match_rows(text: str, max_caps: int, multiline: bool) -> str:
     start = "s[i] + octet_length(p.g[i])"
     sizes = "transform(p.m, (m, i) -> octet_length(p.g[i]) + octet_length(m))"
     row = f"'match', m, 'start', {start}, 'captures', {captures}"
-    if not multiline:
-        body = f"transform(p.m, (m, i) -> named_struct({row}))"
-        return sql_let(parts, "p", sql_let(prefix_scan(sizes, "z"), "s", body))
+    single = "'match', q[1], 'start', octet_length(q[0]), 'captures', slice(q, 3, _n)"
 
     def breaks(t: str) -> str:
         return f"(octet_length({t}) - octet_length(replace({t}, '\\n', '')))"
@@ -202,6 +224,14 @@ def _match_rows(text: str, max_caps: int, multiline: bool) -> str:
     def tail(t: str) -> str:
         return f"octet_length(substring_index({t}, '\\n', -1))"
 
+    def rows(several: str) -> str:
+        body = sql_let(pieces, "p", sql_let(prefix_scan(sizes, "z"), "s", several))
+        cases = f"CASE WHEN {text} IS NULL OR size(q) = 1 THEN NULL WHEN size(q) = _n + 3 THEN array(named_struct({single})) ELSE {body} END"
+        return sql_let(f"IF(contains({text}, '{MARK}'), NULL, split({_marked(text, patterns)}, '{MARK}', -1))", "q", cases)
+
+    if not multiline:
+        return rows(f"transform(p.m, (m, i) -> named_struct({row}))")
+
     # byte just after the last line break inside a gap, or inside a gap and its match; else -1
     in_gap = f"IF({breaks('p.g[i]')} > 0, {start} - {tail('p.g[i]')}, -1)"
     in_piece = f"IF({breaks('m')} > 0, {start} + octet_length(m) - {tail('m')}, {in_gap})"
@@ -209,7 +239,7 @@ def _match_rows(text: str, max_caps: int, multiline: bool) -> str:
     last_break = prefix_scan(f"transform(p.m, (m, i) -> {in_piece})", "w", "max")
     flat = f"transform(p.m, (m, i) -> named_struct({row}, 'line_offset', 0, 'line_start', 0))"
     row += f", 'line_offset', b[i] + {breaks('p.g[i]')}, 'line_start', greatest(l[i], {in_gap}, 0)"
+    single += f", 'line_offset', {breaks('q[0]')}, 'line_start', IF({breaks('q[0]')} > 0, octet_length(q[0]) - {tail('q[0]')}, 0)"
     body = f"transform(p.m, (m, i) -> named_struct({row}))"
     spread_out = sql_let(all_breaks, "b", sql_let(last_break, "l", body))
-    chosen = f"IF(contains({text}, '\\n'), {spread_out}, {flat})"
-    return sql_let(parts, "p", sql_let(prefix_scan(sizes, "z"), "s", chosen))
+    return rows(f"IF(contains({text}, '\\n'), {spread_out}, {flat})")

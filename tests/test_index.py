@@ -51,3 +51,36 @@ def test_rule_pack_by_the_index(spark, monkeypatch, limit):
     want = rows(scan_rules(files, builtin_rules(), EVENT_PATTERNS))
     monkeypatch.setattr(lexical, "INDEX_LITERALS", limit)
     assert rows(scan_rules(files, builtin_rules(), EVENT_PATTERNS)) == want and len(want) >= 6
+
+
+def test_marked_texts_give_the_matches_of_a_pass_for_each(spark):
+    """One pass of a pattern yields matches, gaps and captures; texts that hold the mark, several matches and line breaks too."""
+    import re
+
+    from grainsieve.operators.lexical import MARK
+
+    patterns = [Pattern("none", r"[0-9]+"), Pattern("two", r"([a-z]+)=([a-z]*)", 2), Pattern("cash", r"\$\{x\}|é(q)?", 1)]
+    texts = ["", "abc", "12", f"a=b{MARK}7{MARK}", "é1\né22 x=y\n\nk= 3", "${x}éq9${x}", f"{MARK}${{x}}", "\n5", "7\n\n", None]
+    units = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "n int, line string")
+    found = find_matches(units, patterns, multiline=True)
+    want = []
+    for n, t in enumerate(texts):
+        for p in patterns:
+            for m in re.finditer(p.pattern, t or ""):
+                before = t[:m.start()]
+                line_start = len(before[:before.rfind("\n") + 1].encode())
+                want.append((n, p.key, m[0], len(before.encode()), [g or "" for g in m.groups()], before.count("\n"), line_start))
+    got = [(r.n, r.pattern_key, r["match"], r.start, list(r.captures), r.line_offset, r.line_start) for r in found.collect()]
+    assert sorted(got) == sorted(want) and len(want) == 17
+    # a pattern from a column is compiled anew for every text
+    assert "RLIKE" not in found._jdf.queryExecution().optimizedPlan().toString().upper()
+
+
+def test_an_extension_is_cut_out_once(spark):
+    from pyspark.sql import functions as F
+
+    from grainsieve.functions.paths import language_for_path
+
+    df = spark.createDataFrame([("a/b.PY",), ("x.tsx",), ("no",), (None,), ("a.js/x",)], "path string").select(language_for_path(F.col("path")).alias("l"))
+    assert [r.l for r in df.collect()] == ["python", "javascript", None, None, None]
+    assert df._jdf.queryExecution().analyzed().toString().count("regexp_extract") == 1
