@@ -36,17 +36,15 @@ def lock_edges(entries: DataFrame) -> DataFrame:
     ``lock_path, source, package, kind, wanted, target, version``; target and version are null where nothing is
     installed.  A link leads to the workspace that it names, whose version may be null.
     """
-    wanted = entries.select("lock_path", F.col("node").alias("source"), F.explode("wants").alias("w")).select("lock_path", "source", "w.*").distinct()
-    asked = wanted.select("lock_path", "source", "package", "kind", "wanted", F.posexplode(lookup_places(F.col("source"), F.col("package"))).alias("up", "place"))
-    installed = entries.select("lock_path", F.col("node").alias("place"), "link_to", "version")
-    nearest = (
-        asked.join(installed, ["lock_path", "place"])
-        .groupBy("lock_path", "source", "package", "kind", "wanted")
-        .agg(F.min_by(F.struct(F.coalesce("link_to", "place").alias("target"), "version"), "up").alias("n"))
-    )
+    key = ["lock_path", "source", "package", "kind", "wanted"]
+    wanted = entries.select("lock_path", F.col("node").alias("source"), F.explode("wants").alias("w")).select("lock_path", "source", "w.*")
+    asked = wanted.select(*key, F.posexplode_outer(lookup_places(F.col("source"), F.col("package"))).alias("up", "place"))
+    installed = entries.select("lock_path", F.col("node").alias("place"), F.coalesce("link_to", "node").alias("target"), "version", F.lit(True).alias("held"))
+    # one row for a requirement, which repeated ones share; a place that holds nothing is not counted, nor any place for a null wish
+    held = F.when(F.col("held") & F.col("wanted").isNotNull(), F.col("up"))
+    found = asked.join(installed, ["lock_path", "place"], "left").groupBy(*key).agg(
+        F.min_by(F.struct("target", "version"), held).alias("n")).select(*key, "n.target", "n.version")
     versions = entries.filter(is_importer(F.col("node"))).select("lock_path", F.col("node").alias("target"), F.col("version").alias("own_version"))
-    found = wanted.join(nearest, ["lock_path", "source", "package", "kind", "wanted"], "left").select(
-        "lock_path", "source", "package", "kind", "wanted", "n.target", "n.version")
     return found.join(versions, ["lock_path", "target"], "left").select(
         "lock_path", "source", "package", "kind", "wanted", "target", F.coalesce("version", "own_version").alias("version"))
 

@@ -119,3 +119,18 @@ def test_advisories_reach_transitive_packages(spark):
     found = match_advisories(packages, advisory_ranges(advisory.withColumns({"aliases": empty, "cwe": empty, "references": empty, "source": F.lit("s")})))
     got = {(r.project_path, r.version, r.relationship, r.reachability, r.dependency_path) for r in found.collect()}
     assert got == {(".", "4.17.11", "transitive", "indirect", "a>lodash"), ("packages/w", "3.0.0", "direct", "direct", "lodash")}
+
+
+def test_a_requirement_meets_its_places_once(spark):
+    lock = {"lockfileVersion": 3, "packages": {
+        "": {"dependencies": {"a": "1", "gone": "1", "null": None}}, "node_modules/a": {"version": "1.0.0", "dependencies": {"b": "2"}},
+        "node_modules/a/node_modules/b": {"version": "2.0.0"}, "node_modules/b": {"version": "1.0.0"}, "node_modules/null": {"version": "1.0.0"}}}
+    one = files(spark, {"x/package-lock.json": lock})
+    edges = lock_edges(lock_entries(one.unionByName(one)))  # a file that is there twice gives its requirements once
+    assert sorted((r.source, r.package, r.target, r.version) for r in edges.collect()) == [
+        ("", "a", "node_modules/a", "1.0.0"), ("", "gone", None, None), ("", "null", None, None),
+        ("node_modules/a", "b", "node_modules/a/node_modules/b", "2.0.0")]
+    # requirements meet places and workspaces' versions, and are not joined with their own result
+    entries = lock_entries(one)
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    assert joins(lock_edges(entries)) == 2 + 3 * joins(entries)
