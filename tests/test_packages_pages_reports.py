@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from grainsieve.operators.baseline import build_baseline, parse_baseline, split_by_baseline
-from grainsieve.operators.packages import apply_policy, dependency_findings, match_advisories, match_compromised, resolve_packages
+from grainsieve.operators.packages import advisory_hits, apply_policy, dependency_findings, flag_ignored, match_advisories, match_compromised, packages_of_hits, resolve_packages
 from grainsieve.operators.scripts import name_scripts, script_manifest
 from grainsieve.plans.summaries import advisory_summary, package_summary
 from grainsieve.plans.gates import advisory_severity_gate, all_gates, category_gate, new_findings_gate, parse_categories
@@ -49,6 +49,25 @@ def test_hot_package_keeps_every_row(spark):
     assert f.select("fingerprint").distinct().count() == 1 and f.first().kind == "dependency"
 
 
+def test_matches_are_dealt_by_their_number(spark):
+    rows = [(f"A{i}", "npm", "lodash", "HIGH", "t", "d", ["<5.0.0"], "") for i in range(30)]
+    df = spark.createDataFrame(rows, "id string, ecosystem string, package string, severity string, title string, description string, affected_versions array<string>, fixed_version string")
+    empty = F.array().cast("array<string>")
+    held = advisory_ranges(df.withColumns({"aliases": empty, "cwe": empty, "references": empty, "source": F.lit("s")}))
+    p = packages(spark, *[("lodash", f"4.0.{i // 40}", "") for i in range(80)], ("lodash", "9.0.0", ""), ("x", "1.0.0", ""), (None, "1.0.0", ""))
+    p = p.withColumn("project_path", F.concat(F.lit("p"), F.monotonically_increasing_id().cast("string")))
+    hits = advisory_hits(p, held)
+    assert hits.count() == 60
+    dealt = packages_of_hits(p, hits, task_matches=200)  # one version alone is 1,200 matches
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, match_advisories(p, held).collect()))
+    made = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(made) == 2400 and len(made) > 4 and max(made) < 1200
+    policy = normalize_policy(spark.createDataFrame([("A1", "", ""), ("A2", "lodash", "2030-01-01 00:00:00"), ("A3", "x", "")], "id string, package string, expiry string"))
+    flagged = [packages_of_hits(p, flag_ignored(hits, policy, "2025-01-01 00:00:00")), flag_ignored(match_advisories(p, held), policy, "2025-01-01 00:00:00")]
+    assert flagged[0].columns == flagged[1].columns and flagged[0].where("ignored").count() == 160
+    assert sorted(map(str, flagged[0].collect())) == sorted(map(str, flagged[1].collect()))
+
+
 def test_counted_matches_make_no_pairs(spark):
     texts = ["<2.0.0", ">=1.0.0 <3.0.0", ">1.5.0", "=1.2.0", "<=1.2.0"]
     rows = [(f"A{i % 7}", "npm", f"p{i % 3}", (None, "LOW", "HIGH")[i % 5 % 3], "t", "d", [texts[i % 5], texts[i * 2 % 5], "<0.5.0"][: 1 + i % 3], "") for i in range(40)]
