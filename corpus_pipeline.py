@@ -10,7 +10,7 @@ from grainsieve.llm.tables import Workspace, field, share_package, text_or_empty
 
 
 #: Bytes of a batch of texts for a Python worker.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,8 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from grainsieve.session import local_table
 
 #: Bits for each key, the fewest and the most bits of a filter (2 MB), and how many of them a key sets.
 BITS_PER_KEY = 12
@@ -21,9 +24,17 @@ class Bloom:
     bits: int
     data: bytes
 
-    def might_contain(self, key: Column) -> Column:
-        """False only for keys that are not in; a null key gives null."""
-        held = F.lit(bytearray(self.data))
+    def might_contain(self, key: Column, spark: SparkSession | None = None) -> Column:
+        """False only for keys that are not in; a null key gives null.
+
+        A literal is spelled out in every text of the plan, which the driver keeps.  With ``spark`` the filter is a scalar
+        subquery over a local row instead, of which such a text has the name alone.
+        """
+        if spark is None:
+            held = F.lit(bytearray(self.data))
+        else:
+            schema = T.StructType([T.StructField("data", T.BinaryType())])
+            held = local_table(spark, [{"data": self.data}], schema).scalar()
 
         def is_set(place: Column) -> Column:
             byte = F.conv(F.hex(F.substring(held, (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")

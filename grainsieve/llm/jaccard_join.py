@@ -43,7 +43,7 @@ BLOCK_SHINGLES = 1 << 16
 BLOCK_SETS = 512
 PRODUCT_SHINGLES = 4096
 #: Bytes of a batch of texts or sets for a Python worker, and blocks of one component that a join holds before it may spill.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 HELD_BLOCKS = 32
 _BLOCK = 1 << 12
 
@@ -207,7 +207,7 @@ class JaccardJoin:
         wanted = self.space.write(
             classes.join(ids, "cid", "left_semi").select("cid", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash")), f"{name}-wanted")
         # a bounded filter of the wanted hashes keeps nearly all other texts out of the shuffle
-        likely = self.texts.where(build_bloom(wanted, "rep_hash").might_contain(F.col("text_hash")))
+        likely = self.texts.where(build_bloom(wanted, "rep_hash").might_contain(F.col("text_hash"), self.spark))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:

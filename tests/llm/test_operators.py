@@ -8,6 +8,7 @@ import json
 import re
 import zlib
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -156,6 +157,10 @@ def test_workspace_settings_hold_while_it_writes(session):
     assert jaccard_join.JaccardJoin(session.range(1).selectExpr("id doc_id", "'a b' text"), "doc_id", "text", 4, 85, 10).space.batch_bytes == jaccard_join.BATCH_BYTES
 
 
+def test_batches_of_the_near_copies_are_small():
+    assert jaccard_join.BATCH_BYTES <= 1 << 20 and corpus_pipeline.BATCH_BYTES <= 1 << 20
+
+
 def removed_of(rows, window):
     words = [WORD.findall(t) for _, t in rows]
     seen = collections.Counter(tuple(w[i : i + window]) for w in words for i in range(len(w) - window + 1))

@@ -22,6 +22,16 @@ def test_bloom_lets_all_members_and_few_others_pass(spark):
     assert spark.createDataFrame([(None,)], "k string").select(bloom.might_contain(F.col("k"))).first()[0] is None
 
 
+def test_bloom_of_a_subquery_is_not_spelled_in_the_plan(spark):
+    bloom = build_bloom(spark.range(5000).select(F.concat(F.lit("fp"), "id").alias("k")), "k")
+    keys = spark.range(20_000).select(F.when(F.col("id") % 100 != 7, F.concat(F.lit("fp"), "id")).alias("k"), "id")
+    test = keys.withColumn("m", bloom.might_contain(F.col("k"), spark))
+    assert test.collect() == keys.withColumn("m", bloom.might_contain(F.col("k"))).collect()
+    kept = keys.where(bloom.might_contain(F.col("k"), spark))
+    assert kept.count() == test.filter("m").count()
+    assert len(kept._jdf.queryExecution().toString()) < len(bloom.data)
+
+
 def test_empty_bloom(spark):
     bloom = build_bloom(spark.createDataFrame([], "k string"), "k")
     assert bloom == Bloom(LEAST_BITS, bytes(LEAST_BITS // 8))
