@@ -311,9 +311,17 @@ class JaccardJoin:
         met = sides[0].join(sides[1], "root").where((F.col("block_a") <= F.col("block_b")) & (F.col("block_b.band") - F.col("block_a.band") <= 1))
         return self.space.write(self.compared(met.withColumn("same", F.col("block_a") == F.col("block_b")), count), "links-within", HELD_BLOCKS)
 
+    def lighter_first(self, met_roots: DataFrame, rooted: DataFrame) -> DataFrame:
+        """The pairs of components with the one of fewer shingles as ``root_a``: its blocks move once for each pair."""
+        sizes = rooted.groupBy("root").agg(F.sum("n").alias("shingles"))
+        side = lambda x: sizes.select(F.col("root").alias(f"root_{x}"), F.struct("shingles", "root").alias(x))
+        both = met_roots.join(side("a"), "root_a").join(side("b"), "root_b")
+        return both.select(F.least("a", "b")["root"].alias("root_a"), F.greatest("a", "b")["root"].alias("root_b"))
+
     def links_across(self, met_roots: DataFrame, rooted: DataFrame, sets: DataFrame) -> DataFrame:
         """Links between components (root_a, root_b) of which some groups met, block against block."""
         ids = met_roots.select(F.col("root_a").alias("root")).union(met_roots.select("root_b")).distinct()
+        met_roots = self.lighter_first(met_roots, rooted.join(ids, "root", "left_semi"))
         blocks = self.blocks(rooted.join(ids, "root").select("cid", "root", "n", "copies"), sets, "blocks-across")
         sides = [blocks.select(F.col("root").alias(f"root_{x}"), F.col("block").alias(f"block_{x}"), F.col("sets").alias(f"sets_{x}")) for x in "ab"]
         met = met_roots.join(sides[0], "root_a").join(sides[1], "root_b").where(F.abs(F.col("block_b.band") - F.col("block_a.band")) <= 1)

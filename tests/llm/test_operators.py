@@ -157,6 +157,13 @@ def test_workspace_settings_hold_while_it_writes(session):
     assert jaccard_join.JaccardJoin(session.range(1).selectExpr("id doc_id", "'a b' text"), "doc_id", "text", 4, 85, 10).space.batch_bytes == jaccard_join.BATCH_BYTES
 
 
+def test_components_meet_by_the_blocks_of_the_lighter(session):
+    join = jaccard_join.JaccardJoin(session.range(1).selectExpr("id doc_id", "'a b' text"), "doc_id", "text", 4, 85, 10)
+    rooted = session.createDataFrame([(1, 1, 50), (2, 1, 60), (3, 3, 7), (4, 4, 900), (5, 5, 7)], "cid long, root long, n long")
+    met = session.createDataFrame([(1, 3), (1, 4), (3, 4), (3, 5)], "root_a long, root_b long")
+    assert as_bag(map(tuple, join.lighter_first(met, rooted).collect())) == as_bag([(3, 1), (1, 4), (3, 4), (3, 5)])
+
+
 def test_batches_of_the_near_copies_are_small():
     assert jaccard_join.BATCH_BYTES <= 1 << 20 and corpus_pipeline.BATCH_BYTES <= 1 << 20
 
