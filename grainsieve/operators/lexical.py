@@ -47,6 +47,8 @@ class Pattern:
 INDEX_LITERALS = 150
 #: Stands before and behind a match and between its captures in a marked text.
 MARK = chr(31)
+#: Patterns whose numbers are compared one after the other.
+CASE_BRANCHES = 4
 #: Branches that a node of the index tries one after the other; more are split by their first characters.
 INDEX_BRANCHES = 6
 
@@ -157,10 +159,14 @@ def find_matches(
     # drop the texts no pattern can match in generated code, before any array is built
     for gate, guarded in by_gate.items():
         some = F.expr(" OR ".join(f"({g})" for _, g in guarded))
-        ids = F.expr("array_compact(array(" + ", ".join(f"CASE WHEN {g} THEN {i} END" for i, g in guarded) + "))")
+        ids = F.expr("array_remove(array(" + ", ".join(f"CASE WHEN {g} THEN {i} ELSE -1 END" for i, g in guarded) + "), -1)")
         possible = possible | (some if gate is None else gates[gate] & some)
         lists.append(gated(gate, ids))
-    candidates = units.filter(possible).withColumn("_pid", F.explode(F.concat(*lists)))
+    # many guards make one method too long for the JVM to compile; code that holds a lambda is cut into short ones.  Lists that
+    # stand in their own step are evaluated by such code, those inside an explode term by term
+    apart = F.exists(F.array(src), lambda t: F.lit(True))
+    candidates = units.filter(possible & apart).withColumn("_pids", F.when(apart, F.concat(*lists)))
+    candidates = candidates.withColumn("_pid", F.explode_outer("_pids")).filter(F.col("_pid").isNotNull())
 
     at = F.col("_pid") + 1
     regex = F.element_at(string_array(java_pattern(p.pattern) for p in patterns), at)
@@ -178,16 +184,21 @@ def find_matches(
 def _marked(text: str, patterns: Sequence[Pattern]) -> str:
     """The text with ``MARK`` before and behind every match, and behind it the captures, each with a ``MARK`` behind it.
 
-    Patterns are literals here, so each is compiled once for a task and not once for a text.
+    Patterns are literals here, so each is compiled once for a task and not once for a text; halves of the patterns are told
+    apart first, so a text is not compared with the number of each.
     """
     def branch(i: int, p: Pattern) -> str:
         marks = "".join(f"{MARK}${k}" for k in range(p.captures + 1)) + MARK
         regex, rep = (sql_quote(x).replace("$", "\\u0024") for x in (java_pattern(p.pattern), marks))
         return f"WHEN {i} THEN regexp_replace({text}, {regex}, {rep})"
 
-    if not patterns:
-        return "CAST(NULL AS STRING)"
-    return "CASE _pid " + " ".join(branch(i, p) for i, p in enumerate(patterns)) + " END"
+    def choose(first: int, last: int) -> str:
+        if last - first <= CASE_BRANCHES:
+            return "CASE _pid " + " ".join(branch(i, patterns[i]) for i in range(first, last)) + " END"
+        half = (first + last) // 2
+        return f"IF(_pid < {half}, {choose(first, half)}, {choose(half, last)})"
+
+    return choose(0, len(patterns)) if patterns else "CAST(NULL AS STRING)"
 
 
 def _match_rows(text: str, patterns: Sequence[Pattern], multiline: bool) -> str:

@@ -76,6 +76,18 @@ def test_marked_texts_give_the_matches_of_a_pass_for_each(spark):
     assert "RLIKE" not in found._jdf.queryExecution().optimizedPlan().toString().upper()
 
 
+def test_lists_of_candidates_and_marks_are_made_in_short_steps(spark):
+    patterns = [Pattern(f"p{i}", rf"w{i}(x?)\b", 1, any_of=(f"w{i}",)) for i in range(40)]
+    cases = re.findall(r"CASE _pid (.*?) END", lexical._marked("`line`", patterns))
+    assert sum(c.count("WHEN") for c in cases) == 40 and max(c.count("WHEN") for c in cases) <= 4
+    units = spark.createDataFrame([(i, f"w{i} w{i}x w7") for i in range(40)] + [(99, None), (98, "none")], "k int, line string")
+    found = find_matches(units, patterns)
+    want = [(i, f"p{j}", t) for i in range(40) for j in range(40) for t in re.findall(rf"w{j}x?\b", f"w{i} w{i}x w7")]
+    assert sorted((r.k, r.pattern_key, r["match"]) for r in found.collect()) == sorted(want)
+    # an explode that makes the lists itself evaluates all guards of a text term by term
+    assert not re.search(r"Generate explode\(concat", found._jdf.queryExecution().optimizedPlan().toString())
+
+
 def test_an_extension_is_cut_out_once(spark):
     from pyspark.sql import functions as F
 
