@@ -42,6 +42,8 @@ SMALL_COMPONENT = 8
 BLOCK_SHINGLES = 1 << 16
 BLOCK_SETS = 512
 PRODUCT_SHINGLES = 4096
+#: Pairs of blocks that a part of a component's pairs with others has, about.
+PART_BLOCKS = 256
 #: Bytes of a batch of texts or sets for a Python worker, and blocks of one component that a join holds before it may spill.
 BATCH_BYTES = 1 << 20
 HELD_BLOCKS = 32
@@ -323,10 +325,25 @@ class JaccardJoin:
         ids = met_roots.select(F.col("root_a").alias("root")).union(met_roots.select("root_b")).distinct()
         met_roots = self.lighter_first(met_roots, rooted.join(ids, "root", "left_semi"))
         blocks = self.blocks(rooted.join(ids, "root").select("cid", "root", "n", "copies"), sets, "blocks-across")
+        met_roots, parts = self.parts_across(met_roots, blocks.groupBy("root").agg(F.count("*").alias("blocks")))
         sides = [blocks.select(F.col("root").alias(f"root_{x}"), F.col("block").alias(f"block_{x}"), F.col("sets").alias(f"sets_{x}")) for x in "ab"]
-        met = met_roots.join(sides[0], "root_a").join(sides[1], "root_b").where(F.abs(F.col("block_b.band") - F.col("block_a.band")) <= 1)
+        dealt = sides[1].join(parts, "root_b").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        met = met_roots.join(sides[0], "root_a").join(dealt, ["root_b", "part"]).where(F.abs(F.col("block_b.band") - F.col("block_a.band")) <= 1)
         return self.space.write(self.compared(met.withColumn("same", F.lit(False)), False), "links-across", HELD_BLOCKS)
 
+    def parts_across(self, met_roots: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The pairs of components with a ``part`` of those that ``root_b`` meets, and ``root_b, parts``.
+
+        A component that many others meet is one key; its pairs are dealt to parts of about ``PART_BLOCKS`` pairs of blocks,
+        and its blocks go to each of them.  ``blocks`` has the number of blocks of each ``root``.
+        """
+        side = lambda x: blocks.select(F.col("root").alias(f"root_{x}"), F.col("blocks").alias(f"blocks_{x}"))
+        work = met_roots.join(side("a"), "root_a").groupBy("root_b").agg(F.count("*").alias("met"), F.sum("blocks_a").alias("blocks_a"))
+        parts = self.space.write(work.join(side("b"), "root_b").select(
+            "root_b", F.least("met", F.ceil(F.col("blocks_a") * F.col("blocks_b") / PART_BLOCKS)).cast("int").alias("parts")), "parts-across")
+        part = F.pmod(F.xxhash64("root_a"), F.col("parts")).cast("int")
+        return met_roots.join(parts, "root_b").select("root_a", "root_b", part.alias("part")), parts
+
     def classes_with_roots(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Documents, classes with the component of each, and the sets of the classes that any link was found for."""
         space, percent = self.space, self.percent

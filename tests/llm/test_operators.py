@@ -162,6 +162,13 @@ def test_components_meet_by_the_blocks_of_the_lighter(session):
     rooted = session.createDataFrame([(1, 1, 50), (2, 1, 60), (3, 3, 7), (4, 4, 900), (5, 5, 7)], "cid long, root long, n long")
     met = session.createDataFrame([(1, 3), (1, 4), (3, 4), (3, 5)], "root_a long, root_b long")
     assert as_bag(map(tuple, join.lighter_first(met, rooted).collect())) == as_bag([(3, 1), (1, 4), (3, 4), (3, 5)])
+    # one component that all others meet is dealt to several tasks
+    hot = session.range(1, 1001).selectExpr("id root_a", "5000 root_b").union(session.createDataFrame([(1, 2)], "a long, b long"))
+    blocks = session.range(1, 1001).selectExpr("id root", "1 blocks").union(session.createDataFrame([(5000, 3)], "a long, b long"))
+    dealt, parts = join.parts_across(hot, blocks)
+    assert as_bag(map(tuple, parts.collect())) == as_bag([(5000, -(-3000 // jaccard_join.PART_BLOCKS)), (2, 1)])
+    assert dealt.count() == 1001 and dealt.join(parts, "root_b").where("part < 0 OR part >= parts").count() == 0
+    assert dealt.where("root_b = 5000").groupBy("part").count().where("count > 200").count() == 0
 
 
 def test_batches_of_the_near_copies_are_small():
